@@ -133,7 +133,7 @@ def best_matching(weight: list[list[float]]) -> list[tuple[int, int]]:
 
 
 #: A pair of columns may be one renamed column if this share of the common records agrees; more than chance would give.
-LEAST_AGREEMENT = 0.6
+LEAST_AGREEMENT = 0.45
 LEAST_KAPPA = 0.45
 CHANGES = "file_name string, change_kind string, old_path string, new_path string"
 

@@ -24,6 +24,8 @@ from tracemill.session import parallelism
 KS_LIMIT = 2.6
 #: Standard errors by which a rate (nulls, outlying values, integral values) must depart, and by how much at least.
 RATE_LIMIT, RATE_STEP = 6.5, 0.12
+#: Rows by which a rate must depart at least; below, the normal error of a rate means little.
+RATE_ROWS = 8
 #: Share of the rest of the feed beyond each end that counts as outlying.
 TAIL = 0.025
 KEYS = ["feed", "stratum", "column_name"]
@@ -117,7 +119,7 @@ def _rate_departs(x: Column, n: Column, rest_x: Column, rest_n: Column) -> Colum
     """Whether a count of n departs from the rest's rate, by the pooled error of both."""
     p = (rest_x + 1) / (rest_n + 2)
     off = F.abs(x / n - p)
-    return (rest_n > 0) & (n > 0) & (off > RATE_STEP) & (off > F.lit(RATE_LIMIT) * F.sqrt(p * (1 - p) * (1 / n + 1 / rest_n)))
+    return (rest_n > 0) & (n > 0) & (off > RATE_STEP) & (off * n > RATE_ROWS) & (off > F.lit(RATE_LIMIT) * F.sqrt(p * (1 - p) * (1 / n + 1 / rest_n)))
 
 
 def departing_loads(profiles: DataFrame) -> DataFrame:
