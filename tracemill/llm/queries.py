@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import leakage, spans
-from tracemill.session import materialise, table
+from tracemill.llm import canonical, leakage, packing, spans
+from tracemill.session import table
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.node_entries(table(spark, d, "graph_nodes"), table(spark, d, "canonical_values"))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each target are, and how even their cost."""
+    return packing.fill_report(p8_pack(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +44,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p9_found, p9_reparameterised, p10_found, p10_passages)}
+    return {f.__name__: f for f in (p4_found, p8_pack, p8_fill, p9_found, p9_reparameterised, p10_found, p10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
