@@ -171,7 +171,7 @@ def layout_changes(cell: DataFrame) -> DataFrame:
     left = asked.select("file_series", F.col("before").alias("holder"), "file_name", F.explode("gone").alias("path"), F.lit(True).alias("gone"))
     right = asked.select("file_series", F.col("file_name").alias("holder"), "file_name", F.explode("come").alias("path"), F.lit(False).alias("gone"))
     values = (
-        cell.select("file_series", F.col("file_name").alias("holder"), "path", "record", "value")
+        cell.select("file_series", F.col("file_name").alias("holder"), "path", "record", F.concat("kind", F.lit(":"), "value").alias("value"))
         .filter("record <> ''")
         .join(left.unionByName(right), ["file_series", "holder", "path"])
         .groupBy("file_series", "file_name", "record", "path", "gone")

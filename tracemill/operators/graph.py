@@ -49,11 +49,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
 def reachable(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """source, node, hops: breadth-first over undirected edges; a source without edges reaches itself.
 
-    sources: column source. Visited nodes are left out of each frontier, so
+    sources: column source, and node where a source is a set of nodes. Visited nodes are left out of each frontier, so
     cycles end; stops at an empty frontier.
     """
     links = materialise(undirected(edges), "links")
-    frontier = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).filter("source is not null").distinct()
+    start = F.col("node") if "node" in sources.columns else F.col("source").alias("node")
+    frontier = sources.select("source", start, F.lit(0).alias("hops")).filter("source is not null and node is not null").distinct()
     visited = frontier
     for hop in range(1, most_rounds + 1):
         step = frontier.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
@@ -95,13 +96,14 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str, stops:
     """
     e = edges.select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), F.col(weight).cast("double").alias("w")).filter("src is not null and dst is not null and w >= 0")
     both = materialise(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "weights")
-    known = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")).distinct()
+    start = F.col("node") if "node" in sources.columns else F.col("source").alias("node")
+    known = sources.select("source", start, F.lit(0.0).alias("distance")).filter("source is not null and node is not null").distinct()
     fallen = known
     for _ in range(most_rounds):
         go = fallen
         if stops is not None:
             blocked = stops.select(F.col("node").alias("b"))
-            go = go.join(blocked, (F.col("node") == F.col("b")), "left").filter(F.col("b").isNull() | (F.col("node") == F.col("source"))).drop("b")
+            go = go.join(blocked, (F.col("node") == F.col("b")), "left").filter(F.col("b").isNull() | (F.col("distance") == 0)).drop("b")
         step = go.join(both, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("d")).groupBy("source", "node").agg(F.min("d").alias("d"))
         fallen = materialise(
             step.join(known, ["source", "node"], "left").filter(F.col("distance").isNull() | (F.col("d") < F.col("distance") - 1e-12)).select("source", "node", F.col("d").alias("distance")), "fallen"
