@@ -47,5 +47,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (p4_found, p8_pack, p8_fill, p9_found, p9_reparameterised, p10_found, p10_passages)}
 
 
+P10_FOUND_SQL = """
+WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400),
+w AS (SELECT doc_id, p, hash(substr(text, p, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS p FROM t)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM w JOIN s USING (h))
+SELECT doc_id, CAST(sum(least(400, p - coalesce(q, -400))) AS BIGINT) AS shared_chars FROM c GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p10_found": P10_FOUND_SQL}
