@@ -55,6 +55,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.departing_loads(_load_profiles(spark, d)).select("load_id", "column_name").distinct()
 
 
+P1_FOUND_SQL = P1_PROFILE_SQL.split("k AS (SELECT")[0] + """
+z AS (SELECT *, greatest(abs(le / n::DOUBLE - (ale - le) / nullif(na - n, 0)::DOUBLE), abs((le - c) / n::DOUBLE - (ale - aeq - le + c) / nullif(na - n, 0)::DOUBLE)) AS d,
+    (ale - le) / nullif(na - n, 0)::DOUBLE AS rle, (ale - aeq - le + c) / nullif(na - n, 0)::DOUBLE AS rlt FROM r),
+k AS (SELECT feed, phase, column_name, load_id, max(d) * sqrt(max(n) * (max(na) - max(n)) / max(na)::DOUBLE) AS ks, coalesce(sum(c) FILTER (rle <= 0.025 OR rlt >= 0.975), 0) AS tail FROM z GROUP BY ALL),
+i AS (SELECT feed, phase, column_name, load_id, coalesce(sum(c) FILTER (value = floor(value)), 0) AS whole FROM c GROUP BY ALL),
+t AS (SELECT g.*, i.whole, k.ks, coalesce(k.tail, 0) AS tail, rows - nulls AS filled, sum(rows) OVER w - rows AS rr, sum(nulls) OVER w - nulls AS rn, sum(whole) OVER w - whole AS rw
+  FROM g JOIN i USING (feed, phase, column_name, load_id) LEFT JOIN k USING (feed, phase, column_name, load_id) WINDOW w AS (PARTITION BY feed, phase, column_name)),
+u AS (SELECT load_id, column_name, ks, unnest([{'x': tail, 'n': filled, 'rx': 0.05 * (rr - rn), 'rn': rr - rn}, {'x': nulls, 'n': rows, 'rx': rn, 'rn': rr}, {'x': whole, 'n': filled, 'rx': rw, 'rn': rr - rn}]) AS q FROM t),
+y AS (SELECT *, (q.rx + 1) / (q.rn + 2)::DOUBLE AS p FROM u)
+SELECT DISTINCT load_id, column_name FROM y WHERE ks > 2.6 OR (q.rn > 0 AND q.n > 0 AND abs(q.x / q.n::DOUBLE - p) > 0.12 AND abs(q.x / q.n::DOUBLE - p) * q.n > 8
+  AND abs(q.x / q.n::DOUBLE - p) > 6.5 * sqrt(p * (1 - p) * (1 / q.n::DOUBLE + 1 / q.rn::DOUBLE)))
+"""
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return units.common_units(table(spark, d, "graph_nodes"))
 
@@ -134,6 +148,33 @@ FROM s WHERE ins IS NOT NULL AND (del IS NULL OR ins > del)
 """
 
 
+P6_FOUND_SQL = """
+WITH t AS (
+  SELECT record_id, j.id AS i, j.parent AS p, j.key AS k, j.type AS ty, json_extract_string(j.value, '$') AS v
+  FROM (SELECT DISTINCT record_id, body FROM nested_records WHERE json_valid(body)), LATERAL json_tree(body) j),
+o AS (SELECT record_id, p AS i, max(v) FILTER (k = 'id') AS id, bool_or(k = 'id') AS has_id, bool_or(k = 'kind') AS has_kind, bool_or(k = 'op') AS has_op, bool_or(k = 'seq') AS has_seq,
+    max(v) FILTER (k = 'seq') AS seq FROM t WHERE k IS NOT NULL GROUP BY record_id, p),
+n AS (SELECT record_id, i, id FROM o WHERE has_id AND has_kind AND id IS NOT NULL),
+a AS (SELECT record_id, i, seq FROM o WHERE has_op AND has_seq AND seq IS NOT NULL),
+s AS (SELECT n.record_id, n.id, c.i, c.ty, c.v FROM n JOIN t c ON c.record_id = n.record_id AND c.p = n.i AND c.k = 'source_annotation_ids'),
+e AS (SELECT s.record_id, s.id, c.i, c.ty, c.v FROM s JOIN t c ON c.record_id = s.record_id AND c.p = s.i WHERE s.ty = 'ARRAY'),
+b AS (SELECT n.record_id, n.id, c.i, c.ty FROM n JOIN t c ON c.record_id = n.record_id AND c.p = n.i AND c.k = 'bbox_global'),
+x AS (SELECT b.record_id, b.id, c.v FROM b JOIN t c ON c.record_id = b.record_id AND c.p = b.i AND c.k = 'x' WHERE b.ty = 'OBJECT'
+  UNION ALL SELECT b.record_id, b.id, arg_min(c.v, c.i) FROM b JOIN t c ON c.record_id = b.record_id AND c.p = b.i WHERE b.ty = 'ARRAY' GROUP BY b.record_id, b.id, b.i HAVING count(*) = 4),
+g AS (SELECT a.record_id, a.seq, c.i FROM a JOIN t c ON c.record_id = a.record_id AND c.p = a.i AND c.k = 'new_edge'),
+h AS (SELECT g.record_id, g.seq, g.i FROM g JOIN t c ON c.record_id = g.record_id AND c.p = g.i AND c.k = 'attributes' JOIN t q ON q.record_id = c.record_id AND q.p = c.i AND q.k = 'gt_added'
+  WHERE lower(trim(q.v)) IN ('true', '1', 'yes', 'y', 't')),
+l AS (
+  SELECT record_id, 'node_annotation' AS link_kind, id AS parent_key, v AS child_key FROM s WHERE ty NOT IN ('ARRAY', 'OBJECT')
+  UNION SELECT record_id, 'node_annotation', id, v FROM e WHERE ty NOT IN ('ARRAY', 'OBJECT')
+  UNION SELECT e.record_id, 'node_annotation', e.id, c.v FROM e JOIN t c ON c.record_id = e.record_id AND c.p = e.i AND c.k = 'id' WHERE e.ty = 'OBJECT'
+  UNION SELECT record_id, 'node_box', id, CAST(CAST(floor(CAST(v AS DOUBLE) + 0.5) AS BIGINT) AS VARCHAR) FROM x WHERE v IS NOT NULL
+  UNION SELECT h.record_id, 'added_edge', h.seq, c.v FROM h JOIN t c ON c.record_id = h.record_id AND c.p = h.i AND c.k = 'id'
+  UNION SELECT a.record_id, 'revised_from', a.seq, f.v FROM a JOIN t c ON c.record_id = a.record_id AND c.p = a.i AND c.k = 'before' JOIN t f ON f.record_id = c.record_id AND f.p = c.i AND f.k = 'from_node')
+SELECT * FROM l WHERE child_key IS NOT NULL AND parent_key IS NOT NULL
+"""
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "nested_records")
     return nested.child_links(nested.entity_tables(records, "record_id", "body"), "record_id")
@@ -190,4 +231,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_profile": P1_PROFILE_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p6_found": P6_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
