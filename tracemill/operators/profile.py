@@ -93,7 +93,7 @@ def load_profiles(values: DataFrame, rows: int) -> DataFrame:
     )
     le, lt = F.col("load_below") + F.col("load_le"), F.col("load_below") + F.col("load_le") - F.col("c")
     ale, alt = F.col("all_below") + F.col("all_le"), F.col("all_below") + F.col("all_le") - F.col("all_eq")
-    n, m = F.col("load_n"), F.col("all_n") - F.col("load_n")
+    n, m = F.col("load_n"), F.nullif(F.col("all_n") - F.col("load_n"), F.lit(0))
     rest_le, rest_lt = (ale - le) / m, (alt - lt) / m
 
     def quantile(q: float) -> Column:
@@ -117,9 +117,10 @@ def load_profiles(values: DataFrame, rows: int) -> DataFrame:
 
 def _rate_departs(x: Column, n: Column, rest_x: Column, rest_n: Column) -> Column:
     """Whether a count of n departs from the rest's rate, by the pooled error of both."""
+    n, rest_n = F.nullif(n, F.lit(0)), F.nullif(rest_n, F.lit(0))
     p = (rest_x + 1) / (rest_n + 2)
     off = F.abs(x / n - p)
-    return (rest_n > 0) & (n > 0) & (off > RATE_STEP) & (off * n > RATE_ROWS) & (off > F.lit(RATE_LIMIT) * F.sqrt(p * (1 - p) * (1 / n + 1 / rest_n)))
+    return (off > RATE_STEP) & (off * n > RATE_ROWS) & (off > F.lit(RATE_LIMIT) * F.sqrt(p * (1 - p) * (1 / n + 1 / rest_n)))
 
 
 def departing_loads(profiles: DataFrame) -> DataFrame:
