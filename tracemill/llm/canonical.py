@@ -77,9 +77,10 @@ def bare(value: Column) -> Column:
     """A value in plain lower case without accents, quotes and remarks; 'b, a' as 'a b'."""
     x = F.lower(F.trim(F.regexp_replace(value, r"\s+", " ")))
     x = F.translate(F.regexp_replace(x, "ß", "ss"), "äöüáàâéèêíìîóòôúùûñç", "aouaaaeeeiiiooouuunc")
-    x = F.regexp_replace(x, r"^['\"`](.*)['\"`]$", "$1")
     for _ in range(2):
+        x = F.regexp_replace(F.trim(x), r"^['\"`](.*)['\"`]$", "$1")
         x = F.trim(F.regexp_replace(F.trim(x), _REMARK, ""))
+    x = F.regexp_replace(x, r"^['\"`](.*)['\"`]$", "$1")
     x = F.regexp_replace(x, r"^existing\s+", "")
     return F.regexp_replace(x, r"^([^,]+),\s*([^,]+)$", "$2 $1")
 
@@ -88,14 +89,20 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")
 
 
-def token_set(key: Column) -> Column:
-    """Tokens of a compact key: its letters and its padded pairs, each with its occurrence number, so that the set keeps counts."""
-    padded = F.concat(F.lit("^"), key, F.lit("$"))
-    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda i: F.substring(key, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    both = F.concat(letters, pairs)
-    numbered = F.transform(both, lambda t, i: F.concat(t, F.lit("#"), F.size(F.filter(F.slice(both, F.lit(1), i + 1), lambda u: u == t)).cast("string")))
-    return F.when(F.length(key) > 0, numbered).otherwise(F.array().cast("array<string>"))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def token_set(keys: pd.Series) -> pd.Series:
+    """Tokens of compact keys: letters and padded pairs, each with its occurrence number, so that the set keeps counts."""
+    return pd.Series([_tokens(k) for k in keys])
+
+
+def _tokens(key: str | None) -> list[str]:
+    if not key:
+        return []
+    padded, seen, out = f"^{key}$", {}, []
+    for t in [*key, *(padded[i : i + 2] for i in range(len(key) + 1))]:
+        seen[t] = seen.get(t, 0) + 1
+        out.append(f"{t}#{seen[t]}")
+    return out
 
 
 @F.pandas_udf(T.IntegerType())
@@ -128,9 +135,13 @@ def _edits(a: str, b: str, most: int = 4) -> int:
     return min(table[-1][-1], most)
 
 
+#: Edits that may part a key from the longest spellings.
+MOST_EDITS = 2
+
+
 def allowed_edits(length: Column) -> Column:
     """Edits that may part a key from a spelling of this length."""
-    return F.when(length <= 3, 0).when(length <= 5, 1).otherwise(2)
+    return F.when(length <= 3, 0).when(length <= 5, 1).otherwise(MOST_EDITS)
 
 
 def spellings(spark: SparkSession, canonical: DataFrame) -> DataFrame:
@@ -197,7 +208,9 @@ def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
     key = compact(F.regexp_replace(bare(F.col("value")), "_", " "))
     keyed = asked.withColumn("key", key)
     keyed = keyed.withColumn("key", F.explode(F.array_distinct(F.array("key", F.regexp_replace("key", "(?<=...)s$", "")))))
-    pairs = similar_entries(keyed, entries).join(entries, ["field_name", "entry_key"])
+    # a key that is longer than every spelling and its edits can't be one
+    longest = entries.agg(F.coalesce(F.max(F.length("entry_key")), F.lit(0))).first()[0]
+    pairs = similar_entries(keyed.filter(F.length("key") <= longest + MOST_EDITS), entries).join(entries, ["field_name", "entry_key"])
     close = pairs.withColumn("off", edits("key", "entry_key")).filter(F.col("off") <= allowed_edits(F.least(F.length("entry_key"), F.length("key") + 1)))
     order = W.partitionBy("field_name", "key").orderBy("off", F.desc("jaccard"), "canonical")
     best = close.withColumn("place", F.row_number().over(order)).filter("place = 1").select("field_name", "key", "canonical", "off", "jaccard")

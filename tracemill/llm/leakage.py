@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 #: With one edit in eight words every span of 15 or more words keeps five in a row.
 WINDOW = 5
 LEAST_WORDS = 15
+#: Words of a span from which the white-space reading is tried as well; a hyphenated word costs the other reading two edits.
+PROMISING = 7
 WORDS_PER_EDIT = 8
 #: Bytes of item text that one index holds; more items are taken in blocks of this size.
 BLOCK_BYTES = 8_000_000
@@ -121,53 +123,79 @@ class Index:
         # the white-space word that each piece stands in, for counting words
         self.weight = {i: [n for n, x in enumerate(w for w in t.split() if pieces(w)) for _ in pieces(x)] for i, t in texts}
         self.ids: dict[bytes, int] = {}
-        template = [0, NUMBER]  # of a word's number: 0 for words of no item, 1 for other numbers
+        # of a word's number: 0 for words of no item, 1 for other numbers, 2 for other short words, which before a number are names
+        template = [0, NUMBER, 0]
         for words in [*self.split.values(), *([u.encode()] for u in UNITS)]:
             for w in words:
                 if w not in self.ids:
                     self.ids[w] = len(template)
                     template.append(NUMBER if w[0] < 58 else kinds.get(w) or len(template) + 4)
         self.template = np.array(template, dtype=np.int64)
-        numbered = {i: np.array([self.ids[w] for w in words], dtype=np.int64) for i, words in self.split.items()}
+        self.numbered = {i: [self.ids[w] for w in words] for i, words in self.split.items()}
+        numbered = {i: np.array(n, dtype=np.int64) for i, n in self.numbered.items()}
         self.literal = Postings(numbered)
-        self.shapes = Postings({i: self.template[n] for i, n in numbered.items()})
+        self.shapes = Postings({i: self.shape(n) for i, n in numbered.items()})
 
     def numbers(self, words: list[bytes]) -> list[int]:
         """The number of each word among the items' words."""
         get = self.ids.get
-        return [get(w) or (1 if w[0] < 58 else 0) for w in words]
+        return [get(w) or (1 if w[0] < 58 else 2 if len(w) < 5 else 0) for w in words]
+
+    def shape(self, numbers: np.ndarray) -> np.ndarray:
+        """Template tokens of numbered words."""
+        out = self.template[numbers]
+        out[:-1][(numbers[:-1] == 2) & (out[1:] == NUMBER)] = NAME
+        return out
+
+
+def _reaches(item: list, words: list, most: int) -> list[tuple[int, int]]:
+    """By number of edits: (item words, text words) of the longest common beginning that ends with a word of both.
+
+    The furthest-reaching place of each diagonal is kept for every number of edits.
+    """
+    n, m = len(item), len(words)
+    out = []
+    reach = {0: 0}
+    for _ in range(most + 1):
+        best, slid = (0, 0), {}
+        for d, x in reach.items():
+            while x < n and 0 <= x + d < m and item[x] == words[x + d]:
+                x += 1
+            slid[d] = x
+            if x > best[0] and 0 < x + d <= m and item[x - 1] == words[x + d - 1]:
+                best = (x, x + d)
+        out.append(best)
+        reach = {}
+        for d, x in slid.items():
+            for to, y in ((d, x + 1), (d + 1, x), (d - 1, x + 1)):
+                if y <= n and 0 <= y + to <= m and y > reach.get(to, -1):
+                    reach[to] = y
+    return out
 
 
 def longest_span(item: list, words: list, seeds: list[tuple[int, int]], per_edit: int = WORDS_PER_EDIT) -> tuple[int, int, int, int, int]:
-    """(words, edits, item start, text start, text end) of the longest item span found from the seeds.
+    """(words, edits, item start, text start, text end) of the longest item span through one of the seeds.
 
-    From the start of every seed's exact run the furthest-reaching place of each
-    diagonal is kept for every number of edits; a span of n item words may have
-    n / per_edit edits (rounded down). Exact in the number of edits.
+    A seed is a place that both have in common. From the start of its exact run
+    the span is extended both ways; a span of n item words may have n /
+    per_edit edits (rounded down), and it begins and ends with a word of both.
     """
     best = (0, 0, 0, 0, 0)
     n, m = len(item), len(words)
+    most, wide = n // per_edit, 2 * n
     starts = set()
     for i, j in seeds:
         if i < n and j < m and item[i] == words[j]:
             while i > 0 and j > 0 and item[i - 1] == words[j - 1]:
                 i, j = i - 1, j - 1
             starts.add((i, j))
-    for i0, j0 in sorted(starts):
-        reach = {0: 0}
-        for edits in range(n // per_edit + 1):
-            slid = {}
-            for d, x in reach.items():
-                while i0 + x < n and 0 <= j0 + x + d < m and item[i0 + x] == words[j0 + x + d]:
-                    x += 1
-                slid[d] = x
-                if x >= per_edit * edits and x > best[0]:
-                    best = (x, edits, i0, j0, j0 + x + d)
-            reach = {}
-            for d, x in slid.items():
-                for to, y in ((d, x + 1), (d + 1, x), (d - 1, x + 1)):
-                    if i0 + y <= n and 0 <= j0 + y + to <= m:
-                        reach[to] = max(reach.get(to, -1), y)
+    for i, j in sorted(starts):
+        ahead = _reaches(item[i:], words[j : j + wide], most)
+        back = _reaches(item[:i][::-1], words[max(0, j - wide) : j][::-1], most)
+        for e, (x, y) in enumerate(ahead):
+            for f, (u, v) in enumerate(back[: most - e + 1]):
+                if x + u > best[0] and (e + f) * per_edit <= x + u:
+                    best = (x + u, e + f, i - u, j - v, j + y)
     return best
 
 
@@ -261,7 +289,7 @@ def scan_texts(index: Index, texts: list[tuple[int, str]], least: int = LEAST_WO
     if len(numbers) < WINDOW:
         return []
     ids = np.array(numbers, dtype=np.int64)
-    shape = index.template[ids]
+    shape = index.shape(ids)
     begin = np.array(starts, dtype=np.int64)
     full = np.lib.stride_tricks.sliding_window_view(shape > 0, WINDOW).all(axis=1)
     jobs: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -279,17 +307,23 @@ def scan_texts(index: Index, texts: list[tuple[int, str]], least: int = LEAST_WO
         for k in np.flatnonzero((count >= least - WINDOW + 1)[back.ravel()]):
             shapes.setdefault((int(doc[k]), int(item[k])), []).append((int(place[k]), int(at[k] - begin[doc[k]])))
     rows, read = [], {}
+    ends = [*starts[1:], len(numbers)]
     for (d, i), seeds in sorted(jobs.items()):
-        if d not in read:
-            read = {d: _words(texts[d][1])}
-        count, edits = _leaked(index, i, seeds, *read[d], least)
+        count, edits = _leaked(index, i, seeds, numbers[starts[d] : ends[d] - 1])
+        if PROMISING <= count < least:
+            # the other reading of what a word is: separated by white space only
+            if d not in read:
+                read = {d: _spaced(texts[d][1])}
+            wide = _leaked_spaced(index, i, *read[d])
+            if wide[0] >= least:
+                count, edits = wide
         if count >= least:
             rows.append((texts[d][0], i, count, edits, 0, 0))
             shapes.pop((d, i), None)
     for (d, i), seeds in sorted(shapes.items()):
         own, words = index.split[i], pieces(plain(texts[d][1]))
-        mine = [int(index.template[n]) for n in index.numbers(own)]
-        theirs = [int(index.template[n]) for n in index.numbers(words)]
+        mine = index.shape(np.array(index.numbers(own), dtype=np.int64)).tolist()
+        theirs = index.shape(np.array(index.numbers(words), dtype=np.int64)).tolist()
         size, _, start, there, _ = longest_span(mine, theirs, seeds, per_edit=10**6)
         held = index.weight[i]
         if size and held[start + size - 1] - held[start] + 1 >= least:
@@ -303,22 +337,23 @@ def item_order(index: Index) -> np.ndarray:
     return np.array(sorted(index.split), dtype=np.int64)
 
 
-def _words(text: str) -> tuple[list[bytes], list[bytes], dict[bytes, list[int]]]:
-    t = plain(text)
-    spaced = spaced_words(t)
+def _spaced(text: str) -> tuple[list[bytes], dict[bytes, list[int]]]:
+    spaced = spaced_words(plain(text))
     places: dict[bytes, list[int]] = defaultdict(list)
     for k, w in enumerate(spaced):
         places[w].append(k)
-    return pieces(t), spaced, places
+    return spaced, places
 
 
-def _leaked(index: Index, item: int, seeds, words, spaced, places, least: int) -> tuple[int, int]:
-    """(words, edits) of the longest leaked span under either reading of what a word is."""
-    size, edits, start, _, _ = longest_span(index.split[item], words, seeds)
+def _leaked(index: Index, item: int, seeds, numbers: list[int]) -> tuple[int, int]:
+    """(white-space words, edits) of the longest leaked span, by pieces of letters and digits."""
+    size, edits, start, _, _ = longest_span(index.numbered[item], numbers, seeds)
     held = index.weight[item]
-    count = held[start + size - 1] - held[start] + 1 if size else 0
-    if count >= least:
-        return count, edits
+    return (held[start + size - 1] - held[start] + 1 if size else 0), edits
+
+
+def _leaked_spaced(index: Index, item: int, spaced, places) -> tuple[int, int]:
+    """The same by white-space words, for which a hyphen at a line's end parts nothing."""
     mine = index.spaced[item]
     near = [
         (i, j)
@@ -327,4 +362,4 @@ def _leaked(index: Index, item: int, seeds, words, spaced, places, least: int) -
         if j + 1 < len(spaced) and mine[i + 1] == spaced[j + 1]
     ]
     wide = longest_span(mine, spaced, near)
-    return (wide[0], wide[1]) if wide[0] >= least else (count, edits)
+    return wide[0], wide[1]
