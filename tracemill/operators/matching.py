@@ -77,7 +77,9 @@ def most_pairs(rows: list[tuple[object, object]]) -> list[tuple[object, object]]
                     queue.append(owner[b])
         while end is not None:
             x = came[end]
-            end, owner[end], held[x] = held.get(x), x, end
+            before = held.get(x)
+            owner[end], held[x] = x, end
+            end = before
     return sorted(((a, b) for b, a in owner.items()), key=lambda p: (str(p[0]), str(p[1])))
 
 

@@ -76,7 +76,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The fixture catalogue (YAML list of maps, or under `fixtures`), defaults filled in per row. A catalogue is one small file."""
     import yaml
 
-    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     held = yaml.safe_load(text) or []
     rows = held.get("fixtures", []) if isinstance(held, dict) else held
     names = ["stem", "pdf", "domain", "source_type", "annotation_level", "role"]
@@ -103,7 +103,7 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((file, get("id"), get("kind"), get("heading"), [str(t) for t in e.get("tags") or []], get("body")))
             yield pd.DataFrame(rows, columns=["file", "id", "kind", "heading", "tags", "body"])
 
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return raw.select("file", "value").mapInPandas(parse, "file string, id string, kind string, heading string, tags array<string>, body string")
 
 
