@@ -54,8 +54,10 @@ def graph_edges(graphs: DataFrame) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines) of JSONL annotations."""
     schema = _schema(spark, ANNOTATION).add("_corrupt_record", T.StringType())
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).withColumn("file", F.input_file_name())
-    return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("file", "_corrupt_record")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").filter("trim(value) <> ''")
+    read = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = read.filter("row._corrupt_record is null").select("file", "row.*").drop("_corrupt_record")
+    return good, read.filter("row._corrupt_record is not null").select("file", F.col("value").alias("line"))
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
