@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.session import materialise
+
 #: Jaccard of token sets that a candidate has at least.
 LEAST_JACCARD = 0.35
 
@@ -176,6 +178,7 @@ def similar_entries(values: DataFrame, entries: DataFrame, least: float = LEAST_
     """
     v = values.select("field_name", "key").distinct().withColumn("tokens", token_set(F.col("key"))).filter("size(tokens) > 0")
     e = entries.select("field_name", "entry_key").distinct().withColumn("tokens", token_set(F.col("entry_key"))).filter("size(tokens) > 0")
+    v, e = materialise(v, "tokens"), materialise(e, "tokens")
     rarity = v.select(F.explode("tokens").alias("token")).unionByName(e.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     a = _prefixed(v, rarity, ["field_name", "key"], least)
     b = _prefixed(e, rarity, ["field_name", "entry_key"], least)
@@ -211,6 +214,8 @@ def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
     # a key that is longer than every spelling and its edits can't be one
     longest = entries.agg(F.coalesce(F.max(F.length("entry_key")), F.lit(0))).first()[0]
     pairs = similar_entries(keyed.filter(F.length("key") <= longest + MOST_EDITS), entries).join(entries, ["field_name", "entry_key"])
+    # no more than MOST_EDITS of any kind means no more than twice as many without swaps, which the JVM counts
+    pairs = pairs.filter(F.abs(F.length("key") - F.length("entry_key")) <= MOST_EDITS).filter(F.levenshtein("key", "entry_key", 2 * MOST_EDITS) >= 0)
     close = pairs.withColumn("off", edits("key", "entry_key")).filter(F.col("off") <= allowed_edits(F.least(F.length("entry_key"), F.length("key") + 1)))
     order = W.partitionBy("field_name", "key").orderBy("off", F.desc("jaccard"), "canonical")
     best = close.withColumn("place", F.row_number().over(order)).filter("place = 1").select("field_name", "key", "canonical", "off", "jaccard")
@@ -227,5 +232,5 @@ def node_values(nodes: DataFrame, fields: list[str]) -> DataFrame:
 def node_entries(nodes: DataFrame, canonical: DataFrame) -> DataFrame:
     """node_id, field_name, canonical of every node and field whose value isn't literally an entry."""
     known = canonical.select("field_name", F.col("canonical").alias("value")).distinct()
-    free = node_values(nodes, list(SYNONYMS)).join(known, ["field_name", "value"], "left_anti").distinct()
+    free = materialise(node_values(nodes, list(SYNONYMS)).join(known, ["field_name", "value"], "left_anti").distinct(), "free-values")
     return free.join(map_values(free, canonical), ["field_name", "value"]).select("node_id", "field_name", "canonical").distinct()
