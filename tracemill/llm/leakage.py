@@ -15,11 +15,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tracemill.session import materialise
+
 #: With one edit in eight words every span of 15 or more words keeps five in a row.
 WINDOW = 5
 LEAST_WORDS = 15
@@ -27,7 +30,7 @@ LEAST_WORDS = 15
 PROMISING = 7
 WORDS_PER_EDIT = 8
 #: Bytes of item text that one index holds; more items are taken in blocks of this size.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 # Unit words of the domain, as they stand after canonicalisation.
 UNITS = frozenset("kw mw kg h min m3 nm3 mm cm inch bar barg mbar kpa mpa percent rpm hz degc".split())
@@ -215,16 +218,16 @@ def slots_consistent(item: list[bytes], words: list[bytes], shape: list[int], st
     return slots, changed
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, deterministically in blocks of bounded size."""
-    out, size = [[]], 0
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in order of their keys, in blocks of bounded size, one at a time."""
+    block, size = [], 0
     for r in items.select("item_id", "text").filter("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
-        if size + len(r[1]) > BLOCK_BYTES and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
+        if size + len(r[1]) > BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
         size += len(r[1])
-    return out
+    yield block
 
 
 LEAKS = "doc_id bigint, item_id bigint, words int, edits int, slots int, changed_slots int"
@@ -244,30 +247,40 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> D
     leak nothing, nor do items shorter than `least` words. Repeated documents
     come out as often as they go in.
     """
-    parts = []
+    parts: list[DataFrame] = []
     for block in _blocks(items):
-        index = Index([x for x in block if len(x[1].split()) >= least])
-
-        def scan(batches, index=index):
-            for b in batches:
-                held: list[tuple[int, str]] = []
-                size = 0
-                for doc, text in zip(b["doc_id"], b["text"]):
-                    if text:
-                        held.append((doc, text))
-                        size += len(text)
-                        if size > _TOGETHER:
-                            yield pd.DataFrame(scan_texts(index, held, least), columns=_COLUMNS)
-                            held, size = [], 0
-                yield pd.DataFrame(scan_texts(index, held, least), columns=_COLUMNS)
-
-        parts.append(documents.select("doc_id", "text").filter("text is not null").mapInPandas(scan, LEAKS))
+        if len(parts) == 1:
+            parts[0] = materialise(parts[0], "leaks")
+        part = _leaks_of(documents, block, least)
+        # with more than one block each is worked off by itself, so that one index at a time is held
+        parts.append(part if not parts else materialise(part, "leaks"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _leaks_of(documents: DataFrame, block: list[tuple[int, str]], least: int) -> DataFrame:
+    # bounded by BLOCK_BYTES of item text
+    shared = documents.sparkSession.sparkContext.broadcast(Index([x for x in block if len(x[1].split()) >= least]))
+
+    def scan(batches):
+        index = shared.value
+        for b in batches:
+            held: list[tuple[int, str]] = []
+            size = 0
+            for doc, text in zip(b["doc_id"], b["text"]):
+                if text:
+                    held.append((doc, text))
+                    size += len(text)
+                    if size > _TOGETHER:
+                        yield pd.DataFrame(scan_texts(index, held, least), columns=_COLUMNS)
+                        held, size = [], 0
+            yield pd.DataFrame(scan_texts(index, held, least), columns=_COLUMNS)
+
+    return documents.select("doc_id", "text").filter("text is not null").mapInPandas(scan, LEAKS)
+
+
 def _grouped(postings: Postings, ids: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(whole)
     return postings.meet(window_hashes(ids)[at], at)

@@ -2,7 +2,8 @@
 
 Cost-balanced packing: the cost of a text is linear plus quadratic in its
 tokens (what attention over it takes); texts are assigned, longest first, to
-the sequence of lowest cost that has room. Texts are spread over groups of
+the sequence of lowest cost that has room. Where that leaves too much unused,
+the shorter texts go where they fit tightest. Texts are spread over groups of
 bounded size by a hash of their key, so that groups pack independently and
 every group sees the whole range of lengths.
 """
@@ -99,10 +100,32 @@ class Sequences:
             return 0.0, self.count - 1, self.capacity
         while node < self.size:
             node = 2 * node if self.tree[2 * node] == best else 2 * node + 1
-        room = node - self.size
-        heapq.heappop(self.heaps[room])
+        return self._out(node - self.size)
+
+    def _out(self, room: int) -> tuple[float, int, int]:
+        cost, sequence = heapq.heappop(self.heaps[room])
         self._update(room)
-        return best[0], best[1], room
+        return cost, sequence, room
+
+    def take_tightest(self, tokens: int) -> tuple[float, int, int]:
+        """The same with the least room that is enough, the cheapest of one room."""
+        at = tokens + self.size
+        if self.tree[at][1] < 0:
+            while at > 1 and (at % 2 or self.tree[at + 1][1] < 0):
+                at //= 2
+            if at <= 1:
+                self.count += 1
+                return 0.0, self.count - 1, self.capacity
+            at += 1
+            while at < self.size:
+                at = 2 * at if self.tree[2 * at][1] >= 0 else 2 * at + 1
+        return self._out(at - self.size)
+
+
+#: Share of the capacity that evening out the cost may lose.
+LOSS = 0.005
+#: Texts up to this share of the capacity go where they fit tightest, tried in turn until no more than LOSS is lost.
+TIGHT_UP_TO = (0.0, 0.3, 0.4, 0.5, 1.0)
 
 
 def pack_group(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -110,27 +133,38 @@ def pack_group(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, i
 
     An item over the capacity is cut into full parts, each a sequence of its
     own, and a rest that is packed like any item. As many sequences are open
-    from the start as the tokens fill; more open when nothing has room. Ties
-    go to the lower key, then the lower sequence.
+    from the start as the tokens fill; more open when nothing has room. If the
+    cost rule loses more than LOSS against that bound, the shorter texts are
+    packed by tightest fit instead, as few of them as it takes. Ties go to the
+    lower key, then the lower sequence.
     """
-    held = Sequences(capacity)
-    out, rest = [], []
+    whole, rest = [], []
     for key, tokens in items:
         for part in range(tokens // capacity if tokens > capacity else 0):
-            out.append((key, part, held.count, 0, capacity))
-            held.count += 1
+            whole.append((key, part, len(whole), 0, capacity))
         if tokens <= capacity:
             rest.append((tokens, key, 0))
         elif tokens % capacity:
             rest.append((tokens % capacity, key, tokens // capacity))
-    for _ in range(-(-sum(r[0] for r in rest) // capacity)):
-        held.put(0.0, held.count, capacity)
-        held.count += 1
-    for tokens, key, part in sorted(rest, key=lambda r: (-r[0], r[1], r[2])):
-        cost, sequence, room = held.take(tokens)
-        out.append((key, part, sequence, capacity - room, tokens))
-        held.put(cost + text_cost(tokens), sequence, room - tokens)
-    return out
+    rest.sort(key=lambda r: (-r[0], r[1], r[2]))
+    least = -(-sum(r[0] for r in rest) // capacity)
+    best, fewest = [], None
+    for share in TIGHT_UP_TO:
+        held = Sequences(capacity)
+        for _ in range(least):
+            held.put(0.0, held.count, capacity)
+            held.count += 1
+        out, used = [], set()
+        for tokens, key, part in rest:
+            cost, sequence, room = (held.take if tokens > share * capacity else held.take_tightest)(tokens)
+            out.append((key, part, len(whole) + sequence, capacity - room, tokens))
+            used.add(sequence)
+            held.put(cost + text_cost(tokens), sequence, room - tokens)
+        if fewest is None or len(used) < fewest:
+            best, fewest = out, len(used)
+        if fewest <= (len(whole) + least) * (1 + LOSS) - len(whole) or fewest <= least:
+            break
+    return whole + best
 
 
 PACKED = "target_name string, container string, position int, doc_id bigint, part int, tokens int, capacity int"
