@@ -13,6 +13,9 @@ from tracemill.operators import matching, resolve, sequence, spatial
 from tracemill.plans.drawings import CELL, EDGES, GAP, NODES, PAGE, _side, edges, label_key, nodes
 from tracemill.session import materialise, table
 
+# Fixed values in this module: base confidences 0.72, 0.54, 0.34 and their additions; edge contributions 0.06, -0.14,
+# 0.10, -0.08, -0.35 with bounds 0.05 and 0.98; page limits 8, 30, 25; furniture from 0.55 of the width and 0.80 (title
+# block 0.78) of the height; suppression shares 0.8, 0.9 and 0.25.
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
