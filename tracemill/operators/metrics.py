@@ -154,8 +154,8 @@ def weighted_mode(df: DataFrame, by: list[str], value: str, weight: Column, orde
 
 
 def upper_median(c: str) -> Column:
-    """The middle of the ordered values, the upper of two."""
-    return F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+    """The middle of the ordered values, the upper of two; null if there are none."""
+    return F.get(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
 
 
 def one_distinct(c: Column) -> Column:

@@ -35,17 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set.
 
-    Where it is unset (tests, one machine) a folder of our own is made and set.
+    Where it is unset, our own is set: beside the warehouse on a cluster, which
+    its executors share, else (all on one machine, as in tests) a new folder.
     """
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if held:
         return held
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tracemill-")
+    if spark.sparkContext.master.startswith("local"):
+        own = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
+    else:
+        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tracemill"
     spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def _remove_written() -> None:
