@@ -3,9 +3,9 @@
 import pytest
 from edges import write_edge_tables
 
-from tracemill.plans import drawings, evaluation, evidence, records, training
+from tracemill.plans import drawings, evaluation, evidence, further, records, training
 
-QUERIES = {n: f for part in (training, evaluation, drawings, evidence, records) for n, f in part.queries().items()}
+QUERIES = {n: f for part in (training, evaluation, drawings, evidence, records, further) for n, f in part.queries().items()}
 
 
 @pytest.fixture(scope="module", params=["empty", "nulls"])

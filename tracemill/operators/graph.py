@@ -130,3 +130,41 @@ def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         rest = materialise(rest.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "rest")
     left = open_.withColumn("level", F.lit(None).cast("int"))
     return left if done is None else done.unionByName(left)
+
+
+def spanning_forest(edges: DataFrame, weight: str, name: str, most_rounds: int = 60) -> DataFrame:
+    """Rows of edges (from_node, to_node, name, weight) that make a least spanning forest; ties by name.
+
+    Each round every tree takes its cheapest edge to another tree, and the trees
+    that these edges join become one; the trees at least halve in number.
+    """
+    e = edges.select("from_node", "to_node", F.col(name).alias("name"), F.col(weight).cast("double").alias("w")).filter(
+        "from_node is not null and to_node is not null and from_node <> to_node and w is not null and name is not null"
+    )
+    e = materialise(e, "weighted")
+    tree = None  # node -> tree, the node itself at first
+    taken = None
+    for _ in range(most_rounds):
+        if tree is None:
+            open_ = e.withColumn("a", F.col("from_node")).withColumn("b", F.col("to_node"))
+        else:
+            of = lambda end, c: tree.select(F.col("node").alias(end), F.col("component").alias(c))
+            open_ = e.join(of("from_node", "a"), "from_node").join(of("to_node", "b"), "to_node").filter("a <> b")
+        ends = open_.select(F.explode(F.array("a", "b")).alias("t"), F.struct("w", "name", "from_node", "to_node").alias("e"))
+        best = materialise(ends.groupBy("t").agg(F.min("e").alias("e")).select("e.*").distinct(), "cheapest")
+        if best.isEmpty():
+            break
+        taken = best if taken is None else materialise(taken.unionByName(best).distinct(), "forest")
+        tree = materialise(components(taken, e.select(F.explode(F.array("from_node", "to_node")).alias("node"))), "trees")
+    empty = e.limit(0).select("w", "name", "from_node", "to_node")
+    return (empty if taken is None else taken).select("name", "from_node", "to_node", "w")
+
+
+def path_tree(distances: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
+    """source, node, distance, via: the neighbour that a least path comes from (the least of several), null at the source."""
+    e = edges.select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), F.col(weight).cast("double").alias("w")).filter("src is not null and dst is not null and w >= 0 and src <> dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    back = distances.select("source", F.col("node").alias("src"), F.col("distance").alias("before")).join(both, "src")
+    fit = distances.filter("distance > 0").join(back.withColumnRenamed("dst", "node"), ["source", "node"]).filter(F.abs(F.col("before") + F.col("w") - F.col("distance")) < 1e-9)
+    via = fit.groupBy("source", "node").agg(F.min("src").alias("via"))
+    return distances.join(via, ["source", "node"], "left").select("source", "node", "distance", "via")
