@@ -77,7 +77,7 @@ def coalesce_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {OBS}, g AS (SELECT scope, kind, key, count(*) AS n, max(rank) AS best, count(DISTINCT label) AS labels, count(*) FILTER (label <> '') AS given FROM o WHERE key <> '' GROUP BY ALL)
-SELECT scope, kind, key, round(least(0.98, greatest(0.05, CASE best WHEN 3 THEN 0.72 WHEN 2 THEN 0.54 ELSE 0.34 END + least(0.14, 0.07 * (n - 1)) + CASE WHEN given > 0 THEN 0.04 ELSE 0 END - CASE WHEN labels > 1 THEN 0.18 ELSE 0 END)), 3) AS confidence FROM g""")
+SELECT scope, kind, key, CAST(round(least(0.98, greatest(0.05, CASE best WHEN 3 THEN 0.72 WHEN 2 THEN 0.54 ELSE 0.34 END + least(0.14, 0.07 * (n - 1)) + CASE WHEN given > 0 THEN 0.04 ELSE 0 END - CASE WHEN labels > 1 THEN 0.18 ELSE 0 END)), 3) AS DOUBLE) AS confidence FROM g""")
 def fused_confidence(spark: SparkSession, d: str) -> DataFrame:
     g = observations(spark, d).filter("key <> ''").groupBy("scope", "kind", "key").agg(
         F.count(F.lit(1)).alias("n"), F.max("rank").alias("best"), F.countDistinct("label").alias("labels"), F.count(F.when(F.col("label") != "", 1)).alias("given")
@@ -215,7 +215,7 @@ c AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'invalid' WHEN line_type =
  WHEN line_type IN ('signal_electric', 'signal_pneumatic') THEN CASE WHEN a = 'instrument' AND b = 'instrument' THEN 'valid' WHEN (a = 'instrument' AND b = 'actuator_valve') OR (b = 'instrument' AND a = 'actuator_valve') THEN 'valid' ELSE 'invalid' END
  WHEN line_type = 'instrument_capillary' THEN CASE WHEN a <> 'instrument' AND b <> 'instrument' THEN 'invalid' WHEN a <> 'instrument' OR b <> 'instrument' THEN 'valid' ELSE 'uncertain' END
  WHEN line_type = 'electrical_power' THEN 'invalid' ELSE 'uncertain' END AS fit FROM r),
-s AS (SELECT edge_id, fit, round(greatest(0.05, least(0.98, 0.5 + CASE WHEN drawn THEN 0.06 ELSE -0.14 END + CASE fit WHEN 'valid' THEN 0.10 WHEN 'uncertain' THEN -0.08 ELSE -0.35 END)), 3) AS score FROM c)
+s AS (SELECT edge_id, fit, CAST(round(greatest(0.05, least(0.98, 0.5 + CASE WHEN drawn THEN 0.06 ELSE -0.14 END + CASE fit WHEN 'valid' THEN 0.10 WHEN 'uncertain' THEN -0.08 ELSE -0.35 END)), 3) AS DOUBLE) AS score FROM c)
 SELECT DISTINCT edge_id, fit, score, CASE WHEN score >= 0.80 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def edge_scores(spark: SparkSession, d: str) -> DataFrame:
     """Edges scored by their geometry and by what their type may join."""

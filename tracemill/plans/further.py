@@ -93,9 +93,9 @@ def per_class_metrics(spark: SparkSession, d: str) -> DataFrame:
     return c.select("kind", "tp", "predicted", "actual", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
 
 
-@query(f"""WITH {NODES} SELECT node_id, CASE WHEN lower(trim(label)) = lower(trim(alternate_readings[1])) THEN 1.0 ELSE 0.0 END AS exact,
- CASE WHEN contains(regexp_replace(lower(alternate_readings[1]), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(label), '[^a-z0-9]+', '', 'g')) THEN 1.0 ELSE 0.0 END AS held,
- CASE WHEN {label_key('label')} = {label_key('alternate_readings[1]')} THEN 1.0 ELSE 0.0 END AS same_key FROM n WHERE label IS NOT NULL AND alternate_readings[1] IS NOT NULL""")
+@query(f"""WITH {NODES} SELECT node_id, CASE WHEN lower(trim(label)) = lower(trim(alternate_readings[1])) THEN 1.0 ELSE 0.0 END::DOUBLE AS exact,
+ CASE WHEN contains(regexp_replace(lower(alternate_readings[1]), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(label), '[^a-z0-9]+', '', 'g')) THEN 1.0 ELSE 0.0 END::DOUBLE AS held,
+ CASE WHEN {label_key('label')} = {label_key('alternate_readings[1]')} THEN 1.0 ELSE 0.0 END::DOUBLE AS same_key FROM n WHERE label IS NOT NULL AND alternate_readings[1] IS NOT NULL""")
 def scorer_registry(spark: SparkSession, d: str) -> DataFrame:
     """The first other reading of each label scored by the registered scorers."""
     a = F.get("alternate_readings", F.lit(0))

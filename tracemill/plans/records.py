@@ -70,7 +70,8 @@ def batched_changes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("entity_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("from_node", "to_node", "label")])
 
 
-@query()
+@query(P5_FOUND_SQL.split("SELECT entity_id, coalesce")[0] + """
+SELECT is_edge, entity_id, del AS deleted FROM s WHERE del IS NOT NULL AND (ins IS NULL OR ins <= del)""")
 def tombstones(spark: SparkSession, d: str) -> DataFrame:
     """Entities whose drop is the last word."""
     state = changes.fold_changes(review_changes(table(spark, d, "review_actions")), ["is_edge", "entity_id"], "seq", "op", ["label"])
