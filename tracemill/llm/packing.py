@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import materialise, tokenizer_dir
+from tracemill.session import materialise, parallelism, tokenizer_dir
 
+#: Capacities that one call packs for; more are an error.
+MOST_TARGETS = 1_000
 #: Texts that one group holds about; more give tighter containers, fewer more parallel work.
 GROUP_ITEMS = 20_000
 #: Cost of a text of n tokens: n + n * n / QUADRATIC.
@@ -179,24 +181,34 @@ def pack(documents: DataFrame, targets: DataFrame, folder: str | None = None, vo
     groups; a container's name is its group and number. Repeated rows are
     packed as often as they come.
     """
-    sizes = [(r[0], r[1]) for r in targets.select("target_name", "capacity_tokens").filter("capacity_tokens > 0 and target_name is not null").distinct().orderBy("target_name").limit(1000).collect()]
+    sizes = [(r[0], r[1]) for r in targets.select("target_name", "capacity_tokens").filter("capacity_tokens > 0 and target_name is not null").distinct().orderBy("target_name", "capacity_tokens").take(MOST_TARGETS + 1)]
+    if len(sizes) > MOST_TARGETS:
+        raise ValueError("targets are a short list")
     counts = materialise(token_counts(documents, folder, vocabulary), "token-counts")
     groups = max(1, -(-counts.count() // group_items))
     names = ["target_name", "container", "position", "doc_id", "part", "tokens", "capacity"]
 
+    def packed(group: int, items: list[tuple[int, int]]):
+        for name, capacity in sizes:
+            rows = [(name, f"{group}-{s}", at, doc, part, n, capacity) for doc, part, s, at, n in pack_group(items, capacity)]
+            for k in range(0, len(rows), 50_000):
+                yield pd.DataFrame(rows[k : k + 50_000], columns=names)
+
     def run(batches):
-        held: dict[int, list[tuple[int, int]]] = {}
+        # one group at a time, out of sorted partitions
+        now, items = None, []
         for b in batches:
             for group, doc, tokens in zip(b["group"].tolist(), b["doc_id"].tolist(), b["n_tokens"].tolist()):
-                held.setdefault(group, []).append((doc, tokens))
-        for group, items in sorted(held.items()):
-            for name, capacity in sizes:
-                rows = [(name, f"{group}-{s}", at, doc, part, n, capacity) for doc, part, s, at, n in pack_group(items, capacity)]
-                for k in range(0, len(rows), 50_000):
-                    yield pd.DataFrame(rows[k : k + 50_000], columns=names)
+                if group != now:
+                    if items:
+                        yield from packed(now, items)
+                    now, items = group, []
+                items.append((doc, tokens))
+        if items:
+            yield from packed(now, items)
 
     grouped = counts.filter("doc_id is not null").withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    return grouped.repartition(groups, "group").mapInPandas(run, PACKED)
+    return grouped.repartition(min(groups, 8 * parallelism(documents.sparkSession)), "group").sortWithinPartitions("group", "doc_id").mapInPandas(run, PACKED)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
