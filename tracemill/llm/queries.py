@@ -38,9 +38,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Fuzzy passages of pairs of documents: chains of exact stretches."""
+    """Fuzzy passages of pairs of documents: chains of exact stretches, what stands between them aligned."""
     found = spans.Shared(table(spark, d, "documents"))
-    return found.passages(found.matches()).select("a", "b", "from_a", "to_a", "from_b", "to_b", "matched", F.size("stretches").alias("stretches"))
+    rows = found.aligned(found.passages(found.matches()))
+    return rows.select("a", "b", "from_a", "to_a", "from_b", "to_b", "matched", F.size("stretches").alias("stretches"), "edits", F.round("identity", 6).alias("identity"))
 
 
 def queries() -> dict:
