@@ -59,6 +59,27 @@ def test_one_word_in_eight():
         assert (1, True) in found(" ".join(part)), part
 
 
+def test_edits_of_hyphenated_words():
+    part = words(6, 23).replace("V-2113 ", "").replace("18-inch ", "")
+    assert len(part.split()) == 15 and (1, True) in found(part)
+    w = ITEM.split()
+    rng = random.Random(2)
+    for size in (16, 17, 19, 22, len(w)):
+        for at in range(len(w) - size + 1):
+            spots = [s for s in range(at + 1, at + size - 1) if "-" in w[s]]
+            for _ in range(8):
+                part = list(w)
+                for s in sorted(rng.sample(spots, min(len(spots), size // 8)), reverse=True):
+                    part[s : s + 1] = rng.choice(([], ["changed"], ["an-added", w[s]]))
+                end = at + size + len(part) - len(w)
+                assert (1, True) in found(" ".join(part[at:end])), part[at:end]
+
+
+def test_punctuation_within_words():
+    assert (1, True) in found(words(3, 20).replace("-", ""))
+    assert (1, True) in found(words(3, 20).replace("-", "-\n"))
+
+
 def test_reparameterised_question():
     other = OTHER
     for a, b in (("LIC-8385", "LT-555"), ("656", "11"), ("3921", "16"), ("3509", "77"), ("T-9417C", "P-4"), ("PDT-7132C", "PI-12")):

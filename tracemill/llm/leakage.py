@@ -26,8 +26,6 @@ from tracemill.session import materialise
 #: With one edit in eight words every span of 15 or more words keeps five in a row.
 WINDOW = 5
 LEAST_WORDS = 15
-#: Words of a span from which the white-space reading is tried as well; a hyphenated word costs the other reading two edits.
-PROMISING = 7
 WORDS_PER_EDIT = 8
 #: Bytes of item text that one index holds; more items are taken in blocks of this size.
 BLOCK_BYTES = 4_000_000
@@ -39,7 +37,10 @@ _BREAK = re.compile(r"(?<=\w)[-\u2010\u2011\u00ad]\s*\n[\s>|*#]*(?=\w)")
 _BROKEN = ("-\n", "- \n", "\u2010\n", "\u2011\n", "\u00ad\n")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _SPLIT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_BLANKS = bytes(32 if chr(c).isspace() else c for c in range(256))
+_PUNCTUATION = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or chr(c).isspace()))
 _OTHER = re.compile(r"[\W_]+")
+_INNER = re.compile(r"[^\w\s]+|_+")
 _NAME = re.compile(r"(?<![^\W_])([a-z]{1,5})[-\u2010\u2011\s]?\d")
 
 
@@ -67,7 +68,9 @@ def pieces(text: str) -> list[bytes]:
 
 def spaced_words(text: str) -> list[bytes]:
     """White-space separated words of plain text without their punctuation."""
-    return [w for w in (_OTHER.sub("", x).encode("utf-8", "replace") for x in text.split()) if w]
+    if text.isascii():
+        return text.encode("ascii").translate(_BLANKS, _PUNCTUATION).split()
+    return [w.encode("utf-8", "replace") for w in _INNER.sub("", text).split()]
 
 
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -137,6 +140,10 @@ class Index:
         self.numbered = {i: [self.ids[w] for w in words] for i, words in self.split.items()}
         numbered = {i: np.array(n, dtype=np.int64) for i, n in self.numbered.items()}
         self.literal = Postings(numbered)
+        # the same for white-space words, numbered by themselves
+        self.wide_ids: dict[bytes, int] = {}
+        self.wide_numbered = {i: [self.wide_ids.setdefault(w, len(self.wide_ids) + 1) for w in words] for i, words in self.spaced.items()}
+        self.wide = Postings({i: np.array(n, dtype=np.int64) for i, n in self.wide_numbered.items()})
         self.shapes = Postings({i: self.shape(n) for i, n in numbered.items()})
 
     def numbers(self, words: list[bytes]) -> list[int]:
@@ -144,6 +151,11 @@ class Index:
         get = self.ids.get
         return [get(w) or (1 if w[0] < 58 else 2 if len(w) < 5 else 0) for w in words]
 
+    def wide_numbers(self, words: list[bytes]) -> list[int]:
+        """The number of each white-space word among the items' ones, 0 for others."""
+        get = self.wide_ids.get
+        return [get(w, 0) for w in words]
+
     def shape(self, numbers: np.ndarray) -> np.ndarray:
         """Template tokens of numbered words."""
         out = self.template[numbers]
@@ -286,31 +298,50 @@ def _grouped(postings: Postings, ids: np.ndarray, whole: np.ndarray) -> tuple[np
     return postings.meet(window_hashes(ids)[at], at)
 
 
+def _met(index: Index, postings: Postings, ids: np.ndarray, begin: np.ndarray, full: np.ndarray | None = None) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """By (text, item): places in both of the literal windows they have in common, where those are two or more."""
+    if len(ids) < WINDOW:
+        return {}
+    if full is None:
+        full = np.lib.stride_tricks.sliding_window_view(ids > 0, WINDOW).all(axis=1)
+    item, place, at = _grouped(postings, ids, full)
+    doc = np.searchsorted(begin, at, side="right") - 1
+    _, back, count = np.unique(doc * (1 << 40) + np.searchsorted(item_order(index), item), return_inverse=True, return_counts=True)
+    jobs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for k in np.flatnonzero((count >= 2)[back]):
+        jobs[int(doc[k]), int(item[k])].append((int(place[k]), int(at[k] - begin[doc[k]])))
+    return jobs
+
+
 def scan_texts(index: Index, texts: list[tuple[int, str]], least: int = LEAST_WORDS) -> list[tuple]:
     """Leaks of some texts: their words are numbered, windows are met for all at once, and what meets is aligned.
 
     A span of n words with n / 8 edits keeps two whole windows at least (q-gram
     lemma), so a text and an item with fewer common literal windows have no
     leak; a template without edits keeps least - WINDOW + 1 on one diagonal.
+    Both readings of what a word is, pieces and white-space words, have windows
+    of their own, as an edit of one is several of the other.
     """
     numbers: list[int] = []
     starts = []
+    wide: list[int] = []
+    wide_starts = []
     for _, text in texts:
+        clean = plain(text)
         starts.append(len(numbers))
-        numbers += index.numbers(pieces(plain(text)))
+        numbers += index.numbers(pieces(clean))
         numbers.append(0)
+        wide_starts.append(len(wide))
+        wide += index.wide_numbers(spaced_words(clean))
+        wide.append(0)
     if len(numbers) < WINDOW:
         return []
     ids = np.array(numbers, dtype=np.int64)
     shape = index.shape(ids)
     begin = np.array(starts, dtype=np.int64)
     full = np.lib.stride_tricks.sliding_window_view(shape > 0, WINDOW).all(axis=1)
-    jobs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    item, place, at = _grouped(index.literal, ids, full)
-    doc = np.searchsorted(begin, at, side="right") - 1
-    pair, back, count = np.unique(doc * (1 << 40) + np.searchsorted(item_order(index), item), return_inverse=True, return_counts=True)
-    for k in np.flatnonzero((count >= 2)[back]):
-        jobs.setdefault((int(doc[k]), int(item[k])), []).append((int(place[k]), int(at[k] - begin[doc[k]])))
+    jobs = _met(index, index.literal, ids, begin, full)
+    wide_jobs = _met(index, index.wide, np.array(wide, dtype=np.int64), np.array(wide_starts, dtype=np.int64))
     shapes: dict[tuple[int, int], list[tuple[int, int]]] = {}
     item, place, at = _grouped(index.shapes, shape, full)
     doc = np.searchsorted(begin, at, side="right") - 1
@@ -319,17 +350,16 @@ def scan_texts(index: Index, texts: list[tuple[int, str]], least: int = LEAST_WO
         _, back, count = np.unique(line, axis=1, return_inverse=True, return_counts=True)
         for k in np.flatnonzero((count >= least - WINDOW + 1)[back.ravel()]):
             shapes.setdefault((int(doc[k]), int(item[k])), []).append((int(place[k]), int(at[k] - begin[doc[k]])))
-    rows, read = [], {}
+    rows = []
     ends = [*starts[1:], len(numbers)]
-    for (d, i), seeds in sorted(jobs.items()):
-        count, edits = _leaked(index, i, seeds, numbers[starts[d] : ends[d] - 1])
-        if PROMISING <= count < least:
-            # the other reading of what a word is: separated by white space only
-            if d not in read:
-                read = {d: _spaced(texts[d][1])}
-            wide = _leaked_spaced(index, i, *read[d])
-            if wide[0] >= least:
-                count, edits = wide
+    wide_ends = [*wide_starts[1:], len(wide)]
+    for d, i in sorted(jobs.keys() | wide_jobs.keys()):
+        count = edits = 0
+        if (d, i) in jobs:
+            count, edits = _leaked(index, i, jobs[d, i], numbers[starts[d] : ends[d] - 1])
+        if count < least and (d, i) in wide_jobs:
+            # separated by white space only, so that punctuation within a word parts nothing
+            count, edits, *_ = longest_span(index.wide_numbered[i], wide[wide_starts[d] : wide_ends[d] - 1], wide_jobs[d, i])
         if count >= least:
             rows.append((texts[d][0], i, count, edits, 0, 0))
             shapes.pop((d, i), None)
@@ -350,29 +380,8 @@ def item_order(index: Index) -> np.ndarray:
     return np.array(sorted(index.split), dtype=np.int64)
 
 
-def _spaced(text: str) -> tuple[list[bytes], dict[bytes, list[int]]]:
-    spaced = spaced_words(plain(text))
-    places: dict[bytes, list[int]] = defaultdict(list)
-    for k, w in enumerate(spaced):
-        places[w].append(k)
-    return spaced, places
-
-
 def _leaked(index: Index, item: int, seeds, numbers: list[int]) -> tuple[int, int]:
     """(white-space words, edits) of the longest leaked span, by pieces of letters and digits."""
     size, edits, start, _, _ = longest_span(index.numbered[item], numbers, seeds)
     held = index.weight[item]
     return (held[start + size - 1] - held[start] + 1 if size else 0), edits
-
-
-def _leaked_spaced(index: Index, item: int, spaced, places) -> tuple[int, int]:
-    """The same by white-space words, for which a hyphen at a line's end parts nothing."""
-    mine = index.spaced[item]
-    near = [
-        (i, j)
-        for i in range(len(mine) - 1)
-        for j in places.get(mine[i], ())
-        if j + 1 < len(spaced) and mine[i + 1] == spaced[j + 1]
-    ]
-    wide = longest_span(mine, spaced, near)
-    return wide[0], wide[1]
