@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tracemill.llm import queries as Q
 from tracemill.llm import spans as S
 
 
@@ -114,3 +115,24 @@ def test_fuzzy_passages_are_aligned(spark):
     assert (best["from_a"], best["from_b"], len(best["stretches"])) == (50, 90, 3) or len(best["stretches"]) == 3
     assert best["edits"] == 7 - 5 + 5 and best["to_a"] - best["from_a"] >= 537 - 2
     assert abs(best["identity"] - (1 - best["edits"] / max(best["to_a"] - best["from_a"], best["to_b"] - best["from_b"]))) < 1e-12
+
+
+def test_crowded_passages_and_copies_are_linked(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    common, twice, side, copied = word(700), word(450), word(390), word(500)
+    docs = [(d, word(100) + side + str(d) * 3 + common + word(80)) for d in range(10, 50)]
+    docs += [(60, (twice + "+") * 20), (61, (twice + "-") * 20)]  # one seed 40 times, in two documents
+    docs += [(70, copied), (71, copied), (72, copied), (None, copied)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.p10_passages(spark, str(tmp_path)).collect()
+    assert all(r["a"] < r["b"] for r in rows)
+    star = {r["b"]: r for r in rows if r["a"] == 10 and r["matched"] >= 1080}
+    assert set(star) == set(range(11, 50))  # membership of all, with the shorter stretch beside the long one
+    covered = {60: set(), 61: set()}
+    for r in rows:
+        if (r["a"], r["b"]) == (60, 61):
+            covered[60].update(range(r["from_a"], r["to_a"]))
+            covered[61].update(range(r["from_b"], r["to_b"]))
+    assert all(len(c) >= 20 * 450 for c in covered.values())
+    assert {(r["a"], r["b"], r["matched"], r["edits"]) for r in rows if r["a"] >= 70} == {(70, 71, 500, 0), (70, 72, 500, 0)}

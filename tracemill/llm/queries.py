@@ -38,9 +38,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Fuzzy passages of pairs of documents: chains of exact stretches, what stands between them aligned."""
-    found = spans.Shared(table(spark, d, "documents"))
-    rows = found.aligned(found.passages(found.matches()))
+    """Fuzzy passages of pairs of documents: chains of exact stretches, what stands between them aligned.
+
+    What stands in many places is linked to one other document that has it, not
+    to all; a copy of a whole text is linked to the lowest document of its text.
+    """
+    found = spans.Shared(table(spark, d, "documents"), linked=True)
+    chained = found.passages(found.matches().unionByName(found.links()))
+    rows = found.aligned(chained.unionByName(found.copy_passages()))
     return rows.select("a", "b", "from_a", "to_a", "from_b", "to_b", "matched", F.size("stretches").alias("stretches"), "edits", F.round("identity", 6).alias("identity"))
 
 

@@ -211,10 +211,13 @@ def common_after(a: str, b: str) -> int:
 
 
 class Shared:
-    """The stages of one search, written once where several results read them."""
+    """The stages of one search, written once where several results read them.
 
-    def __init__(self, documents: DataFrame, least: int = LEAST_CHARS, size: int = SEED_CHARS, paired: int = PAIRED_AT_MOST):
-        self.documents, self.least, self.size, self.paired = documents, least, size, paired
+    With `linked` the contexts of the seeds of many documents are kept as well, for links().
+    """
+
+    def __init__(self, documents: DataFrame, least: int = LEAST_CHARS, size: int = SEED_CHARS, paired: int = PAIRED_AT_MOST, *, linked: bool = False):
+        self.documents, self.least, self.size, self.paired, self.linked = documents, least, size, paired, linked
         self.prints = materialise(fingerprints(documents, least, size), "fingerprints")
         self.classes = self.prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
         first = self.prints.join(self.classes.select("doc_id"), "doc_id", "left_semi")
@@ -233,16 +236,25 @@ class Shared:
         repeated = self.classes.filter("doc_id < last").select("digest")
         return self.prints.select("doc_id", "digest", "n_chars").join(repeated, "digest").select("doc_id", "n_chars")
 
+    def copy_passages(self) -> DataFrame:
+        """A passage over the whole text for every copy (b) and the document that stands for its class (a)."""
+        copy = self.prints.select("digest", F.col("doc_id").alias("b"), "n_chars")
+        held = copy.join(self.classes.select("digest", F.col("doc_id").alias("a")), "digest").filter("a < b").select("a", "b", "n_chars").distinct()
+        n, zero = F.col("n_chars"), F.lit(0)
+        whole = F.array(F.struct(zero.alias("at_a"), zero.alias("at_b"), n.alias("length")))
+        return held.select("a", "b", zero.alias("from_a"), n.alias("to_a"), zero.alias("from_b"), n.alias("to_b"), n.alias("matched"), whole.alias("stretches"))
+
     def _surroundings(self, marked: DataFrame) -> DataFrame:
         """What stands around the shared seeds, from one look at each text.
 
         Of a seed of few documents: hash, doc_id, place, lead and the context
         that the windows of this seed cover, lead characters of it before the
         seed. Of seeds of many documents: a row per window of `least`
-        characters, its hash, doc_id and place; lead and context are null.
+        characters, its hash, doc_id and place; lead and context are null. If
+        `linked`, these seeds have rows of the first form too, with many set.
         """
-        least, size = self.least, self.size
-        names = ["hash", "doc_id", "place", "lead", "context"]
+        least, size, linked = self.least, self.size, self.linked
+        names = ["hash", "doc_id", "place", "lead", "context", "many"]
 
         def run(batches):
             for b in batches:
@@ -256,16 +268,17 @@ class Shared:
                         doc = b["doc_id"].iloc[k]
                         if len(many[k]):
                             of = np.flatnonzero(np.isin(own - start + at, many[k]))
-                            yield pd.DataFrame({"hash": whole[start + of].view(np.int64), "doc_id": doc, "place": of + at, "lead": None, "context": None})
-                        if few[k]:
+                            yield pd.DataFrame({"hash": whole[start + of].view(np.int64), "doc_id": doc, "place": of + at, "lead": None, "context": None, "many": True})
+                        if few[k] or (linked and len(many[k])):
+                            crowd = set(many[k].tolist()) if linked else set()
                             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                             tails = np.concatenate([heads[1:], [len(own)]]) - 1
                             for q, h, x, y in zip((own[heads] - start + at).tolist(), hashes[own[heads]].view(np.int64).tolist(), (heads + at).tolist(), (tails + at).tolist()):
-                                if q in few[k]:
-                                    rows.append((h, doc, q, q - x, texts[k][x : y + least]))
+                                if q in few[k] or q in crowd:
+                                    rows.append((h, doc, q, q - x, texts[k][x : y + least], q in crowd))
                 yield pd.DataFrame(rows, columns=names)
 
-        return marked.mapInPandas(run, "hash bigint, doc_id bigint, place int, lead int, context string")
+        return marked.mapInPandas(run, "hash bigint, doc_id bigint, place int, lead int, context string, many boolean")
 
     def matches(self) -> DataFrame:
         """a, b, at_a, at_b, length: exact matches around every seed that a pair of documents has in common, a < b.
@@ -304,9 +317,57 @@ class Shared:
                 rows = []
             yield pd.DataFrame(pairs(group), columns=names)
 
-        sorted_ = self.found.filter("context is not null").repartition("hash").sortWithinPartitions("hash")
+        sorted_ = self.found.filter("context is not null and not many").repartition("hash").sortWithinPartitions("hash")
         return sorted_.mapInPandas(run, "a bigint, b bigint, at_a int, at_b int, length int")
 
+    def _star(self, rows: DataFrame) -> DataFrame:
+        """Every row (hash, doc_id, place, ..) of a hash that two documents have, as `x`, with one row of another document, as `y`.
+
+        That document is the one of lowest doc_id, for its own rows the one of
+        highest. The k-th row meets the k-th there, counted round, so that what
+        repeats within texts keeps to few diagonals. Links are as many as rows.
+        """
+        w = W.partitionBy("hash", "doc_id")
+        ranked = rows.distinct().withColumn("k", F.row_number().over(w.orderBy("place")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+        ends = ranked.groupBy("hash").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high")).filter("low.doc_id < high.doc_id")
+        own = F.col("doc_id") == F.col("low.doc_id")
+        to = F.when(own, F.col("high")).otherwise(F.col("low"))
+        # the first rows of the lowest document are met from the highest
+        held = ranked.join(ends, "hash").filter(~own | (F.col("k") >= F.col("high.n")))
+        x = held.select("hash", to["doc_id"].alias("to_doc"), (F.col("k") % to["n"]).alias("to_k"), F.struct(*rows.columns).alias("x"))
+        y = ranked.select("hash", F.col("doc_id").alias("to_doc"), F.col("k").cast("bigint").alias("to_k"), F.struct(*rows.columns).alias("y"))
+        return x.withColumn("to_k", F.col("to_k").cast("bigint")).join(y, ["hash", "to_doc", "to_k"]).select("x", "y")
+
+    def links(self) -> DataFrame:
+        """a, b, at_a, at_b, length as in matches(), for what stands in more places than are paired.
+
+        Every window and every seed of many documents is linked to one
+        occurrence in another document, so that all who share it come out, by
+        as many links as there are occurrences. The windows give each stretch
+        of `least` characters, the seeds shorter ones beside them.
+        """
+        size = self.size
+        many = self.found.filter("many")
+
+        def extended(batches):
+            for b in batches:
+                rows = []
+                for x, y in zip(b["x"].tolist(), b["y"].tolist()):
+                    if x["doc_id"] > y["doc_id"]:
+                        x, y = y, x
+                    right = common_after(x["context"][x["lead"] :], y["context"][y["lead"] :])
+                    if right >= size:
+                        left = common_before(x["context"][: x["lead"]], y["context"][: y["lead"]])
+                        rows.append((x["doc_id"], y["doc_id"], x["place"] - left, y["place"] - left, left + right))
+                yield pd.DataFrame(rows, columns=["a", "b", "at_a", "at_b", "length"])
+
+        seeds = self._star(many.filter("context is not null").select("hash", "doc_id", "place", "lead", "context"))
+        windows = self._star(many.filter("context is null").select("hash", "doc_id", "place"))
+        first, last = F.least("x", "y"), F.greatest("x", "y")
+        # the hashes of both are equal, so that the documents decide
+        whole = windows.select(first["doc_id"].alias("a"), last["doc_id"].alias("b"), first["place"].alias("at_a"), last["place"].alias("at_b"), F.lit(self.least).alias("length"))
+        return whole.unionByName(seeds.mapInPandas(extended, "a bigint, b bigint, at_a int, at_b int, length int"))
+
     def passages(self, matches: DataFrame) -> DataFrame:
         """a, b, from_a, to_a, from_b, to_b, matched, stretches: chained passages of pairs of documents.
 
