@@ -89,6 +89,27 @@ def test_chains_are_best():
         assert abs(score(got[0]) - best) < 1e-9
 
 
+def test_overlapping_matches_are_chained():
+    # a double space against one: both sides hold a space, so that the matches overlap by one in b
+    assert S.chains([(0, 0, 201), (201, 200, 300)], overlap=True) == [[(0, 0, 201), (202, 201, 299)]]
+    assert S.chains([(0, 0, 200), (195, 203, 300)], overlap=True) == [[(0, 0, 200), (200, 208, 295)]]
+    rng = random.Random(3)
+    for _ in range(200):
+        m = [(rng.randrange(60), rng.randrange(60), rng.randrange(1, 20)) for _ in range(8)]
+        got = S.chains(m, overlap=True)
+        assert sum(map(len, got)) == len(set(m))
+        for c in got:
+            assert all(n > 0 for *_, n in c)
+            assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(c, c[1:]))
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_the_best_predecessor_within_reach(overlap):
+    # the long match lies too far back and must not hide the near one
+    assert S.chains([(0, 0, 9_000), (13_000, 13_000, 150), (13_200, 13_200, 400)], overlap=overlap) == [[(0, 0, 9_000)], [(13_000, 13_000, 150), (13_200, 13_200, 400)]]
+    assert S.chains([(0, 13_000, 9_000), (8_950, 25_000, 150), (9_150, 25_200, 400)], overlap=overlap)[1:] == [[(8_950, 25_000, 150), (9_150, 25_200, 400)]]
+
+
 def _every(m):
     def grow(chain, rest):
         yield chain

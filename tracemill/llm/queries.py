@@ -44,7 +44,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     to all; a copy of a whole text is linked to the lowest document of its text.
     """
     found = spans.Shared(table(spark, d, "documents"), linked=True)
-    chained = found.passages(found.matches().unionByName(found.links()))
+    chained = found.passages(found.matches().unionByName(found.links()), overlap=True)
     rows = found.aligned(chained.unionByName(found.copy_passages()))
     return rows.select("a", "b", "from_a", "to_a", "from_b", "to_b", "matched", F.size("stretches").alias("stretches"), "edits", F.round("identity", 6).alias("identity"))
 

@@ -4,7 +4,7 @@ Copies of whole texts are set aside first. Of every other text k-mer seeds are
 selected by winnowing, so that any stretch of `least` characters holds the same
 seed wherever it stands. Seeds that several documents have are joined; their
 matches are extended and chained per pair of documents (collinear chaining with
-gap costs over a Fenwick tree), and the chains' exact stretches are the shared
+gap costs over a tree of maxima), and the chains' exact stretches are the shared
 spans. Seeds of many documents aren't paired: there the windows of `least`
 characters are counted by their hash, which finds the same stretches without
 any pair.
@@ -13,7 +13,7 @@ any pair.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,62 +124,98 @@ def fingerprints(documents: DataFrame, least: int = LEAST_CHARS, size: int = SEE
     return documents.select("doc_id", "text").filter(F.length("text") >= least).mapInPandas(run, FINGERPRINTS)
 
 
-class Fenwick:
-    """Maxima of prefixes."""
+class Maxima:
+    """Maxima of ranges of places, whose values can be taken out again."""
+
+    NONE = (-float("inf"), -1)
 
     def __init__(self, size: int):
-        self.best = [(-float("inf"), -1)] * (size + 1)
+        self.size = size
+        self.best = [self.NONE] * (2 * size)
 
     def put(self, at: int, value: tuple[float, int]) -> None:
-        at += 1
-        while at < len(self.best):
-            if value > self.best[at]:
-                self.best[at] = value
-            at += at & -at
-
-    def most(self, at: int) -> tuple[float, int]:
-        out = (-float("inf"), -1)
-        while at > 0:
-            if self.best[at] > out:
-                out = self.best[at]
-            at -= at & -at
+        at += self.size
+        self.best[at] = value
+        while at > 1:
+            at //= 2
+            self.best[at] = max(self.best[2 * at], self.best[2 * at + 1])
+
+    def most(self, low: int, high: int) -> tuple[float, int]:
+        """The best of low <= place < high."""
+        out = self.NONE
+        low, high = low + self.size, high + self.size
+        while low < high:
+            if low & 1:
+                out = max(out, self.best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                out = max(out, self.best[high])
+            low, high = low // 2, high // 2
         return out
 
 
-def chains(matches: list[tuple[int, int, int]], gap_cost: float = 0.5, far: int = 2_000) -> list[list[tuple[int, int, int]]]:
+def chains(matches: list[tuple[int, int, int]], gap_cost: float = 0.5, far: int = 2_000, overlap: bool = False) -> list[list[tuple[int, int, int]]]:
     """Collinear chains of exact matches (start in a, start in b, length), best first, each match in one chain.
 
-    A match follows another if it ends later in both texts; the part that both
-    cover counts once. The score is the characters matched less gap_cost for
-    each character between them in either text. Maxima over the predecessors
-    come from a Fenwick tree over the ends in b. Gaps beyond `far` in either
-    text part chains.
+    A match follows another if it begins at or after its end in both texts; with
+    `overlap` also if it only ends later in both, and then what both cover is
+    cut off its beginning. The score is the characters matched less gap_cost
+    for each character between them in either text. Gaps beyond `far` in either
+    text part chains. The best predecessor within reach comes from a tree of
+    maxima over the ends in b, out of which matches are taken once they end too
+    far back in a; those that overlap are looked at one by one.
     """
     order = sorted(set(matches))
-    ends = sorted({b + n for _, b, n in order})
-    tree, score, before = Fenwick(len(ends)), [], []
+    by_end = sorted(range(len(order)), key=lambda k: order[k][1] + order[k][2])
+    leaf = {k: x for x, k in enumerate(by_end)}
+    ends = [order[k][1] + order[k][2] for k in by_end]
+    tree, score, before, cut = Maxima(len(order)), [], [], []
     waiting = sorted(range(len(order)), key=lambda k: order[k][0] + order[k][2])
-    at = 0
+    at = gone = 0
+    held: list[tuple[int, int]] = []  # (end in b, match) of those in the tree, in order
+    begun: list[int] = []  # looked at before, not yet in the tree
     for k, (a, b, n) in enumerate(order):
         while at < len(waiting) and order[waiting[at]][0] + order[waiting[at]][2] <= a:
             q = waiting[at]
             qa, qb, qn = order[q]
-            tree.put(bisect_left(ends, qb + qn), (score[q] + gap_cost * (qa + qn + qb + qn), q))
+            tree.put(leaf[q], (score[q] + gap_cost * (qa + qn + qb + qn), q))
+            if overlap:
+                insort(held, (qb + qn, q))
             at += 1
-        value, came = tree.most(bisect_left(ends, b + 1))
-        value = value - gap_cost * (a + b) + n
-        if came >= 0 and value > n and a - order[came][0] - order[came][2] <= far and b - order[came][1] - order[came][2] <= far:
+        while gone < at and order[waiting[gone]][0] + order[waiting[gone]][2] < a - far:
+            q = waiting[gone]
+            tree.put(leaf[q], Maxima.NONE)
+            if overlap:
+                del held[bisect_left(held, (order[q][1] + order[q][2], q))]
+            gone += 1
+        value, came = tree.most(bisect_left(ends, b - far), bisect_left(ends, b + 1))
+        value, trim = value - gap_cost * (a + b) + n, 0
+        if overlap:
+            begun = [q for q in begun if order[q][0] + order[q][2] > a]
+            for q in [*begun, *(q for _, q in held[bisect_left(held, (b + 1, -1)) : bisect_left(held, (b + n, -1))])]:
+                qa, qb, qn = order[q]
+                over = max(qa + qn - a, qb + qn - b)
+                gaps = a + b + 2 * over - qa - qb - 2 * qn
+                if 0 < over < n and qa < a and qb < b and gaps <= far and score[q] + n - over - gap_cost * gaps > value:
+                    value, came, trim = score[q] + n - over - gap_cost * gaps, q, over
+            begun.append(k)
+        if came >= 0 and value > n:
             score.append(value)
             before.append(came)
+            cut.append(trim)
         else:
             score.append(float(n))
             before.append(-1)
+            cut.append(0)
     out, used = [], set()
     for k in sorted(range(len(order)), key=lambda k: (-score[k], k)):
         chain = []
         while k >= 0 and k not in used:
             used.add(k)
-            chain.append(order[k])
+            a, b, n = order[k]
+            c = cut[k] if before[k] not in used else 0
+            chain.append((a + c, b + c, n - c))
             k = before[k]
         if chain:
             out.append(chain[::-1])
@@ -368,11 +404,12 @@ class Shared:
         whole = windows.select(first["doc_id"].alias("a"), last["doc_id"].alias("b"), first["place"].alias("at_a"), last["place"].alias("at_b"), F.lit(self.least).alias("length"))
         return whole.unionByName(seeds.mapInPandas(extended, "a bigint, b bigint, at_a int, at_b int, length int"))
 
-    def passages(self, matches: DataFrame) -> DataFrame:
+    def passages(self, matches: DataFrame, overlap: bool = False) -> DataFrame:
         """a, b, from_a, to_a, from_b, to_b, matched, stretches: chained passages of pairs of documents.
 
         Matches of one diagonal that touch are one stretch; stretches are
-        chained. `stretches` are the exact ones as struct(at_a, at_b, length).
+        chained, with `overlap` those too that overlap, cut at their beginning.
+        `stretches` are the exact ones as struct(at_a, at_b, length).
         The matches of a pair are bounded by the seeds of its texts.
         """
         names = ["a", "b", "from_a", "to_a", "from_b", "to_b", "matched", "stretches"]
@@ -386,7 +423,7 @@ class Shared:
                 else:
                     merged.append((d, x, n))
             out = []
-            for chain in chains([(x, x + d, n) for d, x, n in merged]):
+            for chain in chains([(x, x + d, n) for d, x, n in merged], overlap=overlap):
                 (x, y, _), (u, v, n) = chain[0], chain[-1]
                 out.append((a, b, x, u + n, y, v + n, sum(m[2] for m in chain), [{"at_a": p, "at_b": q, "length": m} for p, q, m in chain]))
             return out
