@@ -1,13 +1,15 @@
 """Evaluation texts leaking into training text.
 
-Both sides are canonicalised into templates: numbers, names (tags) and units
-become typed placeholders, other words stay. Windows of WINDOW template tokens
-are hash-joined; the items are a stated, bounded query set whose window index
-goes to every task, so documents never move. Where windows meet, the words
-themselves are aligned: a span of the item counts as leaked if at most one word
-in eight is changed, dropped or added. Where only the template agrees, the
-slots decide: a re-parameterised question fills each slot value with one other
-value throughout.
+Windows of WINDOW words are hash-joined; the items are a stated, bounded query
+set whose window index goes to every task, so documents never move. Where two
+literal windows meet, the words themselves are aligned: a span of the item
+counts as leaked if at most one word in eight is changed, dropped or added.
+Literal windows miss no such span and template windows would add only pairs
+that the alignment discards, so these don't supply the leaks. They find
+re-parameterised questions: both sides are canonicalised into templates, where
+numbers, names (tags) and units become typed placeholders and other words stay;
+where only the template agrees, the slots decide: each slot value is filled
+with one other value throughout.
 """
 
 from __future__ import annotations
