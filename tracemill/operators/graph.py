@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count as numbers
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.session import materialise
 
 
+def rounds(most: int | None, first: int = 0) -> Iterator[int]:
+    """Numbers of rounds, without end or `most` of them; an error where those don't suffice."""
+    yield from numbers(first) if most is None else range(first, first + most)
+    raise RuntimeError(f"not finished after {most} rounds")
+
+
 def undirected(edges: DataFrame, a: str = "from_node", b: str = "to_node") -> DataFrame:
     """src, dst both ways, each once, without loops and nulls."""
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src is not null and dst is not null and src <> dst")
@@ -26,7 +35,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     """
     held = materialise(undirected(edges).filter("src > dst"), "links")
     before = None
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         both = held.unionByName(held.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
         large = both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst").distinct()
@@ -46,7 +55,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     return out
 
 
-def reachable(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, sources: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """source, node, hops: breadth-first over undirected edges; a source without edges reaches itself.
 
     sources: column source, and node where a source is a set of nodes. Visited nodes are left out of each frontier, so
@@ -56,20 +65,19 @@ def reachable(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) ->
     start = F.col("node") if "node" in sources.columns else F.col("source").alias("node")
     frontier = sources.select("source", start, F.lit(0).alias("hops")).filter("source is not null and node is not null").distinct()
     visited = frontier
-    for hop in range(1, most_rounds + 1):
+    for hop in rounds(most_rounds, 1):
         step = frontier.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         frontier = materialise(step.join(visited, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         if frontier.isEmpty():
             return visited
         visited = materialise(visited.unionByName(frontier), "visited")
-    return visited
 
 
-def k_core(edges: DataFrame, k: int = 2, most_rounds: int = 1000) -> DataFrame:
+def k_core(edges: DataFrame, k: int = 2, most_rounds: int | None = None) -> DataFrame:
     """node, degree within the k-core: nodes of a degree below k are dropped until none is left."""
     links = materialise(undirected(edges), "links")
     count = links.count()
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         keep = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("src")
         links = links.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
         links = materialise(links, "core")
@@ -88,7 +96,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("node").agg(F.array_sort(F.collect_set("o")).alias("outgoing"), F.array_sort(F.collect_set("i")).alias("incoming"))
 
 
-def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str, stops: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str, stops: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
     """source, node, distance over undirected weighted edges (weights >= 0); stop nodes are reached but not passed.
 
     Relaxation round by round: only distances that fell go on, minima are taken
@@ -99,7 +107,7 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str, stops:
     start = F.col("node") if "node" in sources.columns else F.col("source").alias("node")
     known = sources.select("source", start, F.lit(0.0).alias("distance")).filter("source is not null and node is not null").distinct()
     fallen = known
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         go = fallen
         if stops is not None:
             blocked = stops.select(F.col("node").alias("b"))
@@ -111,16 +119,15 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str, stops:
         if fallen.isEmpty():
             return known
         known = materialise(known.unionByName(fallen).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
-    return known
 
 
-def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """node, level of a directed graph: 0 without predecessors, else one more than the greatest before it; nodes on cycles come with null."""
     e = materialise(edges.select(F.col("from_node").alias("src"), F.col("to_node").alias("dst")).filter("src is not null and dst is not null").distinct(), "links")
     nodes = materialise(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "nodes")
     done, rest = None, e
     open_ = nodes
-    for level in range(most_rounds):
+    for level in rounds(most_rounds):
         ready = open_.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level))
         ready = materialise(ready, "level")
         if ready.isEmpty():
@@ -144,7 +151,7 @@ def spanning_forest(edges: DataFrame, weight: str, name: str, most_rounds: int =
     e = materialise(e, "weighted")
     tree = None  # node -> tree, the node itself at first
     taken = None
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         if tree is None:
             open_ = e.withColumn("a", F.col("from_node")).withColumn("b", F.col("to_node"))
         else:

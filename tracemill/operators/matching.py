@@ -112,19 +112,20 @@ def suppressed(boxes: list[tuple], threshold: float) -> list[tuple]:
     return out
 
 
-def kept_of_pairs(boxes: DataFrame, pairs: DataFrame, keys: list[str], most_rounds: int = 200) -> DataFrame:
+def kept_of_pairs(boxes: DataFrame, pairs: DataFrame, keys: list[str], most_rounds: int | None = None) -> DataFrame:
     """Greedy suppression without groups: keys, id, kept. boxes: keys, id; pairs: keys, better, worse ids that overlap.
 
     A box is kept once all its better neighbours are suppressed, and suppressed
     once one of them is kept; decided round by round, the same result as taking
     the boxes in order of preference, but with no group ever in one task.
     """
+    from tracemill.operators.graph import rounds
     from tracemill.session import materialise
 
     open_ = materialise(boxes.select(*keys, "id").distinct(), "open")
     left = materialise(pairs.select(*keys, "better", "worse").distinct(), "pairs")
     done = None
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         beaten = left.select(*keys, F.col("worse").alias("id")).distinct()
         keep = materialise(open_.join(beaten, [*keys, "id"], "left_anti"), "kept")
         if keep.isEmpty():
