@@ -57,3 +57,28 @@ def test_triples_keep_order_and_owner():
     got = list(triples({"a": [{"b": 1}, {"b": [2, 3]}], "c": None}))
     assert (2, "b", -1, 1) in got and (3, "b[]", 0, 2) in got and (3, "b[]", 1, 3) in got and (1, "c", -1, None) in got
     assert (1, "a[].b[]", 1, 3) in got
+
+
+def test_json_in_strings_is_walked(spark):
+    action = {"op": "edge_add", "seq": 7, "new_edge": json.dumps({"id": "e7", "attributes": {"gt_added": "true"}})}
+    node = {"id": "n7", "kind": "k", "label": "[draft", "source_annotation_ids": json.dumps(["a", "b"]), "bbox_global": "[4, 5, 6, 7]"}
+    bodies = [json.dumps({"actions": json.dumps([action])}), json.dumps(json.dumps({"deep": json.dumps([node])})), '{"actions": "[{"}']
+    assert links(spark, bodies) == {(0, "added_edge", "7", "e7"), (1, "node_annotation", "n7", "a"), (1, "node_annotation", "n7", "b"), (1, "node_box", "n7", "4")}
+
+
+def test_tables_by_repeated_ancestor(spark):
+    body = {"v": 1, "meta": {"by": "x"}, "nodes": [{"id": "a", "box": {"x": 1}, "tags": ["p", None, "q"], "parts": [{"k": 1}, {"k": 2}]}, {"id": "b"}], "log": json.dumps([{"id": "c"}])}
+    deep = {"id": "leaf"}
+    for _ in range(40):
+        deep = {"in": deep}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, "{"), (None, None), (3, json.dumps({"nodes": [deep]}))], "record_id bigint, body string")
+    rows = nested.record_rows(df, "record_id", "body")
+    got = {(r.record_id, r.table_path, r.row, r.parent_row): (dict(r.fields), dict(r.lists)) for r in rows.collect()}
+    assert got[1, "", 0, -1] == ({"v": "1", "meta.by": "x"}, {})
+    assert got[1, "nodes[]", 1, 0] == ({"id": "a", "box.x": "1"}, {"tags[]": ["p", "q"]})
+    assert got[1, "nodes[].parts[]", 3, 1] == ({"k": "2"}, {})
+    assert got[1, "log[]", 5, 0] == ({"id": "c"}, {})
+    assert got[3, "nodes[]", 1, 0] == ({"in." * 40 + "id": "leaf"}, {})
+    flat = nested.derived_table(rows, "record_id", "nodes[]", {"id": "id", "x": "box.x"}, {"tags": "tags[]"}).orderBy("record_id", "row").collect()
+    assert [tuple(r) for r in flat[:2]] == [(1, 1, 0, "a", "1", ["p", "q"]), (1, 4, 0, "b", None, None)]
+    assert nested.table_layouts(rows, "record_id").filter("table_path = 'nodes[].parts[]'").collect()[0].asDict() == {"table_path": "nodes[].parts[]", "column_path": "k", "is_list": False, "rows": 2, "records": 1}

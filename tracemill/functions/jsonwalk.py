@@ -141,28 +141,67 @@ def leaves(value) -> Iterator[tuple[str, object]]:
             stack.pop()
 
 
-def triples(value, reach: int = 3) -> Iterator[tuple[int, str, int, object]]:
-    """(owner, path, ordinal, scalar) for every scalar and each of its nearest owners.
+def opened(value):
+    """A string that is a whole JSON object or array as what it holds; anything else as it is."""
+    while isinstance(value, str) and value.lstrip(" \t\r\n")[:1] in ("{", "["):
+        whole, held = complete_json(value)
+        if not whole:
+            break
+        value = held
+    return value
+
+
+def triples(value, reach: int | None = None) -> Iterator[tuple[int, str, int, object]]:
+    """(owner, path, ordinal, scalar) for every scalar and each of its owners.
 
     An owner is an object, numbered in reading order from 1. The path leads from
     the owner to the scalar, an array step written []; the ordinal is the place
-    in the innermost array on that path, -1 outside arrays. Owners up to `reach`
-    objects above the scalar are given, so that a nested field can be pivoted
-    into the table of the object that it belongs to.
+    in the innermost array on that path, -1 outside arrays. JSON that stands in
+    a string is walked like any value. With `reach` only owners up to that many
+    objects above the scalar are given: as many as the paths asked for have.
     """
     count = 0
     stack: list[tuple[object, tuple[tuple[int, str, int], ...]]] = [(value, ())]
     while stack:
         here, owners = stack.pop()
+        here = opened(here)
         if isinstance(here, dict):
             count += 1
             mine = count
+            kept = owners if reach is None else owners[-(reach - 1) :] if reach > 1 else ()
             for k, v in reversed(here.items()):
-                below = tuple((o, f"{p}.{k}" if p else k, n) for o, p, n in owners[-(reach - 1) :]) + ((mine, k, -1),)
-                stack.append((v, below))
+                stack.append((v, tuple((o, f"{p}.{k}" if p else k, n) for o, p, n in kept) + ((mine, k, -1),)))
         elif isinstance(here, list):
             for n in range(len(here) - 1, -1, -1):
                 stack.append((here[n], tuple((o, p + "[]", n) for o, p, _ in owners)))
         else:
             for o, p, n in owners:
                 yield o, p, n, here
+
+
+def rows_of(value) -> Iterator[tuple[str, int, int, str, int, object]]:
+    """(table, row, parent row, path, ordinal, scalar) of every scalar, by its nearest repeated ancestor.
+
+    That is the innermost object that is an element of an array, else the record
+    itself (table '', row 0). The table is its path from the record, rows are
+    numbered in reading order, and the parent row is that of the next repeated
+    ancestor. The path leads on from it to the scalar; the ordinal is the place
+    in the innermost array on that path, -1 outside arrays. Each scalar comes
+    once, whatever the depth; JSON that stands in a string is walked too.
+    """
+    count = 0
+    stack: list[tuple[object, str, int, int, str, int, bool]] = [(value, "", 0, -1, "", -1, False)]
+    while stack:
+        here, table, row, parent, path, ordinal, element = stack.pop()
+        here = opened(here)
+        if isinstance(here, dict):
+            if element:
+                count += 1
+                table, parent, row, path, ordinal = f"{table}.{path}" if table else path, row, count, "", -1
+            for k, v in reversed(here.items()):
+                stack.append((v, table, row, parent, f"{path}.{k}" if path else k, ordinal, False))
+        elif isinstance(here, list):
+            for n in range(len(here) - 1, -1, -1):
+                stack.append((here[n], table, row, parent, path + "[]", n, True))
+        else:
+            yield table, row, parent, path, ordinal, here

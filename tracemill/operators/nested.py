@@ -14,18 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.jsonwalk import complete_json, kind_of, scalar_text, triples
+from tracemill.functions.jsonwalk import clean, complete_json, kind_of, rows_of, scalar_text, triples
 
 
-def record_triples(records: DataFrame, key: str, body: str, wanted: Iterable[str] | None = None, reach: int = 3) -> DataFrame:
+def record_triples(records: DataFrame, key: str, body: str, wanted: Iterable[str] | None = None) -> DataFrame:
     """One row per scalar and owner: key, owner, path, ordinal, value, kind.
 
-    wanted: paths (from the owner) to keep, all where None. A body that isn't
-    complete JSON (null, '', truncated, followed by more text, NaN or Infinity)
-    gives no row at all. value is text, null for a JSON null; kind is string,
-    number, boolean or null. Records with a null key come out with a null key.
+    wanted: paths (from the owner) to keep, all where None, of any depth. A body
+    that isn't complete JSON (null, '', truncated, followed by more text, NaN or
+    Infinity) gives no row at all; JSON within a string counts as what it holds.
+    value is text, null for a JSON null; kind is string, number, boolean or
+    null. Records with a null key come out with a null key.
     """
     keep = None if wanted is None else frozenset(wanted)
+    # an owner stands at most as many objects above as the longest path has steps
+    reach = None if keep is None else max((p.count(".") + 1 for p in keep), default=1)
     schema = T.StructType(
         [records.schema[key]]
         + [T.StructField("owner", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("ordinal", T.IntegerType())]
@@ -78,6 +81,67 @@ def entity_tables(records: DataFrame, key: str, body: str) -> DataFrame:
     return pivot_owners(record_triples(records, key, body, wanted), key, NODE_FIELDS | ACTION_FIELDS, NODE_LISTS)
 
 
+TABLES = [
+    ("table_path", T.StringType()),
+    ("row", T.IntegerType()),
+    ("parent_row", T.IntegerType()),
+    ("fields", T.MapType(T.StringType(), T.StringType())),
+    ("lists", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+]
+
+
+def record_rows(records: DataFrame, key: str, body: str) -> DataFrame:
+    """Rows of all derived tables: key, table_path, row, parent_row, fields (path -> text), lists (path -> texts in order).
+
+    Paths are grouped by their repeated ancestor (`rows_of`): each group is one
+    table, a row is one element, and parent_row names the row of the table that
+    holds it (0 the record itself, -1 of that). Nulls are left out, so a field
+    is there or not; an element without any scalar of its own has no row. Where
+    a key comes twice in one object the last counts. Damaged bodies give none.
+    """
+    schema = T.StructType([records.schema[key], *[T.StructField(n, t) for n, t in TABLES]])
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for k, text in zip(batch[key], batch[body]):
+                whole, value = complete_json(text)
+                if not whole:
+                    continue
+                held: dict[int, tuple] = {}
+                for table, row, parent, path, ordinal, v in rows_of(value):
+                    if v is None or (not path and row == 0):
+                        continue
+                    _, _, fields, lists = held.setdefault(row, (table, parent, {}, {}))
+                    if ordinal < 0:
+                        fields[clean(path)] = scalar_text(v)
+                    else:
+                        lists.setdefault(clean(path), []).append(scalar_text(v))
+                out += [(k, clean(t), r, p, f, a) for r, (t, p, f, a) in held.items()]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=schema.names)
+                    out = []
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return records.select(key, body).mapInPandas(read, schema)
+
+
+def derived_table(rows: DataFrame, key: str, table_path: str, columns: dict[str, str], lists: dict[str, str] | None = None) -> DataFrame:
+    """One flat table: key, row, parent_row, a text column per path of `columns` and an array column per path of `lists`."""
+    cols = [F.col("fields")[p].alias(c) for c, p in columns.items()] + [F.col("lists")[p].alias(c) for c, p in (lists or {}).items()]
+    return rows.filter(F.col("table_path") == table_path).select(key, "row", "parent_row", *cols)
+
+
+def table_layouts(rows: DataFrame, key: str) -> DataFrame:
+    """table_path, column_path, is_list, rows, records: the columns of every derived table and how often each is filled."""
+    names = F.concat(
+        F.transform(F.map_keys("fields"), lambda p: F.struct(p.alias("column_path"), F.lit(False).alias("is_list"))),
+        F.transform(F.map_keys("lists"), lambda p: F.struct(p.alias("column_path"), F.lit(True).alias("is_list"))),
+    )
+    per_record = rows.select(key, "table_path", F.inline(names)).groupBy("table_path", "column_path", "is_list", key).agg(F.count(F.lit(1)).alias("n"))
+    return per_record.groupBy("table_path", "column_path", "is_list").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("records"))
+
+
 def integer_text(text: Column) -> Column:
     """A number's text as integer text, rounded half up; null if it is no number."""
     number = F.trim(text).try_cast("decimal(38,9)")

@@ -148,10 +148,22 @@ FROM s WHERE ins IS NOT NULL AND (del IS NULL OR ins > del)
 """
 
 
-P6_FOUND_SQL = """
-WITH t AS (
-  SELECT record_id, j.id AS i, j.parent AS p, j.key AS k, j.type AS ty, json_extract_string(j.value, '$') AS v
-  FROM (SELECT DISTINCT record_id, body FROM nested_records WHERE json_valid(body)), LATERAL json_tree(body) j),
+# JSON in strings is opened, as deep as it goes; a cell's place is its document's and its own, its parent the cell that holds the string
+P6_TREE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT record_id, 'r' AS doc, CAST(NULL AS VARCHAR) AS up, CAST(NULL AS VARCHAR) AS k0, '' AS pre, body FROM (SELECT DISTINCT record_id, body FROM nested_records WHERE json_valid(body))
+  UNION ALL
+  SELECT d.record_id, d.doc || '/' || j.id, CASE WHEN j.parent IS NULL THEN d.up ELSE d.doc || ':' || j.parent END, CASE WHEN j.parent IS NULL THEN d.k0 ELSE j.key END, d.pre || substr(j.fullkey, 2), json_extract_string(j.value, '$')
+  FROM d, LATERAL json_tree(d.body) j
+  WHERE j.type = 'VARCHAR' AND regexp_matches(json_extract_string(j.value, '$'), '^\s*[\[{]') AND json_valid(json_extract_string(j.value, '$'))),
+t AS (
+  SELECT d.record_id, d.doc || ':' || j.id AS i, j.id AS n, CASE WHEN j.parent IS NULL THEN d.up ELSE d.doc || ':' || j.parent END AS p, CASE WHEN j.parent IS NULL THEN d.k0 ELSE j.key END AS k, d.pre || substr(j.fullkey, 2) AS place,
+    j.type AS ty, json_extract_string(j.value, '$') AS v
+  FROM d, LATERAL json_tree(d.body) j
+  WHERE NOT (j.type = 'VARCHAR' AND regexp_matches(json_extract_string(j.value, '$'), '^\s*[\[{]') AND json_valid(json_extract_string(j.value, '$')))),
+"""
+
+P6_FOUND_SQL = P6_TREE_SQL + """
 o AS (SELECT record_id, p AS i, max(v) FILTER (k = 'id') AS id, bool_or(k = 'id') AS has_id, bool_or(k = 'kind') AS has_kind, bool_or(k = 'op') AS has_op, bool_or(k = 'seq') AS has_seq,
     max(v) FILTER (k = 'seq') AS seq FROM t WHERE k IS NOT NULL GROUP BY record_id, p),
 n AS (SELECT record_id, i, id FROM o WHERE has_id AND has_kind AND id IS NOT NULL),
@@ -160,7 +172,7 @@ s AS (SELECT n.record_id, n.id, c.i, c.ty, c.v FROM n JOIN t c ON c.record_id =
 e AS (SELECT s.record_id, s.id, c.i, c.ty, c.v FROM s JOIN t c ON c.record_id = s.record_id AND c.p = s.i WHERE s.ty = 'ARRAY'),
 b AS (SELECT n.record_id, n.id, c.i, c.ty FROM n JOIN t c ON c.record_id = n.record_id AND c.p = n.i AND c.k = 'bbox_global'),
 x AS (SELECT b.record_id, b.id, c.v FROM b JOIN t c ON c.record_id = b.record_id AND c.p = b.i AND c.k = 'x' WHERE b.ty = 'OBJECT'
-  UNION ALL SELECT b.record_id, b.id, arg_min(c.v, c.i) FROM b JOIN t c ON c.record_id = b.record_id AND c.p = b.i WHERE b.ty = 'ARRAY' GROUP BY b.record_id, b.id, b.i HAVING count(*) = 4),
+  UNION ALL SELECT b.record_id, b.id, arg_min(c.v, c.n) FROM b JOIN t c ON c.record_id = b.record_id AND c.p = b.i WHERE b.ty = 'ARRAY' GROUP BY b.record_id, b.id, b.i HAVING count(*) = 4),
 g AS (SELECT a.record_id, a.seq, c.i FROM a JOIN t c ON c.record_id = a.record_id AND c.p = a.i AND c.k = 'new_edge'),
 h AS (SELECT g.record_id, g.seq, g.i FROM g JOIN t c ON c.record_id = g.record_id AND c.p = g.i AND c.k = 'attributes' JOIN t q ON q.record_id = c.record_id AND q.p = c.i AND q.k = 'gt_added'
   WHERE lower(trim(q.v)) IN ('true', '1', 'yes', 'y', 't')),
@@ -180,6 +192,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_links(nested.entity_tables(records, "record_id", "body"), "record_id")
 
 
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables that the records fall into, by repeated ancestor, with their columns and how often each is filled."""
+    return nested.table_layouts(nested.record_rows(table(spark, d, "nested_records"), "record_id", "body"), "record_id")
+
+
+P6_TABLES_SQL = P6_TREE_SQL + r"""
+s AS (SELECT record_id, place, regexp_extract(place, '^(.*\])\.', 1) AS row_at FROM t WHERE ty NOT IN ('OBJECT', 'ARRAY', 'NULL') AND v IS NOT NULL AND place <> ''),
+c AS (SELECT record_id, row_at, ltrim(regexp_replace(row_at, '\[\d+\]', '[]', 'g'), '.') AS table_path,
+    ltrim(regexp_replace(substr(place, length(row_at) + 1), '\[\d+\]', '[]', 'g'), '.') AS column_path FROM s)
+SELECT table_path, column_path, contains(column_path, '[]') AS is_list, count(DISTINCT (record_id, row_at)) AS rows, count(DISTINCT record_id) AS records FROM c GROUP BY ALL
+"""
+
+
 def graph_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """key ('n:' or 'a:' and the key referred to), at, table_name, row_key, field_name: one row per reference of both tables."""
     ref = lambda name, key: F.struct(F.lit(name).alias("field_name"), key.alias("key"))
@@ -227,8 +252,8 @@ FROM j WHERE NOT holds
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_shifts, p3_found, p3_unified, p5_found, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_shifts, p3_found, p3_unified, p5_found, p6_found, p6_tables, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p6_found": P6_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p6_found": P6_FOUND_SQL, "p6_tables": P6_TABLES_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
