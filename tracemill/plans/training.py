@@ -199,8 +199,8 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
 
 P6_TABLES_SQL = P6_TREE_SQL + r"""
 s AS (SELECT record_id, place, regexp_extract(place, '^(.*\])\.', 1) AS row_at FROM t WHERE ty NOT IN ('OBJECT', 'ARRAY', 'NULL') AND v IS NOT NULL AND place <> ''),
-c AS (SELECT record_id, row_at, ltrim(regexp_replace(row_at, '\[\d+\]', '[]', 'g'), '.') AS table_path,
-    ltrim(regexp_replace(substr(place, length(row_at) + 1), '\[\d+\]', '[]', 'g'), '.') AS column_path FROM s)
+c AS (SELECT record_id, row_at, replace(ltrim(regexp_replace(row_at, '\[\d+\]', '[]', 'g'), '.'), '"', '') AS table_path,
+    replace(ltrim(regexp_replace(substr(place, length(row_at) + 1), '\[\d+\]', '[]', 'g'), '.'), '"', '') AS column_path FROM s)
 SELECT table_path, column_path, contains(column_path, '[]') AS is_list, count(DISTINCT (record_id, row_at)) AS rows, count(DISTINCT record_id) AS records FROM c GROUP BY ALL
 """
 
