@@ -85,7 +85,40 @@ def test_reparameterised_question():
     for a, b in (("LIC-8385", "LT-555"), ("656", "11"), ("3921", "16"), ("3509", "77"), ("T-9417C", "P-4"), ("PDT-7132C", "PI-12")):
         other = other.replace(a, b)
     assert found(other) == {(2, False)}
-    assert found(other.replace("77", "16")) == set()  # one value for two
+    # one value for two: what stands before the second or behind the first of them is a part of 15 words by itself, with less it is none
+    clash = other.replace("77", "16")
+    assert found(clash) == {(2, False)}
+    assert found(" ".join(clash.split()[3:-2])) == set()
+    assert found(other + " later on " + OTHER) == {(2, False), (2, True)}  # the item itself beside it
+    assert found(other.replace("11", "7.5").replace("P-4", "P-4-A")) == {(2, False)}  # values with other numbers of pieces
+
+
+def test_recall_of_reparameterised_questions():
+    rng = random.Random(5)
+    verbs, parts = "scours rinses drains bypasses reverses starves blankets".split(), "ring loop drum coil tray skid leg nozzle".split()
+
+    def tag():
+        return f"{rng.choice(['FIC', 'TI', 'P', 'MOV', 'TK', 'LSH'])}-{rng.randrange(100, 9999)}{rng.choice(['', '', 'A', 'C'])}"
+
+    def sentence():
+        return f"{rng.choice(['after', 'before', 'despite'])} {rng.choice(parts)} {rng.choice(verbs)} {tag()} the {rng.choice(parts)} {rng.choice(parts)} holds {rng.randrange(3, 900)} {rng.choice(['mm', 'kg/h', 'percent'])}"
+
+    items = [(k, f"{sentence()}, while {sentence()}; {sentence()}: which line closes {tag()}?") for k in range(200)]
+    index = L.Index(items)
+    hits = 0
+    for k, text in items:
+        new = " ".join(w if not any(c.isdigit() for c in w) else (tag() + w[len(w.rstrip(",.;:?")) :] if "-" in w else str(rng.randrange(1000, 99999))) for w in text.split())
+        hits += k in {r[1] for r in L.scan_texts(index, [(1, "some words before. " + new + " and after")]) if r[2] == 0}
+    assert hits >= 180, hits
+
+
+def test_parts_with_consistent_slots():
+    kinds = [9, L.NAME, 9, L.NAME, 9, L.NAME, 9, L.NAME]
+    item = ["w", "a", "w", "b", "w", "a", "w", "c"]
+    part = lambda words: L.consistent_span(item, words, kinds, 0, 0, 8, least=3)
+    assert part(["w", "x", "w", "y", "w", "x", "w", "z"]) == (8, 4, 4)
+    assert part(["w", "x", "w", "y", "w", "y", "w", "z"]) == (5, 2, 2) or part(["w", "x", "w", "y", "w", "y", "w", "z"])[0] == 5
+    assert part(item) == (0, 0, 0)
 
 
 def test_spans_against_brute_force():

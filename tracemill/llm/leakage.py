@@ -1,15 +1,14 @@
 """Evaluation texts leaking into training text.
 
-Windows of WINDOW words are hash-joined; the items are a stated, bounded query
-set whose window index goes to every task, so documents never move. Where two
-literal windows meet, the words themselves are aligned: a span of the item
-counts as leaked if at most one word in eight is changed, dropped or added.
-Literal windows miss no such span and template windows would add only pairs
-that the alignment discards, so these don't supply the leaks. They find
-re-parameterised questions: both sides are canonicalised into templates, where
-numbers, names (tags) and units become typed placeholders and other words stay;
-where only the template agrees, the slots decide: each slot value is filled
-with one other value throughout.
+Both sides are canonicalised into templates: numbers, names (tags) and units
+become typed placeholders, other words stay. Template windows of WINDOW words
+are hash-joined; the items are a stated, bounded query set whose window index
+goes to every task, so documents never move. Wherever two template windows
+meet, their slots are compared. A window whose slots hold the same values is
+verbatim: a pair of document and item with two of them is aligned word by word,
+and a span counts as leaked if at most one word in eight is changed, dropped or
+added. Where the slots hold other values, but each value stands for one other
+value throughout, the item is re-parameterised.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ WINDOW = 5
 LEAST_WORDS = 15
 WORDS_PER_EDIT = 8
 #: Bytes of item text that one index holds; more items are taken in blocks of this size.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 16_000_000
 
 # Unit words of the domain, as they stand after canonicalisation.
 UNITS = frozenset("kw mw kg h min m3 nm3 mm cm inch bar barg mbar kpa mpa percent rpm hz degc".split())
@@ -43,6 +42,7 @@ _BLANKS = bytes(32 if chr(c).isspace() else c for c in range(256))
 _PUNCTUATION = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or chr(c).isspace()))
 _OTHER = re.compile(r"[\W_]+")
 _INNER = re.compile(r"[^\w\s]+|_+")
+_DIGIT = re.compile(rb"\d")
 _NAME = re.compile(r"(?<![^\W_])([a-z]{1,5})[-\u2010\u2011\s]?\d")
 
 
@@ -91,79 +91,85 @@ def window_hashes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-class Postings:
-    """Windows of all items by their hash: (item, place) of each."""
-
-    def __init__(self, of: dict[int, np.ndarray]):
-        hashes, items, places = [], [], []
-        for i, ids in of.items():
-            h = window_hashes(ids)
-            hashes.append(h)
-            items.append(np.full(len(h), i, dtype=np.int64))
-            places.append(np.arange(len(h), dtype=np.int64))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.items = np.concatenate(items)[order] if items else np.zeros(0, dtype=np.int64)
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, dtype=np.int64)
-
-    def meet(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the text) for every window of the text that some item has."""
-        low = np.searchsorted(self.hashes, hashes, side="left")
-        count = np.searchsorted(self.hashes, hashes, side="right") - low
-        hit = count > 0
-        low, count, at = low[hit], count[hit], at[hit]
-        which = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(low) else low
-        return self.items[which], self.places[which], np.repeat(at, count)
+class Reading:
+    """One way to read words, with the template windows of all items in it.
 
+    number: the number of words in the item; 0 stands for words of no item, 1
+    for other numbers, 2 for other words that are names, or in `paired` readings
+    (a name's letters and digits are two words) are where a number follows.
+    """
 
-class Index:
-    """Template and literal window postings of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = [(i, plain(t)) for i, t in items]
-        kinds: dict[bytes, int] = {u.encode(): UNIT for u in UNITS}
-        for _, t in texts:
-            for m in _NAME.finditer(t):
-                kinds.setdefault(m[1].encode(), NAME)
-        self.split = {i: pieces(t) for i, t in texts}
-        self.spaced = {i: spaced_words(t) for i, t in texts}
-        # the white-space word that each piece stands in, for counting words
-        self.weight = {i: [n for n, x in enumerate(w for w in t.split() if pieces(w)) for _ in pieces(x)] for i, t in texts}
+    def __init__(self, words: list[list[bytes]], kind: Callable[[bytes], int], paired: bool):
         self.ids: dict[bytes, int] = {}
-        # of a word's number: 0 for words of no item, 1 for other numbers, 2 for other short words, which before a number are names
-        template = [0, NUMBER, 0]
-        for words in [*self.split.values(), *([u.encode()] for u in UNITS)]:
-            for w in words:
-                if w not in self.ids:
-                    self.ids[w] = len(template)
-                    template.append(NUMBER if w[0] < 58 else kinds.get(w) or len(template) + 4)
+        self.paired = paired
+        template = [0, NUMBER, 0 if paired else NAME]
+        for w in [w for held in words for w in held]:
+            if w not in self.ids:
+                self.ids[w] = len(template)
+                template.append(kind(w) or len(template) + 4)
         self.template = np.array(template, dtype=np.int64)
-        self.numbered = {i: [self.ids[w] for w in words] for i, words in self.split.items()}
-        numbered = {i: np.array(n, dtype=np.int64) for i, n in self.numbered.items()}
-        self.literal = Postings(numbered)
-        # the same for white-space words, numbered by themselves
-        self.wide_ids: dict[bytes, int] = {}
-        self.wide_numbered = {i: [self.wide_ids.setdefault(w, len(self.wide_ids) + 1) for w in words] for i, words in self.spaced.items()}
-        self.wide = Postings({i: np.array(n, dtype=np.int64) for i, n in self.wide_numbered.items()})
-        self.shapes = Postings({i: self.shape(n) for i, n in numbered.items()})
+        self.words = words
+        self.items = [[self.ids[w] for w in held] for held in words]
+        #: the items' words one after another, and where each item begins
+        self.flat = np.array([n for held in self.items for n in held], dtype=np.int64)
+        self.starts = np.cumsum([0, *map(len, self.items)])[:-1].astype(np.int64)
+        windows = [window_hashes(self.shape(np.array(held, dtype=np.int64))) for held in self.items]
+        hashes = np.concatenate([*windows, np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.of = np.repeat(np.arange(len(windows)), [len(w) for w in windows])[order]
+        self.places = np.concatenate([*(np.arange(len(w)) for w in windows), np.zeros(0, dtype=np.int64)])[order].astype(np.int64)
 
     def numbers(self, words: list[bytes]) -> list[int]:
-        """The number of each word among the items' words."""
         get = self.ids.get
-        return [get(w) or (1 if w[0] < 58 else 2 if len(w) < 5 else 0) for w in words]
-
-    def wide_numbers(self, words: list[bytes]) -> list[int]:
-        """The number of each white-space word among the items' ones, 0 for others."""
-        get = self.wide_ids.get
-        return [get(w, 0) for w in words]
+        if self.paired:
+            return [get(w) or (1 if w[0] < 58 else 2 if len(w) < 5 else 0) for w in words]
+        return [get(w) or (1 if w[0] < 58 else 2 if w[-1] < 58 or _DIGIT.search(w) else 0) for w in words]
 
     def shape(self, numbers: np.ndarray) -> np.ndarray:
-        """Template tokens of numbered words."""
+        """Template tokens of numbered words; 0 where a word is of no item and no slot."""
         out = self.template[numbers]
-        out[:-1][(numbers[:-1] == 2) & (out[1:] == NUMBER)] = NAME
+        if self.paired:
+            out[:-1][(numbers[:-1] == 2) & (out[1:] == NUMBER)] = NAME
         return out
 
+    def meet(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the item, place in the text, whether all slots are filled alike) for every template window that both have."""
+        none = np.zeros(0, dtype=np.int64)
+        if len(numbers) < WINDOW or not len(self.hashes):
+            return none, none, none, none.astype(bool)
+        shape = self.shape(numbers)
+        at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(shape > 0, WINDOW).all(axis=1))
+        hashes = window_hashes(shape)[at]
+        low = np.searchsorted(self.hashes, hashes, side="left")
+        hit = self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes
+        low, at, hashes = low[hit], at[hit], hashes[hit]
+        count = np.searchsorted(self.hashes, hashes, side="right") - low
+        which = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        item, place, at = self.of[which], self.places[which], np.repeat(at, count)
+        here = self.starts[item] + place
+        same = self.flat[here] == numbers[at]
+        for k in range(1, WINDOW):
+            same &= self.flat[here + k] == numbers[at + k]
+        return item, place, at, same
+
+
+class Index:
+    """Template windows of one block of items, once for pieces of letters and digits, once for white-space words."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        texts = [plain(t) for _, t in items]
+        self.keys = [i for i, _ in items]
+        kinds: dict[bytes, int] = {u.encode(): UNIT for u in UNITS}
+        for t in texts:
+            for m in _NAME.finditer(t):
+                kinds.setdefault(m[1].encode(), NAME)
+        unit = {u.encode() for u in UNITS}
+        self.pieces = Reading([pieces(t) for t in texts], lambda w: NUMBER if w[0] < 58 else kinds.get(w, 0), True)
+        self.spaced = Reading([spaced_words(t) for t in texts], lambda w: NUMBER if w[0] < 58 else NAME if _DIGIT.search(w) else UNIT if w in unit else 0, False)
+        # the white-space word that each piece stands in, for counting words
+        self.weight = [[n for n, x in enumerate(w for w in t.split() if pieces(w)) for _ in pieces(x)] for t in texts]
+
 
 def _reaches(item: list, words: list, most: int) -> list[tuple[int, int]]:
     """By number of edits: (item words, text words) of the longest common beginning that ends with a word of both.
@@ -216,20 +222,36 @@ def longest_span(item: list, words: list, seeds: list[tuple[int, int]], per_edit
     return best
 
 
-def slots_consistent(item: list[bytes], words: list[bytes], shape: list[int], start: int, at: int, size: int) -> tuple[int, int] | None:
-    """(slots, changed slots) if every slot value of the item's span stands for one value of the text throughout, both ways."""
-    there: dict[bytes, bytes] = {}
-    back: dict[bytes, bytes] = {}
-    slots = changed = 0
-    for k in range(size):
-        if shape[start + k] in (NUMBER, NAME, UNIT):
-            a, b = item[start + k], words[at + k]
-            kind = bytes([shape[start + k]])
-            if there.setdefault(kind + a, b) != b or back.setdefault(kind + b, a) != a:
-                return None
-            slots += 1
-            changed += a != b
-    return slots, changed
+def consistent_span(item: list, words: list, kinds: list[int], start: int, at: int, size: int, words_of=None, least: int = LEAST_WORDS) -> tuple[int, int, int]:
+    """(words, slots, changed slots) of the longest re-parameterised part of a stretch whose templates agree, zeros if there is none.
+
+    The stretch is `size` words from `start` in the item and `at` in the text.
+    In the part every slot value stands for one value of the text throughout,
+    and back; it has `least` words, and more changed slots than a leak may have
+    edits. Where a value is inconsistent, the part begins behind its last use.
+    words_of(a, b): words that item[a:b] counts for.
+    """
+    words_of = words_of or (lambda a, b: b - a)
+    best = (0, 0, 0)
+    slots = [k for k in range(start, start + size) if kinds[k] in (NUMBER, NAME, UNIT)]
+    there: dict[tuple, tuple] = {}
+    back: dict[tuple, tuple] = {}
+    low = start
+
+    def closed(high: int) -> tuple[int, int, int]:
+        inside = [k for k in slots if low <= k < high]
+        changed = sum(item[k] != words[at + k - start] for k in inside)
+        n = words_of(low, high) if high > low else 0
+        return (n, len(inside), changed) if n >= least and changed * WORDS_PER_EDIT > n else (0, 0, 0)
+
+    for k in slots:
+        a, b = (kinds[k], item[k]), (kinds[k], words[at + k - start])
+        clash = max(there[a][1] if a in there and there[a][0] != b and there[a][1] >= low else -1, back[b][1] if b in back and back[b][0] != a and back[b][1] >= low else -1)
+        if clash >= 0:
+            best = max(best, closed(k))
+            low = clash + 1
+        there[a], back[b] = (b, k), (a, k)
+    return max(best, closed(start + size))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -257,7 +279,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> D
     taken in blocks of BLOCK_BYTES. words and edits are those of the longest
     leaked span, counted in the item's white-space words. A row with words = 0
     is a re-parameterised question: its template stands there over at least
-    `least` words with consistent slots, its words don't. Null and empty texts
+    `least` words with consistent slots, of which more are changed than a leak
+    may have edits; a document may have rows of both kinds for an item. Null and empty texts
     leak nothing, nor do items shorter than `least` words. Repeated documents
     come out as often as they go in.
     """
@@ -295,95 +318,70 @@ def _leaks_of(documents: DataFrame, block: list[tuple[int, str]], least: int) ->
     return documents.select("doc_id", "text").filter("text is not null").mapInPandas(scan, LEAKS)
 
 
-def _grouped(postings: Postings, ids: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.flatnonzero(whole)
-    return postings.meet(window_hashes(ids)[at], at)
-
-
-def _met(index: Index, postings: Postings, ids: np.ndarray, begin: np.ndarray, full: np.ndarray | None = None) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """By (text, item): places in both of the literal windows they have in common, where those are two or more."""
-    if len(ids) < WINDOW:
-        return {}
-    if full is None:
-        full = np.lib.stride_tricks.sliding_window_view(ids > 0, WINDOW).all(axis=1)
-    item, place, at = _grouped(postings, ids, full)
-    doc = np.searchsorted(begin, at, side="right") - 1
-    _, back, count = np.unique(doc * (1 << 40) + np.searchsorted(item_order(index), item), return_inverse=True, return_counts=True)
+def _verbatim(item: np.ndarray, place: np.ndarray, at: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """By (text, item): places in both of the windows with unchanged slots, where those are two or more."""
+    _, back, count = np.unique(doc * (1 << 32) + item, return_inverse=True, return_counts=True)
     jobs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     for k in np.flatnonzero((count >= 2)[back]):
         jobs[int(doc[k]), int(item[k])].append((int(place[k]), int(at[k] - begin[doc[k]])))
     return jobs
 
 
+def _diagonals(item: np.ndarray, place: np.ndarray, at: np.ndarray, doc: np.ndarray, begin: np.ndarray, windows: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, start in the item, start in the text, words) of every run of `windows` or more windows one after another on one diagonal."""
+    if not len(item):
+        return
+    line = at - place
+    order = np.lexsort((place, line, item))
+    item, place, at, line, doc = (x[order] for x in (item, place, at, line, doc))
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (line[1:] != line[:-1]) | (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])])
+    first = np.flatnonzero(new)
+    size = np.diff(np.concatenate([first, [len(item)]]))
+    for k, n in zip(first[size >= windows].tolist(), size[size >= windows].tolist()):
+        yield int(doc[k]), int(item[k]), int(place[k]), int(at[k] - begin[doc[k]]), n + WINDOW - 1
+
+
 def scan_texts(index: Index, texts: list[tuple[int, str]], least: int = LEAST_WORDS) -> list[tuple]:
-    """Leaks of some texts: their words are numbered, windows are met for all at once, and what meets is aligned.
+    """Leaks of some texts: their words are numbered, template windows are met for all at once, slots decide what is aligned.
 
     A span of n words with n / 8 edits keeps two whole windows at least (q-gram
-    lemma), so a text and an item with fewer common literal windows have no
-    leak; a template without edits keeps least - WINDOW + 1 on one diagonal.
-    Both readings of what a word is, pieces and white-space words, have windows
-    of their own, as an edit of one is several of the other.
+    lemma), so a text and an item with fewer windows of unchanged slots have no
+    leak. A re-parameterised span keeps all its template windows on one
+    diagonal. Both readings of what a word is, pieces and white-space words,
+    have windows of their own, as an edit of one is several of the other, and a
+    value may have one piece in the item and two in the text.
     """
-    numbers: list[int] = []
-    starts = []
-    wide: list[int] = []
-    wide_starts = []
-    for _, text in texts:
-        clean = plain(text)
-        starts.append(len(numbers))
-        numbers += index.numbers(pieces(clean))
-        numbers.append(0)
-        wide_starts.append(len(wide))
-        wide += index.wide_numbers(spaced_words(clean))
-        wide.append(0)
-    if len(numbers) < WINDOW:
-        return []
-    ids = np.array(numbers, dtype=np.int64)
-    shape = index.shape(ids)
-    begin = np.array(starts, dtype=np.int64)
-    full = np.lib.stride_tricks.sliding_window_view(shape > 0, WINDOW).all(axis=1)
-    jobs = _met(index, index.literal, ids, begin, full)
-    wide_jobs = _met(index, index.wide, np.array(wide, dtype=np.int64), np.array(wide_starts, dtype=np.int64))
-    shapes: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    item, place, at = _grouped(index.shapes, shape, full)
-    doc = np.searchsorted(begin, at, side="right") - 1
-    if len(item):
-        line = np.stack([doc, item, at - place])
-        _, back, count = np.unique(line, axis=1, return_inverse=True, return_counts=True)
-        for k in np.flatnonzero((count >= least - WINDOW + 1)[back.ravel()]):
-            shapes.setdefault((int(doc[k]), int(item[k])), []).append((int(place[k]), int(at[k] - begin[doc[k]])))
-    rows = []
-    ends = [*starts[1:], len(numbers)]
-    wide_ends = [*wide_starts[1:], len(wide)]
-    for d, i in sorted(jobs.keys() | wide_jobs.keys()):
-        count = edits = 0
-        if (d, i) in jobs:
-            count, edits = _leaked(index, i, jobs[d, i], numbers[starts[d] : ends[d] - 1])
-        if count < least and (d, i) in wide_jobs:
-            # separated by white space only, so that punctuation within a word parts nothing
-            count, edits, *_ = longest_span(index.wide_numbered[i], wide[wide_starts[d] : wide_ends[d] - 1], wide_jobs[d, i])
-        if count >= least:
-            rows.append((texts[d][0], i, count, edits, 0, 0))
-            shapes.pop((d, i), None)
-    for (d, i), seeds in sorted(shapes.items()):
-        own, words = index.split[i], pieces(plain(texts[d][1]))
-        mine = index.shape(np.array(index.numbers(own), dtype=np.int64)).tolist()
-        theirs = index.shape(np.array(index.numbers(words), dtype=np.int64)).tolist()
-        size, _, start, there, _ = longest_span(mine, theirs, seeds, per_edit=10**6)
-        held = index.weight[i]
-        if size and held[start + size - 1] - held[start] + 1 >= least:
-            fit = slots_consistent(own, words, mine, start, there, size)
-            if fit and fit[1]:
-                rows.append((texts[d][0], i, 0, 0, *fit))
-    return rows
-
-
-def item_order(index: Index) -> np.ndarray:
-    return np.array(sorted(index.split), dtype=np.int64)
-
-
-def _leaked(index: Index, item: int, seeds, numbers: list[int]) -> tuple[int, int]:
-    """(white-space words, edits) of the longest leaked span, by pieces of letters and digits."""
-    size, edits, start, _, _ = longest_span(index.numbered[item], numbers, seeds)
-    held = index.weight[item]
-    return (held[start + size - 1] - held[start] + 1 if size else 0), edits
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    changed: dict[tuple[int, int], tuple[int, int, int]] = {}
+    cleaned = [plain(text) for _, text in texts]
+    for reading, split in ((index.pieces, pieces), (index.spaced, spaced_words)):
+        numbers: list[int] = []
+        starts = []
+        for clean in cleaned:
+            starts.append(len(numbers))
+            numbers += reading.numbers(split(clean))
+            numbers.append(0)
+        begin, ends = np.array(starts, dtype=np.int64), [*starts[1:], len(numbers)]
+        item, place, at, same = reading.meet(np.array(numbers, dtype=np.int64))
+        doc = np.searchsorted(begin, at, side="right") - 1
+        paired = reading.paired
+        for (d, i), seeds in sorted(_verbatim(item[same], place[same], at[same], doc[same], begin).items()):
+            if (d, i) not in found:
+                size, edits, start, *_ = longest_span(reading.items[i], numbers[starts[d] : ends[d] - 1], seeds)
+                count = _words(index.weight[i], start, start + size) if paired else size
+                if count >= least:
+                    found[d, i] = count, edits
+        for d, i, start, there, size in _diagonals(item, place, at, doc, begin, least - WINDOW + 1):
+            words = split(cleaned[d])[there : there + size]
+            own = reading.words[i]
+            kinds = reading.template[reading.items[i]].tolist()
+            weigh = (lambda a, b, i=i: _words(index.weight[i], a, b)) if paired else None
+            best = consistent_span(own, words, kinds, start, 0, size, weigh, least)
+            changed[d, i] = max(changed.get((d, i), (0, 0, 0)), best)
+    rows = [(texts[d][0], index.keys[i], *span, 0, 0) for (d, i), span in sorted(found.items())]
+    return rows + [(texts[d][0], index.keys[i], 0, 0, *span[1:]) for (d, i), span in sorted(changed.items()) if span[0]]
+
+
+def _words(weight: list[int], start: int, end: int) -> int:
+    """White-space words that the pieces from start to end stand in."""
+    return weight[end - 1] - weight[start] + 1 if end > start else 0
