@@ -43,15 +43,15 @@ def test_groups_are_packed_whole_and_tight():
     assert sum(n for _, n in items) / (used * 1000) > 0.99
 
 
-def test_lowest_cost_with_room_is_taken():
+def test_lowest_band_with_room_is_taken():
     rng = random.Random(4)
     s, open_ = P.Sequences(50), {}
-    for _ in range(400):
+    for _ in range(600):
         n = rng.randrange(51)
         cost, k, room = s.take(n)
-        fitting = sorted((c, i) for i, (c, r) in open_.items() if r >= n)
+        fitting = sorted((int(c / s.band), r, c, i) for i, (c, r) in open_.items() if r >= n)
         if fitting:
-            assert (cost, k) == fitting[0] and open_.pop(k) == (cost, room)
+            assert (room, cost, k) == fitting[0][1:] and open_.pop(k) == (cost, room)
         else:
             assert room == 50 and k not in open_
         cost, room = cost + P.text_cost(n), room - n
@@ -59,21 +59,17 @@ def test_lowest_cost_with_room_is_taken():
         s.put(cost, k, room)
 
 
-def test_tightest_room_is_taken():
-    rng = random.Random(5)
-    s, open_ = P.Sequences(37), {}
-    for _ in range(500):
-        n = rng.randrange(38)
-        cost, k, room = s.take_tightest(n)
-        fitting = sorted((r, c, i) for i, (c, r) in open_.items() if r >= n)
-        if fitting:
-            assert (room, cost, k) == fitting[0]
-            del open_[k]
-        else:
-            assert room == 37 and k not in open_
-        cost, room = cost + P.text_cost(n), room - n
-        open_[k] = (cost, room)
-        s.put(cost, k, room)
+def test_costs_are_even_and_fill_is_high():
+    rng = random.Random(6)
+    items = [(k, min(500, int(rng.lognormvariate(5.6, 0.8)) + 30)) for k in range(8000)]
+    for capacity in (1024, 4096):
+        cost, held = {}, {}
+        for _, _, sequence, _, n in P.pack_group(items, capacity):
+            cost[sequence] = cost.get(sequence, 0) + P.text_cost(n)
+            held[sequence] = held.get(sequence, 0) + n
+        assert sum(held.values()) / (capacity * len(held)) > 0.99
+        mean = sum(cost.values()) / len(cost)
+        assert (sum((c - mean) ** 2 for c in cost.values()) / len(cost)) ** 0.5 < 0.1 * mean
 
 
 def test_operator(spark):
@@ -81,7 +77,7 @@ def test_operator(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, tokens string")
     targets = spark.createDataFrame([("s", 100), ("none", 0), (None, 5), ("null", None)], "target_name string, capacity_tokens int")
     out = P.pack(df, targets).collect()
-    assert {r["target_name"] for r in out} == {"s"} and {r["doc_id"] for r in out} == {1, 2, 3, 4}
+    assert {r["target_name"] for r in out} == {"s"} and {r["doc_id"] for r in out} == {1, 2, 3, 4, None}
     assert sum(r["tokens"] for r in out if r["doc_id"] == 4) == 6002 and max(r["position"] + r["tokens"] for r in out) <= 100
     assert P.pack(df.limit(0), targets).count() == 0 and P.pack(df, targets.limit(0)).count() == 0
 

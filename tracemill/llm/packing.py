@@ -2,16 +2,18 @@
 
 Cost-balanced packing: the cost of a text is linear plus quadratic in its
 tokens (what attention over it takes); texts are assigned, longest first, to
-the sequence of lowest cost that has room. Where that leaves too much unused,
-the shorter texts go where they fit tightest. Texts are spread over groups of
-bounded size by a hash of their key, so that groups pack independently and
-every group sees the whole range of lengths.
+the sequence of lowest cost that has room. Costs are compared in bands of a
+sixteenth of a full sequence's cost, and within the lowest band with room the
+tightest sequence is taken: costs stay within a band of each other, and rooms
+close without rest. Texts are spread over groups of bounded size by a hash of
+their row, so that groups pack independently and every group sees the whole
+range of lengths.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import pandas as pd
@@ -41,104 +43,62 @@ def _encoding(folder: str, name: str):
 
 
 def token_counts(documents: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens of every text by a public tokenizer; null and empty texts have 0."""
+    """doc_id, n_tokens of every text by a public tokenizer; null and empty texts have 0. Repeated rows and rows without doc_id stay."""
     place = folder or tokenizer_dir()
 
     def run(batches):
         encode = _encoding(place, vocabulary).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": pd.Series(n, dtype="int32")})
+            yield pd.DataFrame({"key": b["key"], "n_tokens": pd.Series(n, dtype="int32")})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens int")
+    # as text, since a null would turn a batch's keys into floats
+    keyed = documents.select(F.col("doc_id").cast("string").alias("key"), "text")
+    return keyed.mapInPandas(run, "key string, n_tokens int").select(F.col("key").cast("bigint").alias("doc_id"), "n_tokens")
 
 
 def text_cost(tokens: int) -> float:
     return tokens + tokens * tokens / QUADRATIC
 
 
-class Sequences:
-    """Open sequences by their room: the one of lowest cost that has room for n tokens, in the logarithm of the capacity.
+#: Bands of cost, up to that of a sequence filled by one text, within which sequences count as equally cheap.
+COST_BANDS = 16
 
-    Sequences of one room stand in a heap by cost; a tournament tree over the
-    rooms holds the lowest cost of each heap.
-    """
 
-    def __init__(self, capacity: int):
+class Sequences:
+    """Open sequences by bands of their cost, each band sorted by room."""
+
+    def __init__(self, capacity: int, bands: int = COST_BANDS):
         self.capacity = capacity
-        self.size = 1
-        while self.size < capacity + 1:
-            self.size *= 2
-        self.tree: list[tuple[float, int]] = [(float("inf"), -1)] * (2 * self.size)
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.band = text_cost(capacity) / bands
+        self.bands: list[list[tuple[int, float, int]]] = [[] for _ in range(bands + 1)]
         self.count = 0
 
-    def _update(self, room: int) -> None:
-        at = room + self.size
-        self.tree[at] = self.heaps[room][0] if self.heaps[room] else (float("inf"), -1)
-        at //= 2
-        while at:
-            low, high = self.tree[2 * at], self.tree[2 * at + 1]
-            best = low if low <= high else high
-            if self.tree[at] == best:
-                break
-            self.tree[at] = best
-            at //= 2
-
     def put(self, cost: float, sequence: int, room: int) -> None:
-        heapq.heappush(self.heaps[room], (cost, sequence))
-        self._update(room)
+        insort(self.bands[int(cost / self.band)], (room, cost, sequence))
+
+    def open(self, number: int) -> None:
+        """So many new sequences without any text."""
+        self.bands[0] += [(self.capacity, 0.0, k) for k in range(self.count, self.count + number)]
+        self.count += number
 
     def take(self, tokens: int) -> tuple[float, int, int]:
-        """(cost, sequence, room) of the cheapest sequence with room; a new one if there is none."""
-        at = tokens + self.size
-        best, node = self.tree[at], at
-        while at > 1:
-            if at % 2 == 0 and self.tree[at + 1] < best:
-                best, node = self.tree[at + 1], at + 1
-            at //= 2
-        if best[1] < 0:
-            self.count += 1
-            return 0.0, self.count - 1, self.capacity
-        while node < self.size:
-            node = 2 * node if self.tree[2 * node] == best else 2 * node + 1
-        return self._out(node - self.size)
-
-    def _out(self, room: int) -> tuple[float, int, int]:
-        cost, sequence = heapq.heappop(self.heaps[room])
-        self._update(room)
-        return cost, sequence, room
-
-    def take_tightest(self, tokens: int) -> tuple[float, int, int]:
-        """The same with the least room that is enough, the cheapest of one room."""
-        at = tokens + self.size
-        if self.tree[at][1] < 0:
-            while at > 1 and (at % 2 or self.tree[at + 1][1] < 0):
-                at //= 2
-            if at <= 1:
-                self.count += 1
-                return 0.0, self.count - 1, self.capacity
-            at += 1
-            while at < self.size:
-                at = 2 * at if self.tree[2 * at][1] >= 0 else 2 * at + 1
-        return self._out(at - self.size)
-
-
-#: Share of the capacity that evening out the cost may lose.
-LOSS = 0.005
-#: Texts up to this share of the capacity go where they fit tightest, tried in turn until no more than LOSS is lost.
-TIGHT_UP_TO = (0.0, 0.3, 0.4, 0.5, 1.0)
-
-
-def pack_group(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+        """(cost, sequence, room): of the lowest band with room for so many tokens the tightest, of those the cheapest; a new one if there is none."""
+        for held in self.bands:
+            if held and held[-1][0] >= tokens:
+                room, cost, sequence = held.pop(bisect_left(held, (tokens, -1.0, -1)))
+                return cost, sequence, room
+        self.count += 1
+        return 0.0, self.count - 1, self.capacity
+
+
+def pack_group(items: list[tuple[int | None, int]], capacity: int) -> list[tuple[int | None, int, int, int, int]]:
     """(item, part, sequence, offset, tokens) for items (key, tokens).
 
     An item over the capacity is cut into full parts, each a sequence of its
     own, and a rest that is packed like any item. As many sequences are open
-    from the start as the tokens fill; more open when nothing has room. If the
-    cost rule loses more than LOSS against that bound, the shorter texts are
-    packed by tightest fit instead, as few of them as it takes. Ties go to the
-    lower key, then the lower sequence.
+    from the start as the tokens fill; more open when nothing has room. Ties go
+    to the lower key (none last), then the lower sequence.
     """
     whole, rest = [], []
     for key, tokens in items:
@@ -148,25 +108,15 @@ def pack_group(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, i
             rest.append((tokens, key, 0))
         elif tokens % capacity:
             rest.append((tokens % capacity, key, tokens // capacity))
-    rest.sort(key=lambda r: (-r[0], r[1], r[2]))
-    least = -(-sum(r[0] for r in rest) // capacity)
-    best, fewest = [], None
-    for share in TIGHT_UP_TO:
-        held = Sequences(capacity)
-        for _ in range(least):
-            held.put(0.0, held.count, capacity)
-            held.count += 1
-        out, used = [], set()
-        for tokens, key, part in rest:
-            cost, sequence, room = (held.take if tokens > share * capacity else held.take_tightest)(tokens)
-            out.append((key, part, len(whole) + sequence, capacity - room, tokens))
-            used.add(sequence)
-            held.put(cost + text_cost(tokens), sequence, room - tokens)
-        if fewest is None or len(used) < fewest:
-            best, fewest = out, len(used)
-        if fewest <= (len(whole) + least) * (1 + LOSS) - len(whole) or fewest <= least:
-            break
-    return whole + best
+    rest.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[2]))
+    held = Sequences(capacity)
+    held.open(-(-sum(r[0] for r in rest) // capacity))
+    out = []
+    for tokens, key, part in rest:
+        cost, sequence, room = held.take(tokens)
+        out.append((key, part, len(whole) + sequence, capacity - room, tokens))
+        held.put(cost + text_cost(tokens), sequence, room - tokens)
+    return whole + out
 
 
 PACKED = "target_name string, container string, position int, doc_id bigint, part int, tokens int, capacity int"
@@ -179,18 +129,19 @@ def pack(documents: DataFrame, targets: DataFrame, folder: str | None = None, vo
     capacity are left out). No text is split unless it exceeds the capacity.
     Empty and null texts take a place of 0 tokens. Containers never span
     groups; a container's name is its group and number. Repeated rows are
-    packed as often as they come.
+    packed as often as they come, rows without doc_id like any other.
     """
     sizes = [(r[0], r[1]) for r in targets.select("target_name", "capacity_tokens").filter("capacity_tokens > 0 and target_name is not null").distinct().orderBy("target_name", "capacity_tokens").take(MOST_TARGETS + 1)]
     if len(sizes) > MOST_TARGETS:
         raise ValueError("targets are a short list")
-    counts = materialise(token_counts(documents, folder, vocabulary), "token-counts")
+    # rows are numbered once, in the written table, so that one key's rows fall into many groups and stay there
+    counts = materialise(token_counts(documents, folder, vocabulary).withColumn("row", F.monotonically_increasing_id()), "token-counts")
     groups = max(1, -(-counts.count() // group_items))
     names = ["target_name", "container", "position", "doc_id", "part", "tokens", "capacity"]
 
-    def packed(group: int, items: list[tuple[int, int]]):
+    def packed(group: int, items: list[tuple[int | None, int]]):
         for name, capacity in sizes:
-            rows = [(name, f"{group}-{s}", at, doc, part, n, capacity) for doc, part, s, at, n in pack_group(items, capacity)]
+            rows = [(name, f"{group}-{s}", at, None if doc is None else str(doc), part, n, capacity) for doc, part, s, at, n in pack_group(items, capacity)]
             for k in range(0, len(rows), 50_000):
                 yield pd.DataFrame(rows[k : k + 50_000], columns=names)
 
@@ -198,21 +149,26 @@ def pack(documents: DataFrame, targets: DataFrame, folder: str | None = None, vo
         # one group at a time, out of sorted partitions
         now, items = None, []
         for b in batches:
-            for group, doc, tokens in zip(b["group"].tolist(), b["doc_id"].tolist(), b["n_tokens"].tolist()):
+            for group, doc, tokens in zip(b["group"].tolist(), b["key"].tolist(), b["n_tokens"].tolist()):
                 if group != now:
                     if items:
                         yield from packed(now, items)
                     now, items = group, []
-                items.append((doc, tokens))
+                items.append((None if doc is None else int(doc), tokens))
         if items:
             yield from packed(now, items)
 
-    grouped = counts.filter("doc_id is not null").withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    return grouped.repartition(min(groups, 8 * parallelism(documents.sparkSession)), "group").sortWithinPartitions("group", "doc_id").mapInPandas(run, PACKED)
+    grouped = counts.select(F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"), F.col("doc_id").cast("string").alias("key"), "n_tokens", "row")
+    placed = grouped.repartition(min(groups, 8 * parallelism(documents.sparkSession)), "group").sortWithinPartitions("group", "row").drop("row")
+    return placed.mapInPandas(run, PACKED.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Per target: containers, tokens, fill (tokens of the capacity), and the greatest and mean cost of a container."""
+    """Per target: containers, tokens, fill (tokens of the capacity), and the greatest, mean and standard deviation of a container's cost.
+
+    The cost of a container is the sum of its texts' costs; parts of texts over
+    the capacity fill containers of their own and are the greatest.
+    """
     cost = F.col("tokens") + F.col("tokens") * F.col("tokens") / F.lit(QUADRATIC)
     each = packed.groupBy("target_name", "container").agg(F.sum("tokens").alias("tokens"), F.sum(cost).alias("cost"), F.max("capacity").alias("capacity"))
     return each.groupBy("target_name").agg(
@@ -221,4 +177,5 @@ def fill_report(packed: DataFrame) -> DataFrame:
         F.round(F.sum("tokens") / F.sum("capacity"), 6).alias("fill"),
         F.round(F.max("cost"), 3).alias("greatest_cost"),
         F.round(F.avg("cost"), 3).alias("mean_cost"),
+        F.round(F.stddev_pop("cost"), 3).alias("cost_spread"),
     )
