@@ -157,3 +157,20 @@ def test_crowded_passages_and_copies_are_linked(spark, tmp_path):
             covered[61].update(range(r["from_b"], r["to_b"]))
     assert all(len(c) >= 20 * 450 for c in covered.values())
     assert {(r["a"], r["b"], r["matched"], r["edits"]) for r in rows if r["a"] >= 70} == {(70, 71, 500, 0), (70, 72, 500, 0)}
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 1500 characters with a share of characters changed, dropped or added: nearly all come out, aligned over nearly their whole length."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice(string.ascii_lowercase + " ") for _ in range(n))
+    docs, planted = [], 40
+    for k in range(planted):
+        passage = word(1500)
+        changed = "".join("" if (r := rng.random()) < 0.001 else c + rng.choice("xyz") if r < 0.002 else "#" if r < 0.003 else c for c in passage)
+        docs += [(2 * k, word(300) + passage + word(200)), (2 * k + 1, word(100) + changed + word(400))]
+    found = S.Shared(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    rows = found.aligned(found.passages(found.matches(), overlap=True)).collect()
+    whole = {r["a"] for r in rows if r["b"] == r["a"] + 1 and r["to_a"] - r["from_a"] >= 0.7 * 1500 and r["identity"] > 0.98}
+    any_ = {r["a"] for r in rows if r["b"] == r["a"] + 1}
+    print("fuzzy passages of", planted, ":", len(any_), "found,", len(whole), "over 70 % of their length")
+    assert len(any_) >= 0.9 * planted and len(whole) >= 0.7 * planted

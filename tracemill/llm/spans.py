@@ -1,5 +1,8 @@
 """Long exact spans shared between documents.
 
+An exact stretch is a chain of one match, so that chaining adds nothing to the
+exact spans; it is what makes fuzzy passages out of them (`Shared.passages`).
+
 Copies of whole texts are set aside first. Of every other text k-mer seeds are
 selected by winnowing, so that any stretch of `least` characters holds the same
 seed wherever it stands. Seeds that several documents have are joined; their
@@ -40,10 +43,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def rolling_hash(points: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of every window of `size` code points, by doubling."""
+def rolling_hash(points: np.ndarray, size: int, first: np.uint64 = _C[0]) -> np.ndarray:
+    """64-bit hash of every window of `size` code points, by doubling; another `first` constant gives another hash."""
     out, have = None, 0
-    piece = (points.astype(np.uint64) + np.uint64(1)) * _C[0]
+    piece = (points.astype(np.uint64) + np.uint64(1)) * first
     piece ^= piece >> np.uint64(31)
     length, rest, level = 1, size, 0
     while True:
@@ -121,7 +124,7 @@ def fingerprints(documents: DataFrame, least: int = LEAST_CHARS, size: int = SEE
                 rows.append((b["doc_id"].iloc[k], hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(text), h[first], p))
             yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_chars", "hashes", "places"])
 
-    return documents.select("doc_id", "text").filter(F.length("text") >= least).mapInPandas(run, FINGERPRINTS)
+    return documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= least)).mapInPandas(run, FINGERPRINTS)
 
 
 class Maxima:
@@ -286,11 +289,12 @@ class Shared:
         Of a seed of few documents: hash, doc_id, place, lead and the context
         that the windows of this seed cover, lead characters of it before the
         seed. Of seeds of many documents: a row per window of `least`
-        characters, its hash, doc_id and place; lead and context are null. If
+        characters, its two hashes (hash and check, 128 bits together), doc_id
+        and place; lead and context are null. If
         `linked`, these seeds have rows of the first form too, with many set.
         """
         least, size, linked = self.least, self.size, self.linked
-        names = ["hash", "doc_id", "place", "lead", "context", "many"]
+        names = ["hash", "check", "doc_id", "place", "lead", "context", "many"]
 
         def run(batches):
             for b in batches:
@@ -298,23 +302,24 @@ class Shared:
                 few, many = [set(x.tolist()) for x in b["few"]], [np.asarray(x, dtype=np.int64) for x in b["many"]]
                 for points, marks in _parts(list(texts.items()), least):
                     place, hashes = chosen_seeds(points, least, size)
-                    whole = rolling_hash(points, least) if any(len(many[k]) for k, *_ in marks) else None
+                    crowds = any(len(many[k]) for k, *_ in marks)
+                    whole, check = (rolling_hash(points, least, c) for c in (_C[0], _C[5])) if crowds else (None, None)
                     for k, start, at, length in marks:
                         own = place[start : start + length - least + 1]
                         doc = b["doc_id"].iloc[k]
                         if len(many[k]):
                             of = np.flatnonzero(np.isin(own - start + at, many[k]))
-                            yield pd.DataFrame({"hash": whole[start + of].view(np.int64), "doc_id": doc, "place": of + at, "lead": None, "context": None, "many": True})
+                            yield pd.DataFrame({"hash": whole[start + of].view(np.int64), "check": check[start + of].view(np.int64), "doc_id": doc, "place": of + at, "lead": None, "context": None, "many": True})
                         if few[k] or (linked and len(many[k])):
                             crowd = set(many[k].tolist()) if linked else set()
                             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                             tails = np.concatenate([heads[1:], [len(own)]]) - 1
                             for q, h, x, y in zip((own[heads] - start + at).tolist(), hashes[own[heads]].view(np.int64).tolist(), (heads + at).tolist(), (tails + at).tolist()):
                                 if q in few[k] or q in crowd:
-                                    rows.append((h, doc, q, q - x, texts[k][x : y + least], q in crowd))
+                                    rows.append((h, 0, doc, q, q - x, texts[k][x : y + least], q in crowd))
                 yield pd.DataFrame(rows, columns=names)
 
-        return marked.mapInPandas(run, "hash bigint, doc_id bigint, place int, lead int, context string, many boolean")
+        return marked.mapInPandas(run, "hash bigint, check bigint, doc_id bigint, place int, lead int, context string, many boolean")
 
     def matches(self) -> DataFrame:
         """a, b, at_a, at_b, length: exact matches around every seed that a pair of documents has in common, a < b.
@@ -357,22 +362,22 @@ class Shared:
         return sorted_.mapInPandas(run, "a bigint, b bigint, at_a int, at_b int, length int")
 
     def _star(self, rows: DataFrame) -> DataFrame:
-        """Every row (hash, doc_id, place, ..) of a hash that two documents have, as `x`, with one row of another document, as `y`.
+        """Every row (hash, check, doc_id, place, ..) of a hash that two documents have, as `x`, with one row of another document, as `y`.
 
         That document is the one of lowest doc_id, for its own rows the one of
         highest. The k-th row meets the k-th there, counted round, so that what
         repeats within texts keeps to few diagonals. Links are as many as rows.
         """
-        w = W.partitionBy("hash", "doc_id")
+        w = W.partitionBy("hash", "check", "doc_id")
         ranked = rows.distinct().withColumn("k", F.row_number().over(w.orderBy("place")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-        ends = ranked.groupBy("hash").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high")).filter("low.doc_id < high.doc_id")
+        ends = ranked.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high")).filter("low.doc_id < high.doc_id")
         own = F.col("doc_id") == F.col("low.doc_id")
         to = F.when(own, F.col("high")).otherwise(F.col("low"))
         # the first rows of the lowest document are met from the highest
-        held = ranked.join(ends, "hash").filter(~own | (F.col("k") >= F.col("high.n")))
-        x = held.select("hash", to["doc_id"].alias("to_doc"), (F.col("k") % to["n"]).alias("to_k"), F.struct(*rows.columns).alias("x"))
-        y = ranked.select("hash", F.col("doc_id").alias("to_doc"), F.col("k").cast("bigint").alias("to_k"), F.struct(*rows.columns).alias("y"))
-        return x.withColumn("to_k", F.col("to_k").cast("bigint")).join(y, ["hash", "to_doc", "to_k"]).select("x", "y")
+        held = ranked.join(ends, ["hash", "check"]).filter(~own | (F.col("k") >= F.col("high.n")))
+        x = held.select("hash", "check", to["doc_id"].alias("to_doc"), (F.col("k") % to["n"]).alias("to_k"), F.struct(*rows.columns).alias("x"))
+        y = ranked.select("hash", "check", F.col("doc_id").alias("to_doc"), F.col("k").cast("bigint").alias("to_k"), F.struct(*rows.columns).alias("y"))
+        return x.withColumn("to_k", F.col("to_k").cast("bigint")).join(y, ["hash", "check", "to_doc", "to_k"]).select("x", "y")
 
     def links(self) -> DataFrame:
         """a, b, at_a, at_b, length as in matches(), for what stands in more places than are paired.
@@ -397,8 +402,8 @@ class Shared:
                         rows.append((x["doc_id"], y["doc_id"], x["place"] - left, y["place"] - left, left + right))
                 yield pd.DataFrame(rows, columns=["a", "b", "at_a", "at_b", "length"])
 
-        seeds = self._star(many.filter("context is not null").select("hash", "doc_id", "place", "lead", "context"))
-        windows = self._star(many.filter("context is null").select("hash", "doc_id", "place"))
+        seeds = self._star(many.filter("context is not null").select("hash", "check", "doc_id", "place", "lead", "context"))
+        windows = self._star(many.filter("context is null").select("hash", "check", "doc_id", "place"))
         first, last = F.least("x", "y"), F.greatest("x", "y")
         # the hashes of both are equal, so that the documents decide
         whole = windows.select(first["doc_id"].alias("a"), last["doc_id"].alias("b"), first["place"].alias("at_a"), last["place"].alias("at_b"), F.lit(self.least).alias("length"))
@@ -471,9 +476,9 @@ class Shared:
 
     def crowded(self) -> DataFrame:
         """doc_id, start, length: stretches that stand in other documents too, around the seeds of many documents."""
-        windows = self.found.filter("context is null").select("doc_id", F.col("place").alias("start"), F.col("hash").alias("window"))
-        shared = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("window")
-        held = windows.join(shared, "window")
+        windows = self.found.filter("context is null").select("doc_id", F.col("place").alias("start"), "hash", "check")
+        shared = windows.groupBy("hash", "check").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("hash", "check")
+        held = windows.join(shared, ["hash", "check"])
         w = W.partitionBy("doc_id").orderBy("start")
         runs = held.withColumn("run", F.col("start") - F.dense_rank().over(w))
         return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + self.least).cast("int").alias("length")).drop("run")
@@ -490,8 +495,8 @@ def shared_chars(documents: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, shared_chars: characters of each document that lie in a stretch of `least` or more that another document has too.
 
     Only documents with such a stretch. Characters are code points, all count.
-    Null, empty and shorter texts have none; a doc_id that comes twice with one
-    text isn't another document.
+    Null, empty and shorter texts have none, rows without doc_id are left out;
+    a doc_id that comes twice with one text isn't another document.
     """
     found = Shared(documents, least)
     spans = stretches(found.passages(found.matches()), least).unionByName(found.crowded())
