@@ -3,157 +3,214 @@
 A prefix-filter set-similarity join: every spelling becomes a set of character
 tokens, tokens are ordered by global rarity, only the rare prefixes are joined,
 length and positional filters drop pairs that can't be similar enough, Jaccard
-is verified exactly, and the best entry is kept. An edit-distance check decides
-whether the best is a spelling of the entry or merely looks like one.
+is verified exactly, and the best entry is kept.
+
+What is joined are readings of the values (the whole, its parts, its last and
+first words) with spellings of the entries: their own names, abbreviations and
+stems made by rule, words of their gloss, and names out of a thesaurus, an
+input table. The edits that part a reading from a spelling, how much of the
+value was read and how the spelling came about decide which is best.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tracemill.llm.thesaurus import default_names
 from tracemill.session import materialise
 
+#: Fields that node_entries maps.
+FIELDS = ["equipment_class", "valve_type", "instrument_function"]
 #: Jaccard of token sets that a candidate has at least.
 LEAST_JACCARD = 0.35
+#: Edits that may part a reading from the longest spellings.
+MOST_EDITS = 2
+#: What an edit, a partial reading and a derived spelling cost; the least sum wins.
+EDIT, PART, TURNED, LAST, FIRST = 1.5, 1.0, 0.5, 2.0, 3.0
+KINDS = {"name": 0.0, "stem": 0.5, "head": 1.0, "short": 1.0, "other": 2.0, "gloss": 4.0}
+#: Which kind keeps a spelling that several entries have.
+DIRECT = ["name", "other", "head", "stem", "short", "gloss"]
+
+# Words that say nothing about what a value means, and numbers as words.
+SMALL_WORDS = ["no", "nr", "num", "of", "for", "the", "and", "by", "de", "del", "la", "der", "die", "das", "und", "y", "in", "on", "with", "to"]
+NUMBER_WORDS = {"1": "one", "2": "two", "3": "three", "4": "four"}
+#: Signs of stems, so that they only meet stems.
+_STEM = "~"
+
+
+def plain(value: Column) -> Column:
+    """Lower case without accents, apostrophes and quotes; underscores are blanks."""
+    x = F.regexp_replace(F.lower(value), "ß", "ss")
+    x = F.translate(x, "äöüáàâéèêíìîóòôúùûñç_", "aouaaaeeeiiiooouuunc ")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, "['\"`’´]", ""), r"\s+", " "))
+
+
+def stem(word: Column) -> Column:
+    """A word without the endings that make nouns and participles of verbs; words of a short stem as they are."""
+    return F.regexp_replace(word, "(?<=...)(ing|ers?|ors?)$", "")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{Nd}]+"), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\d") & ~w.isin(SMALL_WORDS))
+
+
+def readings(values: DataFrame, nouns: Column, longest: int) -> DataFrame:
+    """field_name, value, key, cost: the ways to read each value (field_name, value), as compact keys.
+
+    The whole; what commas, brackets and dashes part; 'b, a' and 'b for a' as
+    'a b'; of each the last words and the first words. Words of one letter,
+    numbers and small words count for nothing, `nouns` (what every value of the
+    field is) neither if others are left. longest: characters that a key has
+    at most to match anything, so that many words of it are looked at.
+    """
+    most = longest // 2 + 1
+    base = lambda text, cost: F.struct(text.alias("text"), F.lit(cost).alias("base"))
+    text = F.col("text")
+    parts = F.filter(F.split("text", r"[,;()\[\]]|\s-\s"), lambda p: F.trim(p) != "")
+    parted = values.withColumn("text", plain(F.col("value"))).withColumn("parts", F.when(text.rlike(r"[,;()\[\]]|\s-\s"), parts).otherwise(F.array().cast("array<string>")))
+    several = F.size("parts") > 1
+    turned = F.when(several, F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: base(F.concat_ws(" ", F.get("parts", k), F.get("parts", k - 1)), TURNED)))
+    cut = F.when(several, F.transform("parts", lambda p: base(p, PART)))
+    none = F.array().cast("array<struct<text:string,base:double>>")
+    bases = parted.select("field_name", "value", F.inline(F.concat(F.array(base(text, 0.0)), F.coalesce(turned, none), F.coalesce(cut, none))))
+    numbered = reduce(lambda x, n: F.regexp_replace(x, rf"(?<![\p{{L}}\p{{Nd}}]){n[0]}(?![\p{{L}}\p{{Nd}}])", n[1]), NUMBER_WORDS.items(), text)
+    about = F.regexp_extract("text", r"^(.+?) (?:for|of) (.+)$", 2)
+    more = F.array(
+        base(text, 0.0),
+        F.when(text.rlike(r"\d"), F.struct(numbered.alias("text"), F.lit(0.0).alias("base"))),
+        F.when(about != "", F.struct(F.concat_ws(" ", about, F.regexp_extract("text", r"^(.+?) (?:for|of) (.+)$", 1)).alias("text"), F.lit(TURNED).alias("base"))),
+    )
+    forms = bases.select("field_name", "value", F.col("base").alias("before"), F.inline(F.filter(more, lambda m: m.isNotNull()))).select("field_name", "value", "text", (F.col("before") + F.col("base")).alias("base"))
+    worded = forms.withColumn("every", _words(text)).withColumn("nouns", nouns)
+    worded = worded.withColumn("rest", F.filter("every", lambda w: ~F.array_contains("nouns", w))).withColumn("held", F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.col("every")))
+    n = F.size("held")
+    key = lambda words, extra: F.struct(F.array_join(words, "").alias("key"), F.lit(extra).alias("extra"))
+    steps = F.when(n > 1, F.sequence(F.lit(1), F.least(n - 1, F.lit(most)))).otherwise(F.array().cast("array<int>"))
+    # a stem stands for one word; the words of long texts are no values
+    stems = F.transform("held", lambda w: F.struct(F.concat(stem(w), F.lit(_STEM)).alias("key"), F.when(n > 1, F.lit(FIRST)).otherwise(F.lit(0.0)).alias("extra")))
+    ways = F.concat(
+        F.array(key(F.col("held"), 0.0), key(F.col("every"), 0.0)),
+        F.transform(steps, lambda k: key(F.slice("held", n - k + 1, k), LAST)),
+        F.transform(steps, lambda k: key(F.slice("held", F.lit(1), k), FIRST)),
+        F.when(n <= most, stems).otherwise(F.array().cast("array<struct<key:string,extra:double>>")),
+    )
+    read = worded.select("field_name", "value", "base", F.inline(ways)).filter((F.col("key") != "") & (F.length("key") <= longest))
+    return read.groupBy("field_name", "value", "key").agg(F.min(F.col("base") + F.col("extra")).alias("cost"))
+
+
+_VOWELS = re.compile("(?<=.)[aeiou]")
+_TWICE = re.compile(r"(.)\1")
+
+
+def short_forms(words: list[str]) -> set[str]:
+    """Abbreviations of a name by rule: vowels left out, words cut to their first letters, initials of three or more words."""
+    forms = []
+    for w in words:
+        bare = _TWICE.sub(r"\1", _VOWELS.sub("", w))
+        forms.append([w, *([bare] if 1 < len(bare) < len(w) else []), *(w[:n] for n in range(2 if len(words) == 1 else 3, min(len(w), 7)))])
+    if len(words) == 1:
+        return set(forms[0][1:])
+    out = {"".join(f[1] if k == j and len(f) > 1 else f[0] for k, f in enumerate(forms)) for j in range(len(words))}
+    out |= {"".join(words[:j] + [f] + words[j + 1 :]) for j in range(len(words)) for f in forms[j][1:]}
+    out.add("".join(f[1] if len(f) > 1 else f[0] for f in forms))
+    if len(words) > 2:
+        out.add("".join(w[0] for w in words))
+    return out - {"".join(words)}
+
+
+SPELLINGS = "field_name string, canonical string, entry_key string, kind string"
+
 
-# Other names of the entries, by field, in plain lower case.
-SYNONYMS = {
-    "equipment_class": {
-        "valve": "vlv, ventil, valvula, valve body",
-        "tank": "tk, tnk, storage tank, day tank, lagertank",
-        "vessel": "drum, knock-out drum, receiver drum, pressure vessel, behaelter, behalter",
-        "column": "tower, absorber tower, stripping tower, distillation column, kolonne",
-        "heat_exchanger": "hx, htx, heat exch, plate exchanger, shell and tube exchanger, warmetauscher, waermetauscher, exchanger",
-        "pump": "pmp, pumpe, bomba, centrifugal pump, metering pump",
-        "compressor": "compr, kompressor, reciprocating compressor, screw compressor",
-        "reactor": "stirred reactor, fixed bed reactor, rx vessel (reactor), reaktor",
-        "agitator": "agit, stirrer, ruhrwerk, ruehrwerk, top-entry agitator",
-        "filter": "fltr, filtre, basket filter, cartridge filter",
-        "separator": "sep, abscheider, oil/water separator, three-phase separator",
-        "fired_heater": "furnace, process furnace, fired htr",
-        "cooling_tower": "kuhlturm, kuehlturm, clg tower, ct (cooling tower)",
-        "fan_blower": "blower, fan, air blower, geblase, geblaese",
-        "turbine": "turb, gas turbine, steam turbine",
-        "centrifuge": "zentrifuge, decanter centrifuge, cfg (centrifuge)",
-        "dryer": "trockner, drying drum, rotary dryer, drier",
-        "weigher": "waage, weighing scale, belt weigher",
-        "mixer": "mischer, static mixer, inline mixer",
-        "burner": "brenner, gas burner, pilot burner",
-        "air_cooler": "fin-fan cooler, fin fan air cooler",
-    },
-    "valve_type": {
-        "gate": "gate valve, gate vlv, gv (gate), wedge gate, schieber",
-        "globe": "globe valve, globe vlv, globe pattern",
-        "check": "check valve, swing check, non-return valve, one-way valve, nrv",
-        "ball": "ball valve, ball vlv, full bore ball, kugelhahn",
-        "butterfly": "butterfly valve, wafer butterfly, bfly, b'fly valve, absperrklappe",
-        "control": "control valve, ctrl vlv, cv (control), modulating control valve, regelventil",
-        "safety_relief": "safety valve, relief valve, pressure safety valve, psv, prv, sicherheitsventil",
-        "three_way": "three way valve, 3-way, 3 way diverter, dreiwege",
-        "needle": "needle valve, needle vlv, nadelventil",
-        "plug": "plug valve, plug vlv, plug cock",
-        "strainer": "strnr, y-strainer, y type strainer, basket strainer",
-        "rupture_disc": "rupture disk, bursting disc, berstscheibe",
-    },
-    "instrument_function": {
-        "indicator": "ind, indicating, local indicator, gauge (indicator), anzeiger",
-        "transmitter": "xmtr, transm, transmitting, smart transmitter, messumformer",
-        "controller": "ctrlr, controlling, pid controller, regler",
-        "recorder": "rec, recording, chart recorder, schreiber",
-        "element": "elem, primary element, sensor element, sensing element",
-        "switch": "sw, limit switch, level switch, schalter",
-        "alarm": "alm, high alarm, alarm (low), annunciator alarm",
-        "valve_actuator": "actuator, act. for valve, positioner, valve positioner, stellantrieb",
-    },
-}
-
-#: Remarks around a value that say nothing about what it is.
-_REMARK = r"(\s+no\.?\s*\d+|\s*-\s*spare|\s*\(new\)|\s+a/b|\s*,\s*insulated|\s*,\s*spare|\s+\(existing\))$"
-
-
-def bare(value: Column) -> Column:
-    """A value in plain lower case without accents, quotes and remarks; 'b, a' as 'a b'."""
-    x = F.lower(F.trim(F.regexp_replace(value, r"\s+", " ")))
-    x = F.translate(F.regexp_replace(x, "ß", "ss"), "äöüáàâéèêíìîóòôúùûñç", "aouaaaeeeiiiooouuunc")
-    for _ in range(2):
-        x = F.regexp_replace(F.trim(x), r"^['\"`](.*)['\"`]$", "$1")
-        x = F.trim(F.regexp_replace(F.trim(x), _REMARK, ""))
-    x = F.regexp_replace(x, r"^['\"`](.*)['\"`]$", "$1")
-    x = F.regexp_replace(x, r"^existing\s+", "")
-    return F.regexp_replace(x, r"^([^,]+),\s*([^,]+)$", "$2 $1")
-
-
-def compact(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def token_set(keys: pd.Series) -> pd.Series:
+def spellings(canonical: DataFrame, names: DataFrame) -> DataFrame:
+    """field_name, canonical, entry_key, kind: every spelling of every entry of the list.
+
+    canonical: field_name, canonical, gloss; names: field_name, canonical, name
+    (those of no entry are left out). Of entries that share a spelling those
+    with the more direct kind keep it; shared abbreviations, heads, stems and
+    gloss words mean none of them.
+    """
+    known = canonical.filter("field_name is not null and canonical is not null").groupBy("field_name", "canonical").agg(F.max("gloss").alias("gloss"))
+    more = names.groupBy("field_name", "canonical").agg(F.collect_set("name").alias("names"))
+
+    def spell(batches):
+        for b in batches:
+            rows = []
+            for field, entry, own, gloss, others in zip(b.field_name, b.canonical, b.own, b.gloss_words, b.names):
+                words = [w for w in re.split(r"[\W_]+", own) if w]
+                put = lambda key, kind, f=field, e=entry: rows.append((f, e, key, kind)) if key else None
+                put("".join(words), "name")
+                put("".join(words) + "s", "name")
+                if len(words) == 1:
+                    put(re.sub("(?<=...)(ing|ers?|ors?)$", "", words[0]) + _STEM, "stem")
+                if len(words) > 1:
+                    put(words[-1], "head")
+                for s in short_forms(words) if words else ():
+                    put(s, "short")
+                for name in others if others is not None else ():
+                    held = [w for w in re.split(r"[\W_]+", name.lower()) if w]
+                    for form in {"".join(held), re.sub("(?<=[aou])e(?=[^aeiou])", "", "".join(held))}:
+                        put(form, "other")
+                    put("".join(w for w in held if w not in SMALL_WORDS), "other")
+                    put("".join(w for w in held if w != re.split(r"[\W_]+", field.lower())[0]), "other")
+                    if len(held) > 2:
+                        put("".join(w[0] for w in held), "short")
+                for w in gloss_words(gloss):
+                    put(w, "gloss")
+            yield pd.DataFrame(rows, columns=["field_name", "canonical", "entry_key", "kind"])
+
+    joined = known.join(more, ["field_name", "canonical"], "left").select("field_name", "canonical", plain(F.col("canonical")).alias("own"), plain(F.coalesce("gloss", F.lit(""))).alias("gloss_words"), "names")
+    rank = F.array_position(F.array(*[F.lit(k) for k in DIRECT]), F.col("kind"))
+    rows = joined.mapInPandas(spell, SPELLINGS).withColumn("rank", rank)
+    best = rows.withColumn("least", F.min("rank").over(W.partitionBy("field_name", "entry_key"))).filter("rank = least")
+    best = best.withColumn("owners", F.size(F.collect_set("canonical").over(W.partitionBy("field_name", "entry_key"))))
+    return best.filter((F.col("owners") == 1) | F.col("kind").isin("name", "other")).select("field_name", "canonical", "entry_key", "kind").distinct()
+
+
+def gloss_words(gloss: str) -> list[str]:
+    """Words of a gloss of four letters or more."""
+    return [w for w in re.split(r"[\W_]+", gloss) if len(w) > 3 and w not in SMALL_WORDS]
+
+
+def kind_cost(kind: Column) -> Column:
+    return reduce(lambda c, k: c.when(kind == k, F.lit(KINDS[k])), KINDS, F.when(F.lit(False), F.lit(0.0)))
+
+
+def token_set(key: Column) -> Column:
     """Tokens of compact keys: letters and padded pairs, each with its occurrence number, so that the set keeps counts."""
-    return pd.Series([_tokens(k) for k in keys])
-
-
-def _tokens(key: str | None) -> list[str]:
-    if not key:
-        return []
-    padded, seen, out = f"^{key}$", {}, []
-    for t in [*key, *(padded[i : i + 2] for i in range(len(key) + 1))]:
-        seen[t] = seen.get(t, 0) + 1
-        out.append(f"{t}#{seen[t]}")
-    return out
-
-
-@F.pandas_udf(T.IntegerType())
-def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Insertions, deletions, substitutions and swaps of neighbours between two keys, counted up to 4."""
-    return pd.Series([_edits(x, y) for x, y in zip(a, b)])
-
-
-def _edits(a: str, b: str, most: int = 4) -> int:
-    if abs(len(a) - len(b)) >= most:
-        return most
-    # a swap may have letters between its two places, each of them one more edit
-    wide = len(a) + len(b)
-    table = [[wide] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        table[i + 1][1] = i
-    for j in range(len(b) + 1):
-        table[1][j + 1] = j
-    seen: dict[str, int] = {}
-    for i, x in enumerate(a, 1):
-        met = 0
-        for j, y in enumerate(b, 1):
-            k, m = seen.get(y, 0), met
-            if x == y:
-                met = j
-            table[i + 1][j + 1] = min(
-                table[i][j] + (x != y), table[i + 1][j] + 1, table[i][j + 1] + 1, table[k][m] + (i - k - 1) + 1 + (j - m - 1)
-            )
-        seen[x] = i
-    return min(table[-1][-1], most)
-
-
-#: Edits that may part a key from the longest spellings.
-MOST_EDITS = 2
+    letters = F.split(key, "")
+    padded = F.concat(F.lit("^"), key, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    every = F.concat(letters, pairs)
+    numbered = F.transform(every, lambda t, i: F.concat(t, F.lit("#"), F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda u: u == t)).cast("string")))
+    return F.when(key.isNull() | (key == ""), F.array().cast("array<string>")).otherwise(numbered)
 
 
-def allowed_edits(length: Column) -> Column:
-    """Edits that may part a key from a spelling of this length."""
-    return F.when(length <= 3, 0).when(length <= 5, 1).otherwise(MOST_EDITS)
+def edits(a: Column, b: Column) -> Column:
+    """Insertions, deletions, substitutions and swaps of neighbours between two keys, exact up to MOST_EDITS.
 
+    A letter may also be dropped and its neighbours swapped, or the other way round.
+    """
+    cut = lambda k, i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k)))
+    meets = lambda k, other: F.exists(F.sequence(F.lit(1), F.length(k)), lambda i: F.exists(F.sequence(F.lit(1), F.length(k) - 2), lambda j: swap(cut(k, i), j) == other))
+    swap = lambda k, i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.lit(1)), F.substring(k, i, F.lit(1)), F.substring(k, i + 2, F.length(k)))
+    at = F.sequence(F.lit(1), F.length(a) - 1)
+    plain_ = F.levenshtein(a, b)
+    one = F.array_min(F.transform(at, lambda i: F.levenshtein(swap(a, i), b) + 1))
+    two = F.array_min(F.transform(at, lambda i: F.array_min(F.transform(at, lambda j: F.levenshtein(swap(swap(a, i), j), b) + 2))))
+    gone = F.when((plain_ == 3) & (F.length(a) == F.length(b) + 1) & (F.length(a) > 2), meets(a, b)).when((plain_ == 3) & (F.length(b) == F.length(a) + 1) & (F.length(b) > 2), meets(b, a))
+    return F.when((plain_ <= 1) | (F.length(a) < 2), plain_).when(F.coalesce(gone, F.lit(False)), 2).when(plain_ == 2, F.least(plain_, one)).when(plain_ <= 4, F.least(plain_, one, two)).otherwise(plain_)
 
-def spellings(spark: SparkSession, canonical: DataFrame) -> DataFrame:
-    """field_name, canonical, entry_key: every entry of the list with its synonyms; a bounded table."""
-    rows = [(f, c, n.strip()) for f, held in SYNONYMS.items() for c, names in held.items() for n in names.split(",")]
-    named = spark.createDataFrame(rows, "field_name string, canonical string, name string")
-    known = canonical.select("field_name", "canonical").filter("field_name is not null and canonical is not null").distinct()
-    own = known.select("field_name", "canonical", F.col("canonical").alias("name"))
-    more = named.join(known, ["field_name", "canonical"], "left_semi")
-    return own.unionByName(more).select("field_name", "canonical", compact(bare(F.regexp_replace("name", "_", " "))).alias("entry_key")).filter("entry_key <> ''").distinct()
+
+def allowed_edits(length: Column, partial: Column) -> Column:
+    """Edits that may part a key from a spelling of this length; fewer if the key is but some words of the value."""
+    whole = F.when(length <= 3, 0).when(length <= 5, 1).otherwise(MOST_EDITS)
+    return F.when(partial, F.when(length <= 3, 0).when(length <= 7, 1).otherwise(MOST_EDITS)).otherwise(whole)
 
 
 def _prefixed(rows: DataFrame, rarity: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -173,8 +230,8 @@ def _prefixed(rows: DataFrame, rarity: DataFrame, keys: list[str], least: float)
 def similar_entries(values: DataFrame, entries: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
     """field_name, key, entry_key, jaccard of all pairs with Jaccard >= least, each once.
 
-    values: field_name, key (distinct); entries: field_name, entry_key (distinct
-    after dropping other columns). Keys without tokens have no pairs.
+    values: field_name, key; entries: field_name, entry_key (of both distinct
+    ones count). Keys without tokens have no pairs.
     """
     v = values.select("field_name", "key").distinct().withColumn("tokens", token_set(F.col("key"))).filter("size(tokens) > 0")
     e = entries.select("field_name", "entry_key").distinct().withColumn("tokens", token_set(F.col("entry_key"))).filter("size(tokens) > 0")
@@ -197,29 +254,58 @@ def similar_entries(values: DataFrame, entries: DataFrame, least: float = LEAST_
     return met.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= least).select("field_name", "key", "entry_key", "jaccard")
 
 
-def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
+def _field_nouns(field: Column, canonical: DataFrame, names: DataFrame) -> Column:
+    """What every value of a field is, as an array of words: the first word of the field's name, with the names that it has as an entry itself.
+
+    A list has few fields; an error beyond a thousand.
+    """
+    fields = [r[0] for r in canonical.filter("field_name is not null").select("field_name").distinct().orderBy("field_name").take(1001)]
+    if len(fields) > 1000:
+        raise ValueError("a reference list has few fields")
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    firsts = {f: re.split(r"[\W_]+", f.lower())[0] for f in fields}
+    held: dict[str, set[str]] = {}
+    for entry, name in names.filter(F.col("canonical").isin(sorted(set(firsts.values())))).select("canonical", "name").distinct().take(10_000):
+        held.setdefault(entry, set()).add(name.lower())
+    for f, word in firsts.items():
+        words = {word, word + "s", *held.get(word, ())}
+        words |= {_TWICE.sub(r"\1", _VOWELS.sub("", word))}
+        out = out.when(field == f, F.array(*[F.lit(w) for w in sorted(words)]))
+    return F.coalesce(out, F.array().cast("array<string>"))
+
+
+def map_values(values: DataFrame, canonical: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """field_name, value, canonical for each distinct value: its entry, or '' if it means none.
 
-    values: field_name, value. The best entry has the fewest edits, then the
-    greatest Jaccard, then the least name. A value of several spellings (with
-    and without a plural s) takes the better. Null values are left out; empty
-    ones mean none.
+    values: field_name, value; canonical: field_name, canonical and, if it has
+    one, gloss; names: field_name, canonical, name, the thesaurus (where None
+    the default one, an empty table for none). The least sum of costs wins
+    (edits, partial reading, derived spelling), then fewest edits, the greatest
+    Jaccard, the least name. Null values are left out; empty ones mean none.
     """
-    spark = values.sparkSession
-    entries = spellings(spark, canonical)
+    if "gloss" not in canonical.columns:
+        canonical = canonical.withColumn("gloss", F.lit(""))
+    canonical = canonical.select("field_name", "canonical", "gloss")
+    names = (default_names(values.sparkSession) if names is None else names).filter("field_name is not null and canonical is not null and name is not null")
+    entries = materialise(spellings(canonical, names), "spellings")
     asked = values.filter("value is not null").select("field_name", "value").distinct()
-    key = compact(F.regexp_replace(bare(F.col("value")), "_", " "))
-    keyed = asked.withColumn("key", key)
-    keyed = keyed.withColumn("key", F.explode(F.array_distinct(F.array("key", F.regexp_replace("key", "(?<=...)s$", "")))))
-    # a key that is longer than every spelling and its edits can't be one
-    longest = entries.agg(F.coalesce(F.max(F.length("entry_key")), F.lit(0))).first()[0]
-    pairs = similar_entries(keyed.filter(F.length("key") <= longest + MOST_EDITS), entries).join(entries, ["field_name", "entry_key"])
-    # no more than MOST_EDITS of any kind means no more than twice as many without swaps, which the JVM counts
+    longest = entries.agg(F.coalesce(F.max(F.length("entry_key")), F.lit(0))).first()[0] + MOST_EDITS
+    keyed = materialise(readings(asked, _field_nouns(F.col("field_name"), canonical, names), longest), "readings")
+    pairs = similar_entries(keyed, entries)
+    # no more than MOST_EDITS of any kind means no more than twice as many without swaps
     pairs = pairs.filter(F.abs(F.length("key") - F.length("entry_key")) <= MOST_EDITS).filter(F.levenshtein("key", "entry_key", 2 * MOST_EDITS) >= 0)
-    close = pairs.withColumn("off", edits("key", "entry_key")).filter(F.col("off") <= allowed_edits(F.least(F.length("entry_key"), F.length("key") + 1)))
-    order = W.partitionBy("field_name", "key").orderBy("off", F.desc("jaccard"), "canonical")
-    best = close.withColumn("place", F.row_number().over(order)).filter("place = 1").select("field_name", "key", "canonical", "off", "jaccard")
-    chosen = keyed.join(best, ["field_name", "key"]).groupBy("field_name", "value").agg(F.min(F.struct("off", -F.col("jaccard"), "canonical")).alias("b"))
+    close = pairs.withColumn("off", edits(F.col("key"), F.col("entry_key"))).join(entries, ["field_name", "entry_key"])
+    scored = keyed.join(close, ["field_name", "key"])
+    partial = F.col("cost") >= LAST
+    free = F.col("kind").isin("name", "head", "other") & (F.col("off") <= allowed_edits(F.least(F.length("entry_key"), F.length("key") + 1), partial))
+    # an abbreviation may lack one more letter between its first and its last
+    dropped = (F.col("kind") == "short") & (F.col("off") == 1) & (F.length("key") == F.length("entry_key") - 1) & (F.length("entry_key") > 2)
+    dropped &= (F.substring("key", 1, 1) == F.substring("entry_key", 1, 1)) & (F.substring("key", -1, 1) == F.substring("entry_key", -1, 1))
+    scored = scored.filter(free | (F.col("off") == 0) | (dropped & ~partial))
+    # abbreviations stand for whole parts or the last words, words of the gloss for whole parts
+    scored = scored.filter(~((F.col("kind") == "short") & (F.col("cost") >= FIRST)) & ~((F.col("kind") == "gloss") & partial))
+    score = EDIT * F.col("off") + F.col("cost") + kind_cost(F.col("kind"))
+    chosen = scored.groupBy("field_name", "value").agg(F.min(F.struct(score.alias("score"), "off", (-F.col("jaccard")).alias("j"), "canonical")).alias("b"))
     return asked.join(chosen, ["field_name", "value"], "left").select("field_name", "value", F.coalesce("b.canonical", F.lit("")).alias("canonical"))
 
 
@@ -229,8 +315,8 @@ def node_values(nodes: DataFrame, fields: list[str]) -> DataFrame:
     return nodes.filter("node_id is not null").select("node_id", F.inline(held)).filter("value is not null")
 
 
-def node_entries(nodes: DataFrame, canonical: DataFrame) -> DataFrame:
+def node_entries(nodes: DataFrame, canonical: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """node_id, field_name, canonical of every node and field whose value isn't literally an entry."""
     known = canonical.select("field_name", F.col("canonical").alias("value")).distinct()
-    free = materialise(node_values(nodes, list(SYNONYMS)).join(known, ["field_name", "value"], "left_anti").distinct(), "free-values")
-    return free.join(map_values(free, canonical), ["field_name", "value"]).select("node_id", "field_name", "canonical").distinct()
+    free = materialise(node_values(nodes, FIELDS).join(known, ["field_name", "value"], "left_anti").distinct(), "free-values")
+    return free.join(map_values(free, canonical, names), ["field_name", "value"]).select("node_id", "field_name", "canonical").distinct()
