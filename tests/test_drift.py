@@ -22,8 +22,9 @@ def test_changes_of_a_series(spark):
     b = [{"id": f"n{i}", "tag": f"L{i}" if i != 4 else "edited", "attributes": {"klass": ["p", "q", "r"][i % 3], "ok": str(i % 2 == 0).lower()}, "fresh": f"x{i}"} for i in range(12)]
     c = [{"id": f"n{i}", "tag": f"L{i}", "attributes": {"klass": ["p", "q", "r"][i % 3], "ok": None}, "fresh": f"x{i}"} for i in range(12)]
     files = [("s", "s/1", "graph", a), ("s", "s/2", "graph", b + [None, "", "{", "[1]", {"id": None}]), ("s", "s/3", "graph", c), ("t", "t/1", "results", [{"trial": 1.0, "v": 1}]), ("t", "t/2", "results", [{"trial": 1, "w": 1.0}])]
-    cell = drift.cells(spark.createDataFrame(rows(files), FILES))
-    got = {tuple(r) for r in drift.layout_changes(cell).collect()}
+    table = spark.createDataFrame(rows(files), FILES)
+    profile = drift.column_profiles(table)
+    got = {tuple(r) for r in drift.layout_changes(profile).collect()}
     assert got == {
         ("s/2", "renamed", "label", "tag"),
         ("s/2", "renamed", "attributes.cls", "attributes.klass"),
@@ -32,13 +33,36 @@ def test_changes_of_a_series(spark):
         ("s/2", "added", "", "fresh"),
         ("t/2", "renamed", "v", "w"),
     }
-    names = {(r["file_name"], r["path"]): r["unified_path"] for r in drift.unified(cell, drift.layout_changes(cell)).collect()}
-    assert names["s/1", "label"] == "tag" and names["s/3", "tag"] == "tag" and names["s/1", "gone"] == "gone"
+    held = {}
+    for r in drift.unified(table, drift.unified_paths(profile, drift.layout_changes(profile))).collect():
+        held.setdefault(r["file_name"], {})[r["record"]] = (r["fields"], r["unfit"])
+    assert held["s/1"]["n3"] == ({"id": "n3", "tag": "L3", "attributes.klass": "p", "attributes.ok": "false", "gone": "3"}, [])
+    assert held["s/2"]["n4"][0]["tag"] == "edited" and held["s/3"]["n1"][0]["attributes.ok"] is None and held["t/1"]["1"][0] == {"trial": "1", "w": "1"}
+
+
+def test_values_of_other_kinds():
+    assert [drift.as_kind(v, k) for v, k in ((1, "string"), ("2.0", "number"), ("x", "number"), (" True", "boolean"), (0, "boolean"), (True, "number"), (None, "number"), ("a", "array"), (7, "boolean"))] == [
+        ("1", True), ("2", True), ("x", False), ("true", True), ("false", True), ("1", True), (None, True), ('["a"]', True), ("7", False)
+    ]
+
+
+def test_large_files_are_compared_by_sketches(spark, monkeypatch):
+    monkeypatch.setattr(drift, "SKETCH", 64)
+    rng = random.Random(4)
+    a = [{"id": i, "first": rng.random(), "second": rng.randrange(50), "third": i % 7} for i in range(1500)]
+    b = [{"id": r["id"], "une": r["first"] if rng.random() < 0.9 else 0, "deux": r["second"], "trois": rng.randrange(7)} for r in a if rng.random() < 0.9]
+    files = spark.createDataFrame(rows([("s", "s/1", "graph", a), ("s", "s/2", "graph", b)]), FILES).repartition(7)
+    profile = drift.column_profiles(files)
+    assert {r[0] for r in profile.selectExpr("size(sketch)").distinct().collect()} == {64}
+    got = {tuple(r) for r in drift.layout_changes(profile).collect()}
+    assert got == {("s/2", "renamed", "first", "une"), ("s/2", "renamed", "second", "deux"), ("s/2", "removed", "third", ""), ("s/2", "added", "", "trois")}
 
 
 def test_empty(spark):
-    cell = drift.cells(spark.createDataFrame([], FILES))
-    assert drift.layout_changes(cell).count() == 0
+    files = spark.createDataFrame([], FILES)
+    profile = drift.column_profiles(files)
+    assert drift.layout_changes(profile).count() == 0
+    assert drift.unified(files, drift.unified_paths(profile, drift.layout_changes(profile))).count() == 0
 
 
 def test_matching_is_best():

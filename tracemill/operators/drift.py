@@ -1,85 +1,127 @@
 """One consistent table out of files whose layout drifts, and a list of the changes.
 
-Columns of every file are profiled (types, counts), successive files of a
-series are compared, and columns that went are matched with columns that came
-by the values that they hold in the same records; a maximum-weight bipartite
-matching over value agreement and name similarity decides which were renamed.
+Every column of every file is profiled where its lines stand: rows, types, and
+a value sketch, which is the values' hashes of the SKETCH records of lowest key
+hash. As all sketches of a series prefer the same records, two of them tell how
+often two columns hold the same value in the same record; in files of up to
+SKETCH records they are exact. Successive files of a series are compared by
+their profiles, and columns that went are matched with columns that came: a
+maximum-weight bipartite matching over value agreement, types and name
+similarity decides which were renamed. Matched columns are then unified.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import re
+from collections import Counter
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.jsonwalk import clean, complete_json, kind_of, leaves, scalar_text
 
-CELLS = "file_series string, file_name string, written bigint, record string, path string, kind string, value string"
+#: Records that a sketch holds; agreement of larger files is estimated from so many (standard error under 1.6 points).
+SKETCH = 1024
+#: Kinds in the order that ties follow.
+KINDS = ("string", "number", "boolean", "array")
+PROFILES = "file_series string, file_name string, written bigint, path string, rows bigint, " + ", ".join(f"{k}s bigint" for k in KINDS) + ", records array<bigint>, marks array<bigint>"
+_NAMES = [x.split()[0] for x in PROFILES.split(", ")]
+#: Values held before a part of the profiles is handed on, and parts that one column of one file is merged in first.
+_HELD, _FOLDS = 400_000, 64
 
 
-def _value_text(value) -> str | None:
-    """Value for comparing; long ones as a digest, arrays as their canonical JSON."""
+def value_text(value) -> str | None:
+    """A value as text: arrays as their canonical JSON, 1 and 1.0 alike, None for null."""
     if isinstance(value, list):
-        import json
+        return clean(json.dumps(value, sort_keys=True, ensure_ascii=False))
+    return scalar_text(value)
 
-        text = clean(json.dumps(value, sort_keys=True, ensure_ascii=False))
-    else:
-        text = scalar_text(value)
-    if text is not None and len(text) > 200:
-        return "#" + hashlib.sha256(text.encode()).hexdigest()
-    return text
 
+def record_key(held: dict, source: str | None) -> str:
+    """What identifies a record between files: `id`, or `trial` in results; '' for a record without one."""
+    key = held.get("trial" if source == "results" else "id")
+    return "" if key is None or isinstance(key, (list, dict)) else scalar_text(key)
 
-def cells(files: DataFrame) -> DataFrame:
-    """One row per field of each record: series, file, moment, record key, path, kind, value.
 
-    The record key is `id`, or `trial` in results; records without one have ''.
-    Lines that aren't a complete JSON object give no row. Kind is null for nulls.
-    """
+def _lines(files: DataFrame) -> DataFrame:
+    return files.filter("file_series is not null and file_name is not null and written_at is not null and body is not null")
 
-    def read(batches):
-        for b in batches:
-            rows = []
-            for series, name, source, written, body in zip(b.file_series, b.file_name, b.source_kind, b.written, b.body):
-                whole, held = complete_json(body)
-                if not whole or not isinstance(held, dict):
-                    continue
-                key = held.get("trial" if source == "results" else "id")
-                record = "" if key is None or isinstance(key, (list, dict)) else scalar_text(key)
-                rows += [(series, name, written, record, clean(p), kind_of(v), _value_text(v)) for p, v in leaves(held)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=_NAMES)
-                    rows = []
-            yield pd.DataFrame(rows, columns=_NAMES)
 
-    picked = files.filter("file_series is not null and file_name is not null and written_at is not null and body is not null")
-    return picked.select("file_series", "file_name", "source_kind", F.unix_micros("written_at").alias("written"), "body").mapInPandas(read, CELLS)
+def column_profiles(files: DataFrame) -> DataFrame:
+    """One row per file and path: file_series, file_name, written, path, rows, rows by kind, sketch array<struct<record, mark>>.
 
+    Lines that aren't a complete JSON object give nothing. Nulls count as rows
+    of no kind and have mark 0; of a record that comes twice the greater mark
+    counts. Records without key aren't in sketches. Lines are profiled where
+    they stand and only profiles move; parts of one column are merged in two
+    steps, so that a file of any size stays bounded in each.
+    """
 
-_NAMES = [x.split()[0] for x in CELLS.split(", ")]
+    def read(batches):
+        held: dict[tuple, list] = {}
+        values = 0
 
+        def out():
+            rows = []
+            for (series, name, path), (written, n, kinds, records, marks) in held.items():
+                if len(records) > SKETCH:
+                    keep = sorted(set(zip(records, marks)))[:SKETCH]
+                    records, marks = [r for r, _ in keep], [m for _, m in keep]
+                rows.append((series, name, written, path, n, *(kinds.get(k, 0) for k in KINDS), records, marks))
+            return pd.DataFrame(rows, columns=_NAMES)
 
-def file_order(cell: DataFrame) -> DataFrame:
+        for b in batches:
+            for series, name, source, written, body in zip(b.file_series, b.file_name, b.source_kind, b.written, b.body):
+                whole, record = complete_json(body)
+                if not whole or not isinstance(record, dict):
+                    continue
+                key = record_key(record, source)
+                mark = crc32(key.encode()) if key else None
+                for path, value in leaves(record):
+                    kind = kind_of(value)
+                    at = held.get((series, name, path))
+                    if at is None:
+                        at = held[series, name, path] = [written, 0, {}, [], []]
+                    at[0] = min(at[0], written)
+                    at[1] += 1
+                    if kind is not None:
+                        at[2][kind] = at[2].get(kind, 0) + 1
+                    if mark is not None:
+                        at[3].append(mark)
+                        at[4].append(0 if kind is None else 1 + crc32(f"{kind}:{value_text(value)}".encode()))
+                    values += 1
+            if values > _HELD:
+                yield out()
+                held, values = {}, 0
+        yield out()
+
+    parts = _lines(files).select("file_series", "file_name", "source_kind", F.unix_micros("written_at").alias("written"), "body").mapInPandas(read, PROFILES)
+    sums = [F.min("written").alias("written"), *[F.sum(c).alias(c) for c in ("rows", *(f"{k}s" for k in KINDS))]]
+    lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch")
+    parts = parts.withColumn("sketch", F.arrays_zip(F.col("records").alias("record"), F.col("marks").alias("mark"))).withColumn("fold", F.spark_partition_id() % _FOLDS)
+    keys = ["file_series", "file_name", "path"]
+    folded = parts.groupBy(*keys, "fold").agg(*sums, lowest)
+    return folded.groupBy(*keys).agg(*sums, lowest)
+
+
+def file_order(profile: DataFrame) -> DataFrame:
     """Every file with the file of its series written just before (ties by name); null for the first."""
-    files = cell.groupBy("file_series", "file_name").agg(F.min("written").alias("written"))
+    files = profile.groupBy("file_series", "file_name").agg(F.min("written").alias("written"))
     w = W.partitionBy("file_series").orderBy("written", "file_name")
-    return files.withColumn("before", F.lag("file_name").over(w))
+    return files.withColumn("before", F.lag("file_name").over(w)).withColumn("next", F.lead("file_name").over(w))
 
 
-def profiles(cell: DataFrame) -> DataFrame:
-    """Per file and path: rows, and the kind that most non-null values have (ties: string, number, boolean, array)."""
-    of = lambda k: F.sum((F.col("kind") == k).cast("int"))
-    kinds = ("string", "number", "boolean", "array")
-    got = cell.groupBy("file_series", "file_name", "path").agg(F.count(F.lit(1)).alias("rows"), *[of(k).alias(k) for k in kinds])
-    top = F.greatest(*[F.coalesce(k, F.lit(0)) for k in kinds])
+def main_kind() -> Column:
+    """The kind that most non-null values have (ties in the order of KINDS), null where all are null."""
+    top = F.greatest(*[F.col(f"{k}s") for k in KINDS])
     kind = F.when(top == 0, F.lit(None).cast("string"))
-    for k in kinds:
-        kind = kind.when(F.coalesce(k, F.lit(0)) == top, k)
-    return got.select("file_series", "file_name", "path", "rows", kind.alias("kind"))
+    for k in KINDS:
+        kind = kind.when(F.col(f"{k}s") == top, k)
+    return kind
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -138,107 +180,155 @@ LEAST_KAPPA = 0.45
 CHANGES = "file_name string, change_kind string, old_path string, new_path string"
 
 
-def layout_changes(cell: DataFrame) -> DataFrame:
+def agreement(a: list, b: list) -> tuple[float, float] | None:
+    """(share of records with the same value, the same beyond chance) of two sketches; None without common records.
+
+    Counted over records that both have and where either value isn't null.
+    """
+    # beyond the last record of a full sketch nothing is known of its column
+    known = min((x[-1]["record"] for x in (a, b) if len(x) >= SKETCH), default=1 << 62)
+    left, right = ({r["record"]: r["mark"] for r in x if r["record"] <= known} for x in (a, b))
+    pairs = [(m, right[r]) for r, m in left.items() if r in right and (m or right[r])]
+    if not pairs:
+        return None
+    n = len(pairs)
+    share = sum(x == y for x, y in pairs) / n
+    first, second = Counter(x for x, _ in pairs), Counter(y for _, y in pairs)
+    chance = sum(c * second[x] for x, c in first.items()) / (n * n)
+    return share, (share - chance) / (1 - chance) if chance < 1 else 1.0
+
+
+def renames(gone: list, come: list) -> list[tuple[str, str]]:
+    """(old path, new path) of the columns (path, kind, sketch) that were renamed.
+
+    Pairs need LEAST_AGREEMENT and, where values vary, LEAST_KAPPA above chance;
+    the matching maximises agreement, equal types and name similarity decide
+    between equals.
+    """
+    weight = [[0.0] * len(come) for _ in gone]
+    for i, a in enumerate(gone):
+        for j, b in enumerate(come):
+            got = agreement(a["sketch"], b["sketch"])
+            if got and got[0] >= LEAST_AGREEMENT and (got[1] >= LEAST_KAPPA or got[0] == 1):
+                weight[i][j] = got[0] + 0.5 * got[1] + 0.1 * (a["kind"] == b["kind"]) + 0.3 * name_similarity(a["path"], b["path"])
+    return [(gone[i]["path"], come[j]["path"]) for i, j in best_matching(weight)]
+
+
+def layout_changes(profile: DataFrame) -> DataFrame:
     """file_name, change_kind, old_path, new_path against the file written just before.
 
-    cell: the rows of `cells`, read more than once (hand in a written table).
-    A first file of a series has no changes. Agreement is counted over records
-    that both files have and where either value isn't null; a record key that
-    comes twice counts with its greatest value. Pairs need LEAST_AGREEMENT and,
-    where values vary, LEAST_KAPPA above chance; the matching maximises
-    agreement, name similarity breaks ties.
+    profile: the rows of `column_profiles`, read more than once (hand in a
+    written table). A first file of a series has no changes. Every profile
+    stands once for its own file and once for the next; only columns that went
+    or came are looked up with their sketches.
     """
-    order = file_order(cell)
-    shape = profiles(cell)
-    now = order.filter("before is not null").select("file_series", "file_name", "before")
-    new = now.join(shape, ["file_series", "file_name"]).select("file_series", "file_name", "before", "path", F.col("kind").alias("new_kind"), F.lit(True).alias("new"))
-    old = now.join(shape.withColumnRenamed("file_name", "before"), ["file_series", "before"]).select(
-        "file_series", "file_name", "before", "path", F.col("kind").alias("old_kind"), F.lit(True).alias("old")
-    )
-    both = new.join(old, ["file_series", "file_name", "before", "path"], "full")
-    retyped = both.filter("new and old and new_kind is not null and old_kind is not null and new_kind <> old_kind").select(
-        "file_name", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path")
-    )
-    moved = both.filter("new is null or old is null").select(
-        "file_series", "file_name", "before", "path", F.col("old").isNotNull().alias("gone")
-    )
-    sides = moved.groupBy("file_series", "file_name", "before").agg(
-        F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("path")))).alias("gone"),
-        F.array_sort(F.collect_list(F.when(~F.col("gone"), F.col("path")))).alias("come"),
-    )
-    # only the columns that may have been renamed are read for their values
-    asked = sides.filter("size(gone) > 0 and size(come) > 0")
-    left = asked.select("file_series", F.col("before").alias("holder"), "file_name", F.explode("gone").alias("path"), F.lit(True).alias("gone"))
-    right = asked.select("file_series", F.col("file_name").alias("holder"), "file_name", F.explode("come").alias("path"), F.lit(False).alias("gone"))
-    values = (
-        cell.select("file_series", F.col("file_name").alias("holder"), "path", "record", F.concat("kind", F.lit(":"), "value").alias("value"))
-        .filter("record <> ''")
-        .join(left.unionByName(right), ["file_series", "holder", "path"])
-        .groupBy("file_series", "file_name", "record", "path", "gone")
-        .agg(F.max("value").alias("value"))
-    )
-    held = values.groupBy("file_series", "file_name", "record").agg(
-        F.collect_list(F.when(F.col("gone"), F.struct("path", "value"))).alias("a"),
-        F.collect_list(F.when(~F.col("gone"), F.struct("path", "value"))).alias("b"),
-    )
-    pairs = held.select("file_name", F.explode("a").alias("a"), "b").select("file_name", "a", F.explode("b").alias("b"))
-    pairs = pairs.filter("a.value is not null or b.value is not null").select(
-        "file_name", F.col("a.path").alias("old_path"), F.col("b.path").alias("new_path"), F.coalesce("a.value", F.lit("\0")).alias("av"), F.coalesce("b.value", F.lit("\0")).alias("bv")
-    )
-    # agreement beyond chance needs the marginals; counts per value, then per pair
-    joint = pairs.groupBy("file_name", "old_path", "new_path", "av", "bv").agg(F.count(F.lit(1)).alias("n"))
-    per_a = joint.groupBy("file_name", "old_path", "new_path", F.col("av").alias("v")).agg(F.sum("n").alias("na"), F.sum(F.when(F.col("av") == F.col("bv"), F.col("n"))).alias("same"))
-    per_b = joint.groupBy("file_name", "old_path", "new_path", F.col("bv").alias("v")).agg(F.sum("n").alias("nb"))
-    agreed = (
-        per_a.join(per_b, ["file_name", "old_path", "new_path", "v"], "left")
-        .groupBy("file_name", "old_path", "new_path")
-        .agg(F.sum("na").alias("n"), F.coalesce(F.sum("same"), F.lit(0)).alias("same"), F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("chance"))
+    order = file_order(profile)
+    shape = profile.select("file_series", "file_name", "path", main_kind().alias("kind")).join(order.select("file_series", "file_name", "before", "next"), ["file_series", "file_name"])
+    side = lambda name, new: F.when(F.col("before" if new else "next").isNotNull(), F.struct(F.col(name).alias("pair"), F.lit(new).alias("new")))
+    sides = shape.select("file_series", "file_name", "path", "kind", F.inline(F.filter(F.array(side("file_name", True), side("next", False)), lambda s: s.isNotNull())))
+    of = lambda new: F.max(F.when(F.col("new") == new, F.struct("file_name", "kind")))
+    both = sides.groupBy("file_series", "pair", "path").agg(of(True).alias("now"), of(False).alias("was"))
+    retyped = both.filter("now is not null and was is not null and now.kind is not null and was.kind is not null and now.kind <> was.kind").select(
+        F.col("pair").alias("file_name"), F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path")
     )
-    agreed = (
-        agreed.withColumn("share", F.col("same") / F.col("n"))
-        .withColumn("chance", F.col("chance") / (F.col("n") * F.col("n")))
-        .withColumn("kappa", F.when(F.col("chance") < 1, (F.col("share") - F.col("chance")) / (1 - F.col("chance"))).otherwise(F.lit(1.0)))
-        .filter((F.col("share") >= LEAST_AGREEMENT) & ((F.col("kappa") >= LEAST_KAPPA) | (F.col("share") == 1)))
+    moved = both.filter("now is null or was is null").select(
+        "file_series", "pair", "path", F.col("was").isNotNull().alias("gone"), F.coalesce("was.file_name", "now.file_name").alias("file_name"), F.coalesce("was.kind", "now.kind").alias("kind")
     )
-    scored = agreed.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("old_path", "new_path", "share", "kappa"))).alias("pairs"))
+    held = moved.join(profile.select("file_series", "file_name", "path", "sketch"), ["file_series", "file_name", "path"])
+    column = F.struct("path", "kind", "sketch")
+    sorted_ = lambda x: F.array_sort(F.collect_list(x), lambda p, q: F.when(p["path"] < q["path"], -1).when(p["path"] > q["path"], 1).otherwise(0))
+    files = held.groupBy("file_series", "pair").agg(sorted_(F.when(F.col("gone"), column)).alias("gone"), sorted_(F.when(~F.col("gone"), column)).alias("come"))
 
     def match(batches):
         for b in batches:
             rows = []
-            for name, gone, come, held_pairs in zip(b.file_name, b.gone, b.come, b.pairs):
+            for name, gone, come in zip(b.pair, b.gone, b.come):
                 gone, come = list(gone), list(come)
-                renamed = []
-                if held_pairs is not None and len(held_pairs):
-                    a = sorted({p["old_path"] for p in held_pairs})
-                    z = sorted({p["new_path"] for p in held_pairs})
-                    weight = [[0.0] * len(z) for _ in a]
-                    for p in held_pairs:
-                        weight[a.index(p["old_path"])][z.index(p["new_path"])] = p["share"] + 0.5 * p["kappa"] + 0.3 * name_similarity(p["old_path"], p["new_path"])
-                    renamed = [(a[i], z[j]) for i, j in best_matching(weight)]
-                rows += [(name, "renamed", x, y) for x, y in renamed]
-                rows += [(name, "removed", x, "") for x in gone if x not in {r[0] for r in renamed}]
-                rows += [(name, "added", "", x) for x in come if x not in {r[1] for r in renamed}]
+                named = renames(gone, come)
+                old, new = {x for x, _ in named}, {y for _, y in named}
+                rows += [(name, "renamed", x, y) for x, y in named]
+                rows += [(name, "removed", c["path"], "") for c in gone if c["path"] not in old]
+                rows += [(name, "added", "", c["path"]) for c in come if c["path"] not in new]
             yield pd.DataFrame(rows, columns=["file_name", "change_kind", "old_path", "new_path"])
 
-    rest = sides.join(scored, "file_name", "left").select("file_name", "gone", "come", "pairs").mapInPandas(match, CHANGES)
-    return rest.unionByName(retyped)
+    return files.select("pair", "gone", "come").mapInPandas(match, CHANGES).unionByName(retyped)
 
 
-def unified(cell: DataFrame, changes: DataFrame) -> DataFrame:
-    """One consistent table: every cell under the newest name that its column was given in its series.
+def unified_paths(profile: DataFrame, changes: DataFrame) -> DataFrame:
+    """file_series, file_name, names map<path, unified path>, kinds map<unified path, kind>: what each file's columns are called in the end.
 
     Renames are followed file by file: a column's final name is the name at the
-    end of its chain of renames after the file that the cell stands in. Chains
-    are per series and path, so only paths, not cells, are grouped.
+    end of its chain of renames after the file that it stands in. Its kind is
+    the one of the last file of the series that has it with values.
     """
-    order = file_order(cell).select("file_series", "file_name", F.col("written").alias("moment"))
-    moves = changes.filter("change_kind = 'renamed'").join(order, "file_name").select("file_series", "moment", "old_path", "new_path")
-    chains = moves.groupBy("file_series").agg(F.array_sort(F.collect_list(F.struct("moment", "old_path", "new_path"))).alias("moves"))
-    paths = cell.select("file_series", "written", "path").distinct().join(chains, "file_series", "left")
-    final = F.aggregate(
-        F.filter(F.coalesce("moves", F.array().cast("array<struct<moment:bigint,old_path:string,new_path:string>>")), lambda m: m["moment"] > F.col("written")),
-        F.col("path"),
-        lambda p, m: F.when(m["old_path"] == p, m["new_path"]).otherwise(p),
-    )
-    named = paths.select("file_series", "written", "path", final.alias("unified_path"))
-    return cell.join(named, ["file_series", "written", "path"]).select("file_series", "file_name", "record", "unified_path", "path", "kind", "value")
+    order = file_order(profile).select("file_series", "file_name", "written")
+    moves = changes.filter("change_kind = 'renamed'").join(order, "file_name").select("file_series", "written", "file_name", "old_path", "new_path")
+    chains = moves.groupBy("file_series").agg(F.array_sort(F.collect_list(F.struct("written", "file_name", "old_path", "new_path"))).alias("moves"))
+    none = F.array().cast("array<struct<written:bigint,file_name:string,old_path:string,new_path:string>>")
+    shape = profile.select("file_series", "file_name", "path", main_kind().alias("kind")).join(order, ["file_series", "file_name"]).join(chains, "file_series", "left")
+    later = F.filter(F.coalesce("moves", none), lambda m: (m["written"] > F.col("written")) | ((m["written"] == F.col("written")) & (m["file_name"] > F.col("file_name"))))
+    final = F.aggregate(later, F.col("path"), lambda p, m: F.when(m["old_path"] == p, m["new_path"]).otherwise(p))
+    named = shape.select("file_series", "file_name", "written", "path", "kind", final.alias("unified_path"))
+    last = named.filter("kind is not null").groupBy("file_series", "unified_path").agg(F.max(F.struct("written", "file_name", "kind"))["kind"].alias("kind"))
+    kinds = last.groupBy("file_series").agg(F.map_from_entries(F.collect_list(F.struct("unified_path", "kind"))).alias("kinds"))
+    names = named.groupBy("file_series", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("path", "unified_path"))).alias("names"))
+    return names.join(kinds, "file_series", "left")
+
+
+def as_kind(value, kind: str | None):
+    """(text of a value as that kind, whether it could be made one). Nulls stay null; what can't keeps its own text."""
+    own, text = kind_of(value), value_text(value)
+    if own is None or kind is None or own == kind or kind == "string":
+        return text, True
+    if kind == "array":
+        return value_text([value]), True
+    if isinstance(value, str):
+        bare = value.strip()
+        if kind == "boolean" and bare.lower() in ("true", "false"):
+            return bare.lower(), True
+        if kind == "number":
+            whole, number = complete_json(bare)
+            if whole and kind_of(number) == "number":
+                return scalar_text(number), True
+    elif kind == "number" and isinstance(value, bool):
+        return str(int(value)), True
+    elif kind == "boolean" and value in (0, 1):
+        return "true" if value else "false", True
+    return text, False
+
+
+UNIFIED = "file_series string, file_name string, line_no int, record string, fields map<string,string>, unfit array<string>"
+
+
+def unified(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The one consistent table: a row per line, its fields under their unified names, as text of their unified kind.
+
+    files: the lines; paths: the rows of `unified_paths`, one per file. Fields
+    whose value can't be made the column's kind keep their text and are named
+    in `unfit`. Where two columns of a file end as one, the one already so
+    named counts. Lines that aren't a complete JSON object give none; lines
+    that come twice give two rows.
+    """
+
+    def rename(batches):
+        for b in batches:
+            rows = []
+            for series, name, source, line, body, names, kinds in zip(b.file_series, b.file_name, b.source_kind, b.line_no, b.body, b.names, b.kinds):
+                whole, held = complete_json(body)
+                if not whole or not isinstance(held, dict):
+                    continue
+                to, kinds = dict(names or {}), dict(kinds or {})
+                fields, unfit = {}, []
+                for path, value in leaves(held):
+                    final = to.get(path, path)
+                    if final in fields and path != final:
+                        continue
+                    text, fits = as_kind(value, kinds.get(final))
+                    fields[clean(final)] = text
+                    if not fits:
+                        unfit.append(clean(final))
+                rows.append((series, name, None if line is None or line != line else int(line), record_key(held, source), fields, unfit))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in UNIFIED.split(", ")])
+
+    lines = _lines(files).select("file_series", "file_name", "source_kind", "line_no", "body")
+    return lines.join(paths, ["file_series", "file_name"]).mapInPandas(rename, UNIFIED)

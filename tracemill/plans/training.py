@@ -79,20 +79,22 @@ def p2_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    cell = materialise(drift.cells(table(spark, d, "file_records")), "cells")
-    return drift.layout_changes(cell).select(
-        "file_name", "change_kind", F.coalesce("old_path", F.lit("")).alias("old_path"), F.coalesce("new_path", F.lit("")).alias("new_path")
-    )
+    profiles = materialise(drift.column_profiles(table(spark, d, "file_records")), "column-profiles")
+    return drift.layout_changes(profiles)
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
-    """Cells per unified column: how many, from how many files, under how many names."""
-    cell = materialise(drift.cells(table(spark, d, "file_records")), "cells")
-    changes_ = materialise(drift.layout_changes(cell), "changes")
-    return (
-        drift.unified(cell, changes_)
-        .groupBy("file_series", "unified_path")
-        .agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("file_name").alias("files"), F.countDistinct("path").alias("names"))
+    """The unified columns of each series: rows and values in them, from how many files, how many were converted in vain."""
+    files = table(spark, d, "file_records")
+    profiles = materialise(drift.column_profiles(files), "column-profiles")
+    changes_ = materialise(drift.layout_changes(profiles), "changes")
+    rows = drift.unified(files, drift.unified_paths(profiles, changes_))
+    cells = rows.select("file_series", "file_name", "unfit", F.explode("fields").alias("unified_path", "value"))
+    return cells.groupBy("file_series", "unified_path").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count("value").alias("filled"),
+        F.countDistinct("file_name").alias("files"),
+        F.sum(F.array_contains("unfit", F.col("unified_path")).cast("bigint")).alias("unfit"),
     )
 
 
