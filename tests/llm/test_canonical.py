@@ -99,7 +99,7 @@ def test_edits_against_brute_force(spark):
 def test_readings(spark):
     df = spark.createDataFrame([("f", " 'Mixer' no. 4"), ("f", "Tower, Cooling"), ("f", "existing  PUMP (new)"), ("f", "act. for valve"), ("f", "3-way"), ("f", None)], "field_name string, value string")
     got = {}
-    for r in C.readings(df.filter("value is not null"), F.array(F.lit("thing")), 40).collect():
+    for r in C.readings(df.filter("value is not null"), {"f": ["thing"]}, 40).collect():
         got.setdefault(r["value"], {})[r["key"]] = r["cost"]
     assert got[" 'Mixer' no. 4"]["mixer"] == 0 and got["Tower, Cooling"]["coolingtower"] == C.TURNED and got["act. for valve"]["valveact"] == C.TURNED
     assert got["existing  PUMP (new)"]["pump"] == C.TURNED + C.LAST and got["3-way"]["threeway"] == 0

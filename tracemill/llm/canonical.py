@@ -21,14 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.llm.thesaurus import default_names
 from tracemill.session import materialise
 
 #: Fields that node_entries maps.
 FIELDS = ["equipment_class", "valve_type", "instrument_function"]
-#: Jaccard of token sets that a candidate has at least.
-LEAST_JACCARD = 0.35
 #: Edits that may part a reading from the longest spellings.
 MOST_EDITS = 2
 #: What an edit, a partial reading and a derived spelling cost; the least sum wins.
@@ -39,6 +38,7 @@ DIRECT = ["name", "other", "head", "stem", "short", "gloss"]
 
 # Words that say nothing about what a value means, and numbers as words.
 SMALL_WORDS = ["no", "nr", "num", "of", "for", "the", "and", "by", "de", "del", "la", "der", "die", "das", "und", "y", "in", "on", "with", "to"]
+_SMALL = frozenset(SMALL_WORDS)
 NUMBER_WORDS = {"1": "one", "2": "two", "3": "three", "4": "four"}
 #: Signs of stems, so that they only meet stems.
 _STEM = "~"
@@ -51,17 +51,20 @@ def plain(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "['\"`’´]", ""), r"\s+", " "))
 
 
-def stem(word: Column) -> Column:
-    """A word without the endings that make nouns and participles of verbs; words of a short stem as they are."""
-    return F.regexp_replace(word, "(?<=...)(ing|ers?|ors?)$", "")
+_ENDING = re.compile("(?<=...)(ing|ers?|ors?)$")
+_PARTS = re.compile(r"[,;()\[\]]|\s-\s")
+_ABOUT = re.compile(r"^(.+?) (?:for|of) (.+)$")
+_WORD = re.compile(r"[^\W_]+")
+_NUMBERED = re.compile(r"(?<![^\W_])[1-4](?![^\W_])")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[^\p{L}\p{Nd}]+"), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\d") & ~w.isin(SMALL_WORDS))
+def stem(word: str) -> str:
+    """A word without the endings that make nouns and participles of verbs; words of a short stem as they are."""
+    return _ENDING.sub("", word)
 
 
-def readings(values: DataFrame, nouns: Column, longest: int) -> DataFrame:
-    """field_name, value, key, cost: the ways to read each value (field_name, value), as compact keys.
+def read_value(text: str, nouns: frozenset[str], longest: int) -> dict[str, float]:
+    """Keys and their costs: the ways to read a plain value.
 
     The whole; what commas, brackets and dashes part; 'b, a' and 'b for a' as
     'a b'; of each the last words and the first words. Words of one letter,
@@ -69,39 +72,47 @@ def readings(values: DataFrame, nouns: Column, longest: int) -> DataFrame:
     field is) neither if others are left. longest: characters that a key has
     at most to match anything, so that many words of it are looked at.
     """
-    most = longest // 2 + 1
-    base = lambda text, cost: F.struct(text.alias("text"), F.lit(cost).alias("base"))
-    text = F.col("text")
-    parts = F.filter(F.split("text", r"[,;()\[\]]|\s-\s"), lambda p: F.trim(p) != "")
-    parted = values.withColumn("text", plain(F.col("value"))).withColumn("parts", F.when(text.rlike(r"[,;()\[\]]|\s-\s"), parts).otherwise(F.array().cast("array<string>")))
-    several = F.size("parts") > 1
-    turned = F.when(several, F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: base(F.concat_ws(" ", F.get("parts", k), F.get("parts", k - 1)), TURNED)))
-    cut = F.when(several, F.transform("parts", lambda p: base(p, PART)))
-    none = F.array().cast("array<struct<text:string,base:double>>")
-    bases = parted.select("field_name", "value", F.inline(F.concat(F.array(base(text, 0.0)), F.coalesce(turned, none), F.coalesce(cut, none))))
-    numbered = reduce(lambda x, n: F.regexp_replace(x, rf"(?<![\p{{L}}\p{{Nd}}]){n[0]}(?![\p{{L}}\p{{Nd}}])", n[1]), NUMBER_WORDS.items(), text)
-    about = F.regexp_extract("text", r"^(.+?) (?:for|of) (.+)$", 2)
-    more = F.array(
-        base(text, 0.0),
-        F.when(text.rlike(r"\d"), F.struct(numbered.alias("text"), F.lit(0.0).alias("base"))),
-        F.when(about != "", F.struct(F.concat_ws(" ", about, F.regexp_extract("text", r"^(.+?) (?:for|of) (.+)$", 1)).alias("text"), F.lit(TURNED).alias("base"))),
-    )
-    forms = bases.select("field_name", "value", F.col("base").alias("before"), F.inline(F.filter(more, lambda m: m.isNotNull()))).select("field_name", "value", "text", (F.col("before") + F.col("base")).alias("base"))
-    worded = forms.withColumn("every", _words(text)).withColumn("nouns", nouns)
-    worded = worded.withColumn("rest", F.filter("every", lambda w: ~F.array_contains("nouns", w))).withColumn("held", F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.col("every")))
-    n = F.size("held")
-    key = lambda words, extra: F.struct(F.array_join(words, "").alias("key"), F.lit(extra).alias("extra"))
-    steps = F.when(n > 1, F.sequence(F.lit(1), F.least(n - 1, F.lit(most)))).otherwise(F.array().cast("array<int>"))
-    # a stem stands for one word; the words of long texts are no values
-    stems = F.transform("held", lambda w: F.struct(F.concat(stem(w), F.lit(_STEM)).alias("key"), F.when(n > 1, F.lit(FIRST)).otherwise(F.lit(0.0)).alias("extra")))
-    ways = F.concat(
-        F.array(key(F.col("held"), 0.0), key(F.col("every"), 0.0)),
-        F.transform(steps, lambda k: key(F.slice("held", n - k + 1, k), LAST)),
-        F.transform(steps, lambda k: key(F.slice("held", F.lit(1), k), FIRST)),
-        F.when(n <= most, stems).otherwise(F.array().cast("array<struct<key:string,extra:double>>")),
-    )
-    read = worded.select("field_name", "value", "base", F.inline(ways)).filter((F.col("key") != "") & (F.length("key") <= longest))
-    return read.groupBy("field_name", "value", "key").agg(F.min(F.col("base") + F.col("extra")).alias("cost"))
+    most, out = longest // 2 + 1, {}
+    parts = [p.strip() for p in _PARTS.split(text) if p.strip()]
+    texts = [(text, 0.0)]
+    if len(parts) > 1:
+        texts += [(f"{b} {a}", TURNED) for a, b in zip(parts, parts[1:])] + [(p, PART) for p in parts]
+    for t, cost in list(texts):
+        if _NUMBERED.search(t):
+            texts.append((_NUMBERED.sub(lambda m: NUMBER_WORDS[m[0]], t), cost))
+        if m := _ABOUT.match(t):
+            texts.append((f"{m[2]} {m[1]}", cost + TURNED))
+
+    def put(key: str, cost: float) -> None:
+        if 0 < len(key) <= longest and cost < out.get(key, 99.0):
+            out[key] = cost
+
+    for t, cost in texts:
+        every = [w for w in _WORD.findall(t) if len(w) > 1 and not w[0].isdigit() and w not in _SMALL]
+        held = [w for w in every if w not in nouns] or every
+        n = len(held)
+        for words in (held, every):
+            if len(words) <= longest:
+                put("".join(words), cost)
+        for k in range(1, min(n - 1, most) + 1):
+            put("".join(held[n - k :]), cost + LAST)
+            put("".join(held[:k]), cost + FIRST)
+        if n <= most:  # a stem stands for one word; the words of long texts are no values
+            for w in held:
+                put(stem(w) + _STEM, cost + (FIRST if n > 1 else 0.0))
+    return out
+
+
+def readings(values: DataFrame, nouns: dict[str, list[str]], longest: int) -> DataFrame:
+    """field_name, value, key, cost: the ways to read each value (field_name, value), as compact keys (`read_value`). nouns: by field."""
+    held = {f: frozenset(words) for f, words in nouns.items()}
+
+    def read(batches):
+        for b in batches:
+            rows = [(f, v, k, c) for f, v, t in zip(b.field_name, b.value, b.text) for k, c in read_value(t, held.get(f, frozenset()), longest).items()]
+            yield pd.DataFrame(rows, columns=["field_name", "value", "key", "cost"])
+
+    return values.select("field_name", "value", plain(F.col("value")).alias("text")).mapInPandas(read, "field_name string, value string, key string, cost double")
 
 
 _VOWELS = re.compile("(?<=.)[aeiou]")
@@ -147,7 +158,7 @@ def spellings(canonical: DataFrame, names: DataFrame) -> DataFrame:
                 put("".join(words), "name")
                 put("".join(words) + "s", "name")
                 if len(words) == 1:
-                    put(re.sub("(?<=...)(ing|ers?|ors?)$", "", words[0]) + _STEM, "stem")
+                    put(stem(words[0]) + _STEM, "stem")
                 if len(words) > 1:
                     put(words[-1], "head")
                 for s in short_forms(words) if words else ():
@@ -181,14 +192,20 @@ def kind_cost(kind: Column) -> Column:
     return reduce(lambda c, k: c.when(kind == k, F.lit(KINDS[k])), KINDS, F.when(F.lit(False), F.lit(0.0)))
 
 
-def token_set(key: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def token_set(keys: pd.Series) -> pd.Series:
     """Tokens of compact keys: letters and padded pairs, each with its occurrence number, so that the set keeps counts."""
-    letters = F.split(key, "")
-    padded = F.concat(F.lit("^"), key, F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.substring(padded, i, F.lit(2)))
-    every = F.concat(letters, pairs)
-    numbered = F.transform(every, lambda t, i: F.concat(t, F.lit("#"), F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda u: u == t)).cast("string")))
-    return F.when(key.isNull() | (key == ""), F.array().cast("array<string>")).otherwise(numbered)
+    return pd.Series([_tokens(k) for k in keys])
+
+
+def _tokens(key: str | None) -> list[str]:
+    if not key:
+        return []
+    padded, seen, out = f"^{key}$", {}, []
+    for t in [*key, *(padded[i : i + 2] for i in range(len(key) + 1))]:
+        seen[t] = seen.get(t, 0) + 1
+        out.append(f"{t}#{seen[t]}")
+    return out
 
 
 def edits(a: Column, b: Column) -> Column:
@@ -213,65 +230,95 @@ def allowed_edits(length: Column, partial: Column) -> Column:
     return F.when(partial, F.when(length <= 3, 0).when(length <= 7, 1).otherwise(MOST_EDITS)).otherwise(whole)
 
 
-def _prefixed(rows: DataFrame, rarity: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """Each row with its tokens in order of rarity, one line per token of its prefix: token, at (place from 0), size, tokens."""
+#: Lengths up to which the least Jaccard is told apart.
+_LENGTHS = 64
+
+
+def _edits_of(length: int) -> int:
+    return 0 if length <= 3 else 1 if length <= 5 else MOST_EDITS
+
+
+def least_jaccard() -> tuple[list[float], list[float]]:
+    """By the length of a key, and of a spelling: what the token sets of any two that may match have in common at least.
+
+    An edit takes three tokens of the longer one at most; abbreviations of
+    three letters or more may lack one more letter.
+    """
+    keys, entries = [1.0] * (_LENGTHS + 1), [1.0] * (_LENGTHS + 1)
+    for n in range(1, _LENGTHS + 1):
+        for m in range(max(1, n - MOST_EDITS), n + MOST_EDITS + 1):
+            e = max(_edits_of(min(m, n + 1)), int(m == n + 1 and m > 2))
+            if abs(n - m) <= e:
+                same = 2 * max(n, m) + 1 - 3 * e
+                j = max(same, 1) / (2 * n + 2 * m + 2 - max(same, 1))
+                keys[n] = min(keys[n], j)
+                if m <= _LENGTHS:
+                    entries[m] = min(entries[m], j)
+    return keys, entries
+
+
+def _prefixed(rows: DataFrame, rarity: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its tokens in order of rarity, one line per token of its prefix: token, at (place from 0), size, least, tokens."""
     ordered = (
-        rows.select(*keys, F.explode("tokens").alias("token"))
+        rows.select(*keys, "least", F.explode("tokens").alias("token"))
         .join(rarity, "token")
-        .groupBy(*keys)
+        .groupBy(*keys, "least")
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
         .withColumn("tokens", F.col("ranked.token"))
     )
     size = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), (size - F.ceil(size * least) + 1).cast("int"))
-    return ordered.select(*keys, size.alias("size"), "tokens", F.posexplode(prefix).alias("at", "token"))
+    prefix = F.slice("tokens", F.lit(1), (size - F.ceil(size * F.col("least") - 1e-9) + 1).cast("int"))
+    return ordered.select(*keys, "least", size.alias("size"), "tokens", F.posexplode(prefix).alias("at", "token"))
 
 
-def similar_entries(values: DataFrame, entries: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
+def similar_entries(values: DataFrame, entries: DataFrame, least: float | None = None) -> DataFrame:
     """field_name, key, entry_key, jaccard of all pairs with Jaccard >= least, each once.
 
     values: field_name, key; entries: field_name, entry_key (of both distinct
-    ones count). Keys without tokens have no pairs.
+    ones count). Without `least` it is what keys and spellings of their lengths
+    have at least if they may match (`least_jaccard`). Keys without tokens have
+    no pairs.
     """
-    v = values.select("field_name", "key").distinct().withColumn("tokens", token_set(F.col("key"))).filter("size(tokens) > 0")
-    e = entries.select("field_name", "entry_key").distinct().withColumn("tokens", token_set(F.col("entry_key"))).filter("size(tokens) > 0")
-    v, e = materialise(v, "tokens"), materialise(e, "tokens")
+    of_keys, of_entries = least_jaccard() if least is None else ([least] * (_LENGTHS + 1),) * 2
+
+    def held(rows: DataFrame, key: str, by_length: list[float]) -> DataFrame:
+        bound = F.element_at(F.array(*[F.lit(x) for x in by_length]), F.least(F.length(key), F.lit(_LENGTHS)) + 1)
+        kept = rows.select("field_name", key).distinct().withColumn("tokens", token_set(F.col(key))).filter("size(tokens) > 0").withColumn("least", bound)
+        return materialise(kept, "tokens")
+
+    v, e = held(values, "key", of_keys), held(entries, "entry_key", of_entries)
     rarity = v.select(F.explode("tokens").alias("token")).unionByName(e.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    a = _prefixed(v, rarity, ["field_name", "key"], least)
-    b = _prefixed(e, rarity, ["field_name", "entry_key"], least)
-    b = b.select("field_name", "entry_key", "token", F.col("size").alias("e_size"), F.col("tokens").alias("e_tokens"), F.col("at").alias("e_at"))
+    a = _prefixed(v, rarity, ["field_name", "key"])
+    b = _prefixed(e, rarity, ["field_name", "entry_key"])
+    b = b.select("field_name", "entry_key", "token", F.col("size").alias("e_size"), F.col("tokens").alias("e_tokens"), F.col("at").alias("e_at"), F.col("least").alias("e_least"))
     # what both have at least for the Jaccard asked for, and at most after the two places
-    needed = F.ceil(F.lit(least) / (1 + least) * (F.col("size") + F.col("e_size")))
+    asked = F.greatest("least", "e_least")
+    needed = F.ceil(asked / (1 + asked) * (F.col("size") + F.col("e_size")) - 1e-9)
     left = F.least(F.col("size") - F.col("at"), F.col("e_size") - F.col("e_at"))
     met = (
         a.join(b, ["field_name", "token"])
-        .filter((F.col("e_size") >= F.ceil(F.col("size") * least)) & (F.col("size") >= F.ceil(F.col("e_size") * least)))
+        .filter((F.col("e_size") >= F.ceil(F.col("size") * asked - 1e-9)) & (F.col("size") >= F.ceil(F.col("e_size") * asked - 1e-9)))
         .filter(F.least("at", "e_at") + left >= needed)
         .dropDuplicates(["field_name", "key", "entry_key"])
     )
     same = F.size(F.array_intersect("tokens", "e_tokens"))
     jaccard = same / (F.col("size") + F.col("e_size") - same)
-    return met.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= least).select("field_name", "key", "entry_key", "jaccard")
+    return met.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= asked - 1e-9).select("field_name", "key", "entry_key", "jaccard")
 
 
-def _field_nouns(field: Column, canonical: DataFrame, names: DataFrame) -> Column:
-    """What every value of a field is, as an array of words: the first word of the field's name, with the names that it has as an entry itself.
+def _field_nouns(canonical: DataFrame, names: DataFrame) -> dict[str, list[str]]:
+    """What every value of a field is: the first word of the field's name, with the names that it has as an entry itself.
 
     A list has few fields; an error beyond a thousand.
     """
     fields = [r[0] for r in canonical.filter("field_name is not null").select("field_name").distinct().orderBy("field_name").take(1001)]
     if len(fields) > 1000:
         raise ValueError("a reference list has few fields")
-    out = F.when(F.lit(False), F.array().cast("array<string>"))
     firsts = {f: re.split(r"[\W_]+", f.lower())[0] for f in fields}
     held: dict[str, set[str]] = {}
     for entry, name in names.filter(F.col("canonical").isin(sorted(set(firsts.values())))).select("canonical", "name").distinct().take(10_000):
         held.setdefault(entry, set()).add(name.lower())
-    for f, word in firsts.items():
-        words = {word, word + "s", *held.get(word, ())}
-        words |= {_TWICE.sub(r"\1", _VOWELS.sub("", word))}
-        out = out.when(field == f, F.array(*[F.lit(w) for w in sorted(words)]))
-    return F.coalesce(out, F.array().cast("array<string>"))
+    return {f: sorted({word, word + "s", _TWICE.sub(r"\1", _VOWELS.sub("", word)), *held.get(word, ())}) for f, word in firsts.items()}
 
 
 def map_values(values: DataFrame, canonical: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -290,7 +337,7 @@ def map_values(values: DataFrame, canonical: DataFrame, names: DataFrame | None
     entries = materialise(spellings(canonical, names), "spellings")
     asked = values.filter("value is not null").select("field_name", "value").distinct()
     longest = entries.agg(F.coalesce(F.max(F.length("entry_key")), F.lit(0))).first()[0] + MOST_EDITS
-    keyed = materialise(readings(asked, _field_nouns(F.col("field_name"), canonical, names), longest), "readings")
+    keyed = materialise(readings(asked, _field_nouns(canonical, names), longest), "readings")
     pairs = similar_entries(keyed, entries)
     # no more than MOST_EDITS of any kind means no more than twice as many without swaps
     pairs = pairs.filter(F.abs(F.length("key") - F.length("entry_key")) <= MOST_EDITS).filter(F.levenshtein("key", "entry_key", 2 * MOST_EDITS) >= 0)
