@@ -28,10 +28,13 @@ from tracemill.functions.jsonwalk import clean, complete_json, kind_of, leaves,
 SKETCH = 1024
 #: Kinds in the order that ties follow.
 KINDS = ("string", "number", "boolean", "array")
-PROFILES = "file_series string, file_name string, written bigint, path string, rows bigint, " + ", ".join(f"{k}s bigint" for k in KINDS) + ", records array<bigint>, marks array<bigint>"
+PROFILES = "file_series string, file_name string, written bigint, path string, rows bigint, " + ", ".join(f"{k}s bigint" for k in KINDS) + ", sketch array<bigint>"
 _NAMES = [x.split()[0] for x in PROFILES.split(", ")]
-#: Values held before a part of the profiles is handed on, and parts that one column of one file is merged in first.
-_HELD, _FOLDS = 400_000, 64
+#: Values held before a part of the profiles is handed on; input partitions whose parts are merged at once, and in how many groups those of more are merged first.
+_HELD, _AT_ONCE, _FOLDS = 400_000, 512, 64
+#: An entry of a sketch is the record's hash and, in its last bits, the mark of its value, 0 for null.
+MARK_BITS = 24
+_MARKS = (1 << MARK_BITS) - 1
 
 
 def value_text(value) -> str | None:
@@ -51,14 +54,34 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.filter("file_series is not null and file_name is not null and written_at is not null and body is not null")
 
 
+def mark_of(value) -> int:
+    """The mark of a value: a hash of its kind and text between 1 and _MARKS, 0 for null."""
+    if value is None:
+        return 0
+    kind = type(value)
+    if kind is str:
+        text, seed = value, 1
+    elif kind is bool:
+        text, seed = ("true" if value else "false"), 2
+    elif kind is int:
+        text, seed = scalar_text(value), 3
+    else:
+        text, seed = value_text(value), 4 if kind is list else 3
+    return 1 + crc32(text.encode("utf-8", "replace"), seed) % _MARKS
+
+
+_KIND_AT = {str: 1, int: 2, float: 2, bool: 3, list: 4}
+
+
 def column_profiles(files: DataFrame) -> DataFrame:
-    """One row per file and path: file_series, file_name, written, path, rows, rows by kind, sketch array<struct<record, mark>>.
+    """One row per file and path: file_series, file_name, written, path, rows, rows by kind, sketch array<bigint>.
 
     Lines that aren't a complete JSON object give nothing. Nulls count as rows
     of no kind and have mark 0; of a record that comes twice the greater mark
     counts. Records without key aren't in sketches. Lines are profiled where
-    they stand and only profiles move; parts of one column are merged in two
-    steps, so that a file of any size stays bounded in each.
+    they stand and only profiles move; where the input has many partitions,
+    parts of one column are merged in two steps, so that a file of any size
+    stays bounded in each.
     """
 
     def read(batches):
@@ -67,11 +90,11 @@ def column_profiles(files: DataFrame) -> DataFrame:
 
         def out():
             rows = []
-            for (series, name, path), (written, n, kinds, records, marks) in held.items():
-                if len(records) > SKETCH:
-                    keep = sorted(set(zip(records, marks)))[:SKETCH]
-                    records, marks = [r for r, _ in keep], [m for _, m in keep]
-                rows.append((series, name, written, path, n, *(kinds.get(k, 0) for k in KINDS), records, marks))
+            for (series, name), (written, columns) in held.items():
+                for path, (n, strings, numbers, booleans, arrays, sketch) in columns.items():
+                    if len(sketch) > SKETCH:
+                        sketch = sorted(set(sketch))[:SKETCH]
+                    rows.append((series, name, written, clean(path), n, strings, numbers, booleans, arrays, sketch))
             return pd.DataFrame(rows, columns=_NAMES)
 
         for b in batches:
@@ -79,33 +102,38 @@ def column_profiles(files: DataFrame) -> DataFrame:
                 whole, record = complete_json(body)
                 if not whole or not isinstance(record, dict):
                     continue
+                file = held.get((series, name))
+                if file is None:
+                    file = held[series, name] = [written, {}]
+                elif written < file[0]:
+                    file[0] = written
+                columns = file[1]
                 key = record_key(record, source)
-                mark = crc32(key.encode()) if key else None
+                lead = crc32(key.encode()) << MARK_BITS if key else None
                 for path, value in leaves(record):
-                    kind = kind_of(value)
-                    at = held.get((series, name, path))
+                    at = columns.get(path)
                     if at is None:
-                        at = held[series, name, path] = [written, 0, {}, [], []]
-                    at[0] = min(at[0], written)
-                    at[1] += 1
-                    if kind is not None:
-                        at[2][kind] = at[2].get(kind, 0) + 1
-                    if mark is not None:
-                        at[3].append(mark)
-                        at[4].append(0 if kind is None else 1 + crc32(f"{kind}:{value_text(value)}".encode()))
+                        at = columns[path] = [0, 0, 0, 0, 0, []]
+                    at[0] += 1
+                    if value is not None:
+                        at[_KIND_AT[type(value)]] += 1
+                    if lead is not None:
+                        at[5].append(lead | mark_of(value))
                     values += 1
             if values > _HELD:
                 yield out()
                 held, values = {}, 0
         yield out()
 
-    parts = _lines(files).select("file_series", "file_name", "source_kind", F.unix_micros("written_at").alias("written"), "body").mapInPandas(read, PROFILES)
+    lines = _lines(files).select("file_series", "file_name", "source_kind", F.unix_micros("written_at").alias("written"), "body")
+    parts = lines.mapInPandas(read, PROFILES)
     sums = [F.min("written").alias("written"), *[F.sum(c).alias(c) for c in ("rows", *(f"{k}s" for k in KINDS))]]
     lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch")
-    parts = parts.withColumn("sketch", F.arrays_zip(F.col("records").alias("record"), F.col("marks").alias("mark"))).withColumn("fold", F.spark_partition_id() % _FOLDS)
     keys = ["file_series", "file_name", "path"]
-    folded = parts.groupBy(*keys, "fold").agg(*sums, lowest)
-    return folded.groupBy(*keys).agg(*sums, lowest)
+    # the same result either way: the lowest of all are the lowest of the groups' lowest
+    if files.rdd.getNumPartitions() > _AT_ONCE:
+        parts = parts.withColumn("fold", F.spark_partition_id() % _FOLDS).groupBy(*keys, "fold").agg(*sums, lowest)
+    return parts.groupBy(*keys).agg(*sums, lowest)
 
 
 def file_order(profile: DataFrame) -> DataFrame:
@@ -180,14 +208,14 @@ LEAST_KAPPA = 0.45
 CHANGES = "file_name string, change_kind string, old_path string, new_path string"
 
 
-def agreement(a: list, b: list) -> tuple[float, float] | None:
+def agreement(a: list[int], b: list[int]) -> tuple[float, float] | None:
     """(share of records with the same value, the same beyond chance) of two sketches; None without common records.
 
     Counted over records that both have and where either value isn't null.
     """
     # beyond the last record of a full sketch nothing is known of its column
-    known = min((x[-1]["record"] for x in (a, b) if len(x) >= SKETCH), default=1 << 62)
-    left, right = ({r["record"]: r["mark"] for r in x if r["record"] <= known} for x in (a, b))
+    known = min((x[-1] for x in (a, b) if len(x) >= SKETCH), default=1 << 62) >> MARK_BITS
+    left, right = ({e >> MARK_BITS: e & _MARKS for e in x if e >> MARK_BITS <= known} for x in (a, b))
     pairs = [(m, right[r]) for r, m in left.items() if r in right and (m or right[r])]
     if not pairs:
         return None
@@ -206,9 +234,10 @@ def renames(gone: list, come: list) -> list[tuple[str, str]]:
     between equals.
     """
     weight = [[0.0] * len(come) for _ in gone]
-    for i, a in enumerate(gone):
-        for j, b in enumerate(come):
-            got = agreement(a["sketch"], b["sketch"])
+    left, right = ([[int(e) for e in c["sketch"]] for c in side] for side in (gone, come))
+    for i, (a, x) in enumerate(zip(gone, left)):
+        for j, (b, y) in enumerate(zip(come, right)):
+            got = agreement(x, y)
             if got and got[0] >= LEAST_AGREEMENT and (got[1] >= LEAST_KAPPA or got[0] == 1):
                 weight[i][j] = got[0] + 0.5 * got[1] + 0.1 * (a["kind"] == b["kind"]) + 0.3 * name_similarity(a["path"], b["path"])
     return [(gone[i]["path"], come[j]["path"]) for i, j in best_matching(weight)]
