@@ -75,3 +75,34 @@ def test_shift_is_found_and_reversed(spark):
     back = units.reverse_shifts(values, shifts).filter("common < 1000").count()
     assert back == 0
     assert units.unit_shifts(values.limit(0)).count() == 0
+
+
+def test_recall_of_planted_shifts(spark):
+    """Histories of scattered values that change their unit twice: nine shifts of ten and more come out, to the day and with the right unit."""
+    rng = np.random.default_rng(11)
+    day = 86_400_000_000
+    rows, planted = [], {}
+    for k in range(60):
+        field = list(units.KNOWN_FACTORS)[k % 4]
+        names = list(units.KNOWN_FACTORS[field])
+        other, first, last = names[1 + int(rng.integers(len(names) - 1))], int(rng.integers(60, 80)), int(rng.integers(85, 105))
+        planted[f"s{k}", field, first] = other
+        planted[f"s{k}", field, last] = ""
+        for d in range(120):
+            for _ in range(int(rng.integers(4, 9))):
+                true = 10 ** rng.normal(3.0, 0.25)
+                rows.append((f"s{k}", f"n{len(rows)}", field, d * day + int(rng.integers(day)), float(true / (units.KNOWN_FACTORS[field][other] if first <= d < last else 1.0))))
+    values = spark.createDataFrame(rows, "source string, node_id string, field_name string, at bigint, amount double")
+    got = {(r["source"], r["field_name"], r["from_day"]): r["unit"] for r in units.unit_shifts(values).collect()}
+    hits = sum(got.get(key) == unit for key, unit in planted.items())
+    extra = sum(1 for key in got if key not in planted and key[2] > 0)
+    print("shifts of", len(planted), ":", hits, "found,", extra, "more")
+    assert hits >= 0.9 * len(planted) and extra <= 0.05 * len(planted)
+
+
+def test_home_in_another_unit():
+    levels = [np.log10(2.0), np.log10(2.0 / 0.3048), np.log10(2.0 / 0.0254)]  # m, ft, in: the most is in m
+    f = units.KNOWN_FACTORS["tube_length"]
+    named = units.named_shifts(levels, [100, 40, 30], 0, f, 0.05)
+    assert [u for u, _ in named] == ["", "ft", "in"] and abs(named[1][1] - 0.3048) < 1e-9
+    assert units.named_shifts([1.0, 1.2], [2, 1], 0, f, 0.05) == [("", 1.0), ("", 1.0)]

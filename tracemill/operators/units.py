@@ -107,18 +107,48 @@ def segment(n: np.ndarray, total: np.ndarray, squares: np.ndarray, penalty: floa
     return out[::-1]
 
 
-#: Known factors between units of one field, and how far in log10 a shift may be from one.
+#: Known factors of the units of one field to its common unit, which comes first.
 KNOWN_FACTORS = {
-    "design_duty": {"MW": 1000.0, "W": 0.001, "kcal/h": 0.001163, "Btu/h": 0.000293071, "MMBtu/h": 293.071, "Gcal/h": 1163.0, "MJ/h": 0.277778},
-    "heat_transfer_area": {"m2": 100.0, "cm2": 0.01, "ft2": 9.290304},
-    "tube_length": {"m": 1000.0, "cm": 10.0, "in": 25.4, "ft": 304.8},
-    "tube_nominal_diameter": {"in": 25.0, "cm": 10.0, "m": 1000.0},
+    "design_duty": {"kW": 1.0, "MW": 1000.0, "W": 0.001, "kcal/h": 0.001163, "Btu/h": 0.000293071, "MMBtu/h": 293.071, "Gcal/h": 1163.0, "MJ/h": 0.277778},
+    "heat_transfer_area": {"dm2": 1.0, "m2": 100.0, "cm2": 0.01, "ft2": 9.290304},
+    "tube_length": {"mm": 1.0, "m": 1000.0, "cm": 10.0, "in": 25.4, "ft": 304.8},
+    "tube_nominal_diameter": {"DN": 1.0, "in": 25.0, "cm": 10.0, "m": 1000.0},
 }
 SHIFTS = "source string, field_name string, from_day int, to_day int, values bigint, level double, unit string, factor double"
+#: Variance of log10 below which changes of level don't matter; all known factors lie much further apart.
+LEAST_SPREAD = 0.0025
+
+
+def noise(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> float:
+    """Variance of single values about a level that may shift: robust, from the differences of successive points."""
+    total = q.sum() / n.sum() - (s.sum() / n.sum()) ** 2
+    if len(n) > 2:
+        steps = np.diff(s / n) ** 2 / (1 / n[1:] + 1 / n[:-1])
+        total = min(total, float(np.median(steps)) / 0.455)
+    return max(total, LEAST_SPREAD)
+
+
+def named_shifts(levels: list[float], counts: list[float], home: int, factors: dict[str, float], tolerance: float) -> list[tuple[str, float]]:
+    """(unit, factor to the unit of segment `home`) of each segment; ('', 1) where its level is no known factor away.
+
+    The home segment may itself be in any of the units: that one counts under
+    which most values lie at a known factor, the common unit of several.
+    """
+    best, fit = None, -1.0
+    for base, f in factors.items():
+        got, score = [], 0.0
+        for level, n in zip(levels, counts):
+            want = levels[home] - level + math.log10(f)
+            off, unit, g = min(((abs(want - math.log10(g)), u, g) for u, g in factors.items()), key=lambda x: x[0])
+            got.append((unit, g / f) if off <= tolerance and unit != base else ("", 1.0))
+            score += n * (off <= tolerance)
+        if score > fit:
+            best, fit = got, score
+    return best if best is not None else [("", 1.0)] * len(levels)
 
 
 def unit_shifts(values: DataFrame, penalty: float = 3.0, tolerance: float = 0.12) -> DataFrame:
-    """Segments of every (source, field) history, with the unit that each one's shift from the first marks.
+    """Segments of every (source, field) history, with the unit that each one's shift from the largest marks.
 
     values: source, field_name, at (micros), amount > 0. Histories are first
     aggregated to days (count, sum, square sum of log10), on the map side too,
@@ -139,16 +169,12 @@ def unit_shifts(values: DataFrame, penalty: float = 3.0, tolerance: float = 0.12
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
         n, s, q = (pdf[c].to_numpy(dtype=float) for c in ("n", "s", "q"))
-        spread = max(q.sum() / n.sum() - (s.sum() / n.sum()) ** 2, 1e-6)
-        cuts = [*segment(n, s, q, penalty * spread * math.log(max(n.sum(), 2.0))), len(n)]
+        cuts = [*segment(n, s, q, penalty * noise(n, s, q) * math.log(max(n.sum(), 2.0))), len(n)]
         parts = [(a, b, n[a:b].sum(), s[a:b].sum() / n[a:b].sum()) for a, b in zip(cuts, cuts[1:])]
-        home = max(parts, key=lambda p: (p[2], -p[0]))[3]
-        field, rows = pdf.field_name.iloc[0], []
-        for a, b, count, level in parts:
-            near = sorted((abs(home - level - math.log10(f)), u, f) for u, f in KNOWN_FACTORS.get(field, {}).items())
-            unit, factor = (near[0][1], near[0][2]) if near and near[0][0] <= tolerance else ("", 1.0)
-            days_ = pdf.day.to_numpy()
-            rows.append((pdf.source.iloc[0], field, int(days_[a]), int(days_[b - 1]), int(count), round(level, 9), unit, factor))
+        home = max(range(len(parts)), key=lambda k: (parts[k][2], -k))
+        field, days_ = pdf.field_name.iloc[0], pdf.day.to_numpy()
+        named = named_shifts([p[3] for p in parts], [p[2] for p in parts], home, KNOWN_FACTORS.get(field, {}), tolerance)
+        rows = [(pdf.source.iloc[0], field, int(days_[a]), int(days_[b - 1]), int(count), round(level, 9), unit, factor) for (a, b, count, level), (unit, factor) in zip(parts, named)]
         return pd.DataFrame(rows, columns=["source", "field_name", "from_day", "to_day", "values", "level", "unit", "factor"])
 
     return days.groupBy("source", "field_name").applyInPandas(one, SHIFTS)

@@ -78,6 +78,13 @@ def p2_shifts(spark: SparkSession, d: str) -> DataFrame:
     return units.unit_shifts(units.bare_values(table(spark, d, "graph_nodes")))
 
 
+def p2_reversed(spark: SparkSession, d: str) -> DataFrame:
+    """The values without a unit, those of shifted stretches brought back to the unit of their history."""
+    values = materialise(units.bare_values(table(spark, d, "graph_nodes")), "bare-values")
+    back = units.reverse_shifts(values, units.unit_shifts(values))
+    return back.select("source", "node_id", "field_name", "at", F.round("amount", 6).alias("amount"), F.round("common", 6).alias("common"), "unit")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     profiles = materialise(drift.column_profiles(table(spark, d, "file_records")), "column-profiles")
     return drift.layout_changes(profiles)
@@ -254,7 +261,7 @@ FROM j WHERE NOT holds
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_shifts, p3_found, p3_unified, p5_found, p6_found, p6_tables, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_shifts, p2_reversed, p3_found, p3_unified, p5_found, p6_found, p6_tables, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
