@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.session import materialise
+
 
 def words(text: Column) -> Column:
     """Lower-case words of letters and digits."""
@@ -61,17 +66,30 @@ def admit(costs: list[tuple[object, int]], budget: int, most: int) -> list[objec
     return out
 
 
-def admitted(df: DataFrame, group: list[str], order: list, key: str, cost: str, budget: int, most: int) -> DataFrame:
-    """group, admitted keys in order, under a budget and a count per group.
+def admitted(df: DataFrame, group: list[str], order: list[Column], key: str, cost: str, budget: int, most: int) -> DataFrame:
+    """group, admitted keys in order, used: what is taken under a budget and a count per group, the rest skipped.
 
-    At most `most` rows are admitted, but any number may be skipped, so the
-    fold keeps only its sums and the admitted keys; rows cheaper than the
-    budget alone are gathered, as (order, cost, key).
+    Each of at most `most` rounds takes, in every group at once, the first row
+    behind the last one taken that still fits: a minimum, gathered on the map
+    side, so that a group of any size never comes together. Rows of a negative
+    or null cost are left out, and ties in the order are taken as they sort
+    with cost and key. Groups may be null; those without a fitting row have none.
     """
-    fit = df.filter((F.col(cost) >= 0) & (F.col(cost) <= budget))
-    listed = fit.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).alias("_cost"), F.col(key).alias("_key")))).alias("rows"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{dict(df.dtypes)[key]}>").alias("keys"))
-    step = lambda s, r: F.when(
-        (F.size(s["keys"]) < most) & (s["used"] + r["_cost"] <= budget), F.struct((s["used"] + r["_cost"]).cast("bigint").alias("used"), F.array_append(s["keys"], r["_key"]).alias("keys"))
-    ).otherwise(s)
-    return listed.select(*group, F.aggregate("rows", empty, step).alias("s")).select(*group, F.col("s.keys").alias("admitted"), F.col("s.used").alias("used"))
+    place = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(cost).cast("bigint").alias("cost"), F.col(key).alias("key"), F.row_number().over(W.partitionBy(*group, *order, cost, key).orderBy(F.lit(0))).alias("copy"))
+    fit = materialise(df.filter((F.col(cost) >= 0) & (F.col(cost) <= budget)).select(*group, place.alias("at")), "fitting")
+    state = fit.groupBy(*group).agg(F.min("at").alias("last")).withColumn("keys", F.array("last.key")).withColumn("used", F.col("last.cost"))
+    state = materialise(state, "admitted")
+    on = lambda a, b: reduce(and_, [a[g].eqNullSafe(b[g]) for g in group])
+    for _ in range(most - 1):
+        s = state.select(*[F.col(g).alias(f"_{g}") for g in group], "last", "used")
+        open_ = fit.join(s, reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]))
+        found = open_.filter((F.col("at") > F.col("last")) & (F.col("at.cost") + F.col("used") <= budget)).groupBy(*group).agg(F.min("at").alias("at"))
+        found = materialise(found, "next")
+        if found.isEmpty():
+            break
+        joined = state.join(found, on(state, found), "left").select(*[state[g] for g in group], "last", "keys", "used", "at")
+        took = F.col("at").isNotNull()
+        state = materialise(
+            joined.select(*group, F.coalesce("at", "last").alias("last"), F.when(took, F.array_append("keys", F.col("at.key"))).otherwise(F.col("keys")).alias("keys"), F.when(took, F.col("used") + F.col("at.cost")).otherwise(F.col("used")).alias("used")), "admitted"
+        )
+    return state.select(*group, F.col("keys").alias("admitted"), "used")

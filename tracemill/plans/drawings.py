@@ -103,15 +103,25 @@ def tag_semantics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_nodes").filter("label is not null").select("label", X.tag_root(c).alias("root"), F.when(prefix != "", X.instrument_function(prefix)).alias("function")).distinct()
 
 
-@query("""SELECT label, len(t) AS tokens, coalesce(t[1], '') AS head FROM (SELECT label, list_filter([lower(w) FOR w IN regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(label, '^\\s*opc[\\s\\-_:]*(?:in|out)?[\\s\\-_:]*', '', 'i'), '\\([^)]*\\)', ' ', 'g'), '\\b(inlet|outlet|in|out|to|from)\\b', ' ', 'gi'), '([A-Za-z0-9]+)', 1)], lambda w: length(w) >= 3) AS t
-FROM (SELECT DISTINCT label FROM graph_nodes WHERE kind = 'opc' AND label IS NOT NULL))""")
+TOKENS = "list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace({c}, '^\\s*opc[\\s\\-_:]*(?:in|out)?[\\s\\-_:]*', ' ', 'i'), '\\([^)]*\\)', ' ', 'g')), '([a-z0-9]+)', 1), lambda w: length(w) >= 3 AND w NOT IN ('inlet', 'outlet', 'in', 'out', 'to', 'from'))"
+
+
+@query(f"""SELECT label, len(t) AS tokens, coalesce(t[1], '') AS head FROM (SELECT label, {TOKENS.replace('{c}', 'label')} AS t FROM (SELECT DISTINCT label FROM graph_nodes WHERE kind = 'opc' AND label IS NOT NULL))""")
 def connector_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = X.connector_tokens(F.col("label"))
     return table(spark, d, "graph_nodes").filter("kind = 'opc' and label is not null").select("label").distinct().select("label", F.size(t).cast("bigint").alias("tokens"), F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("head"))
 
 
-@query("""SELECT doc_id, len(i) AS items, CASE WHEN len(l) > 0 THEN TRY_CAST(l[-1] AS BIGINT) END AS lone FROM (SELECT doc_id,
-  list_filter([regexp_replace(regexp_replace(regexp_replace(trim(p), '^([-*•]|[0-9]+[.)])\\s+', ''), '^[A-Za-z0-9]:\\s+', ''), '[.,;:]+$', '') FOR p IN flatten([regexp_split_to_array(s, '[,;]') FOR s IN list_filter([trim(x) FOR x IN regexp_split_to_array(text, '\\r?\\n')], lambda s: s <> '' AND NOT ends_with(s, ':') AND NOT starts_with(s, '```'))])], lambda p: p <> '') AS i,
+PROSE = "'" + "', '".join(X.PROSE_WORDS) + "'"
+STARTS = "'" + "', '".join(X.PROSE_STARTS) + "'"
+#: Items of an answer, as in text.list_items
+ITEMS = f"""list_filter([regexp_replace(regexp_replace(regexp_replace(trim(p), '^([-*•]|[0-9]+[.)])\\s+', ''), '^[A-Za-z0-9]\\s*:\\s+', ''), '[.,;:]+$', '') FOR p IN flatten([regexp_split_to_array(s, '[,;]') FOR s IN list_filter([trim(x) FOR x IN regexp_split_to_array({{c}}, '\\r?\\n')],
+  lambda s: s <> '' AND NOT ends_with(s, ':') AND NOT regexp_full_match(s, '`{{{{3,}}}}\\s*\\w*\\s*')
+   AND NOT (len(regexp_split_to_array(lower(s), '\\s+')) > 1 AND regexp_replace(regexp_split_to_array(lower(s), '\\s+')[1], '^[.,;:!?"'']+|[.,;:!?"'']+$', '', 'g') IN ({STARTS}))
+   AND len(list_filter(regexp_split_to_array(lower(s), '\\s+'), lambda w: regexp_replace(w, '^[.,;:!?"''()\\[\\]]+|[.,;:!?"''()\\[\\]]+$', '', 'g') IN ({PROSE}))) = 0)])], lambda p: p <> '')""".replace("{{{{", "{{").replace("}}}}", "}}")
+
+
+@query(f"""SELECT doc_id, len({ITEMS.replace('{c}', 'text').replace('{{3,}}', '{3,}')}) AS items, CASE WHEN len(l) > 0 THEN TRY_CAST(l[-1] AS BIGINT) END AS lone FROM (SELECT doc_id, text,
   list_filter([trim(x) FOR x IN regexp_split_to_array(text, '\\r?\\n')], lambda s: regexp_full_match(s, '-?[0-9]+')) AS l FROM documents WHERE text IS NOT NULL)""")
 def parse_answers(spark: SparkSession, d: str) -> DataFrame:
     """Items of each text read as a list answer, and the last line that is an integer alone."""
@@ -251,7 +261,14 @@ def snap_radius(spark: SparkSession, d: str) -> DataFrame:
     return u.select(*PAGE, size(1.5).alias("snap"), size(3.0).alias("loose"))
 
 
-@query()
+@query(f"""WITH {NODES}, e AS (SELECT DISTINCT fixture, edge_id, polyline_global AS p FROM graph_edges WHERE len(polyline_global) >= 2 AND edge_id IS NOT NULL AND fixture IS NOT NULL),
+s AS (SELECT fixture, edge_id || '@' || p[1][1] || '@' || p[1][2] AS edge, unnest([{{'side': 'from', 'x': p[1][1], 'y': p[1][2]}}, {{'side': 'to', 'x': p[-1][1], 'y': p[-1][2]}}]) AS q FROM e),
+d AS (SELECT DISTINCT fixture, edge, q.side AS side, q.x AS x, q.y AS y FROM s),
+m AS (SELECT d.fixture, d.edge, d.side, n.node_id, sqrt(pow(greatest(0, bbox_global.x - x, x - bbox_global.x - bbox_global.w), 2) + pow(greatest(0, bbox_global.y - y, y - bbox_global.y - bbox_global.h), 2)) AS gap FROM d JOIN n ON n.fixture = d.fixture WHERE bbox_global IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY fixture, edge, side ORDER BY gap, node_id) AS k FROM m WHERE gap <= 90),
+v AS (SELECT fixture, edge, max(node_id) FILTER (side = 'from' AND gap <= 30) AS ft, max(node_id) FILTER (side = 'to' AND gap <= 30) AS tt, max(node_id) FILTER (side = 'from') AS fl, max(node_id) FILTER (side = 'to') AS tl FROM r WHERE k = 1 GROUP BY ALL)
+SELECT u.fixture, u.edge, CASE WHEN (ft IS NULL) <> (tt IS NULL) THEN coalesce(ft, fl) ELSE ft END AS from_node, CASE WHEN (ft IS NULL) <> (tt IS NULL) THEN coalesce(tt, tl) ELSE tt END AS to_node,
+  ((ft IS NULL) <> (tt IS NULL)) AND fl IS NOT NULL AND tl IS NOT NULL AS loosened FROM (SELECT DISTINCT fixture, edge FROM d) u LEFT JOIN v ON v.fixture = u.fixture AND v.edge = u.edge""")
 def loose_snap(spark: SparkSession, d: str) -> DataFrame:
     """Ends of two-point lines snapped to the drawing's nodes: within 30 pixels, and within 90 for the other end if exactly one end snapped."""
     at = lambda i, j: F.element_at(F.element_at("polyline_global", i), j)
@@ -291,7 +308,11 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return materialise(spatial.within(_side(n.filter("kind = 'instrument'"), "l"), _side(n.filter("kind = 'equipment'"), "r"), PAGE, CELL, 60).select(*PAGE, "l_id", "r_id", "gap"), "candidates")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES}, c0 AS (SELECT a.node_id AS l, b.node_id AS r, round({GAP}, 6) AS g FROM n a JOIN n b ON a.fixture = b.fixture AND a.page_index = b.page_index WHERE a.kind = 'instrument' AND b.kind = 'equipment' AND {GAP} <= 60),
+c(l, r, g, pl, pr) AS (SELECT l, r, g, row_number() OVER (PARTITION BY l ORDER BY g, l, r), row_number() OVER (PARTITION BY r ORDER BY g, l, r) FROM c0
+  UNION ALL SELECT l, r, g, row_number() OVER (PARTITION BY l ORDER BY g, l, r), row_number() OVER (PARTITION BY r ORDER BY g, l, r)
+  FROM (SELECT *, bool_or(pl = 1 AND pr = 1) OVER (PARTITION BY l) AS hl, bool_or(pl = 1 AND pr = 1) OVER (PARTITION BY r) AS hr FROM c) WHERE NOT hl AND NOT hr)
+SELECT l AS instrument, r AS equipment FROM c WHERE pl = 1 AND pr = 1""")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one pairs of instruments and equipment, nearest first, per connected part of the candidates."""
     parts = matching.part_of(_candidates(spark, d), PAGE).withColumn("g", F.round("gap", 6))
@@ -313,7 +334,12 @@ def max_weight(spark: SparkSession, d: str) -> DataFrame:
     return matching.per_group(parts, ["part"], ["l_id", "r_id"], fold, ["part", "l_id", "r_id", "w"], "instrument string, equipment string, closeness double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES}, p AS (SELECT a.node_id AS b, b.node_id AS w FROM n a JOIN n b ON a.fixture = b.fixture AND a.page_index = b.page_index AND a.kind = b.kind AND a.node_id <> b.node_id WHERE {IOU} >= 0.5 AND (CASE a.confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END > CASE b.confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END OR (CASE a.confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END = CASE b.confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AND a.node_id < b.node_id))),
+c(b, w, free) AS (SELECT b, w, b NOT IN (SELECT w FROM p) FROM p
+  UNION ALL SELECT b, w, b NOT IN (SELECT y.w FROM c y WHERE y.w NOT IN (SELECT z.w FROM c z WHERE z.free) AND y.b NOT IN (SELECT z.w FROM c z WHERE z.free) AND NOT y.free)
+  FROM c WHERE NOT free AND w NOT IN (SELECT z.w FROM c z WHERE z.free) AND b NOT IN (SELECT z.w FROM c z WHERE z.free)),
+gone AS (SELECT DISTINCT w FROM c WHERE free)
+SELECT node_id, node_id NOT IN (SELECT w FROM gone) AS kept FROM n WHERE bbox_global IS NOT NULL AND fixture IS NOT NULL AND page_index IS NOT NULL""")
 def suppress_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Greedy suppression of nodes of one page and kind that overlap by half or more a better one (by confidence, then id)."""
     n = nodes(spark, d).withColumn("rank", G.confidence_rank(F.col("confidence")))
@@ -381,7 +407,10 @@ def reachability(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(edges(spark, d), sources).select("node")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT from_node AS s, to_node AS t FROM e WHERE from_node <> to_node UNION SELECT to_node, from_node FROM e WHERE from_node <> to_node),
+c(round, s, t, ds, dt, whole) AS (SELECT 0, s, t, count(*) OVER (PARTITION BY s), count(*) OVER (PARTITION BY t), false FROM b
+  UNION ALL SELECT round + 1, s, t, count(*) OVER (PARTITION BY s), count(*) OVER (PARTITION BY t), false FROM (SELECT *, bool_and(ds >= 2 AND dt >= 2) OVER () AS stable FROM c) WHERE ds >= 2 AND dt >= 2 AND NOT stable)
+SELECT s AS node, count(*) AS degree FROM c WHERE round = (SELECT max(round) FROM c) AND ds >= 2 AND dt >= 2 GROUP BY s""")
 def k_core(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_core(edges(spark, d), 2)
 
@@ -394,7 +423,11 @@ def adjacency_listing(spark: SparkSession, d: str) -> DataFrame:
     return a.select("node", F.size("outgoing").cast("bigint").alias("n_out"), F.size("incoming").cast("bigint").alias("n_in"), first("outgoing").alias("first_out"), first("incoming").alias("first_in"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, k AS (SELECT from_node AS s, to_node AS t, CASE WHEN line_type = 'process' THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM e), q AS (SELECT s, t, min(w) AS w FROM (SELECT * FROM k UNION ALL SELECT t, s, w FROM k) GROUP BY ALL),
+stop AS (SELECT node_id FROM n WHERE kind <> 'opc' AND label IS NULL),
+r(node, distance) USING KEY (node) AS (SELECT DISTINCT node_id, 0.0::DOUBLE FROM n WHERE kind = 'opc'
+  UNION SELECT f.node, f.d FROM (SELECT q.t AS node, min(r.distance + q.w) AS d FROM r JOIN q ON q.s = r.node WHERE r.node NOT IN (SELECT node_id FROM stop) OR r.distance = 0 GROUP BY q.t) f LEFT JOIN recurring.r o ON o.node = f.node WHERE o.node IS NULL OR f.d < o.distance)
+SELECT node, distance FROM r""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """Least cost from any off-page connector; a process line costs 1, another 2; unlabelled nodes are reached, not passed."""
     e = edges(spark, d).withColumn("w", F.when(F.col("line_type") == "process", 1.0).otherwise(2.0))
@@ -404,7 +437,12 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_distances(e, sources, "w", stops).select("node", "distance")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT DISTINCT from_node AS s, to_node AS t FROM e WHERE from_node <> to_node),
+c(round, s, t, fed) AS (SELECT 0, s, t, s IN (SELECT t FROM b) FROM b
+  UNION ALL SELECT round + 1, s, t, s IN (SELECT t FROM c WHERE fed) FROM (SELECT *, bool_and(fed) OVER () AS stable FROM c) WHERE fed AND NOT stable),
+m AS (SELECT max(round) AS last FROM c), o AS (SELECT DISTINCT t FROM c, m WHERE round = last AND fed)
+SELECT node, CASE WHEN node IN (SELECT t FROM o) THEN NULL ELSE CAST(coalesce((SELECT max(round) + 1 FROM c WHERE t = node), 0) AS INT) END AS level
+FROM (SELECT s AS node FROM b UNION SELECT t FROM b)""")
 def topological_order(spark: SparkSession, d: str) -> DataFrame:
     """Level of each node in the direction of flow; null on cycles."""
     return graph.topological_levels(edges(spark, d).filter("from_node <> to_node"))
@@ -432,11 +470,16 @@ def round_robin_topk(spark: SparkSession, d: str) -> DataFrame:
     return ranking.round_robin(docs, ["lang"], [F.desc("n_chars"), "doc_id"], 24).select("lang", "doc_id", "rank")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY created_at NULLS FIRST, doc_id, n_chars) AS k FROM documents WHERE n_chars BETWEEN 0 AND 40000),
+c(source, k, used, admitted) AS (SELECT source, k, n_chars, [doc_id] FROM o WHERE k = 1
+  UNION ALL SELECT o.source, o.k, CASE WHEN len(admitted) < 8 AND used + n_chars <= 40000 THEN used + n_chars ELSE used END, CASE WHEN len(admitted) < 8 AND used + n_chars <= 40000 THEN list_append(admitted, doc_id) ELSE admitted END
+  FROM c JOIN o ON o.source IS NOT DISTINCT FROM c.source AND o.k = c.k + 1)
+SELECT source, array_to_string(arg_max(admitted, k), ',') AS admitted, CAST(max(used) AS BIGINT) AS used FROM c GROUP BY source""")
 def budget_admission(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each source by date under 40 000 characters and eight documents; what doesn't fit is skipped."""
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars", "created_at")
-    return ranking.admitted(docs, ["source"], [F.col("created_at"), F.col("doc_id")], "doc_id", "n_chars", 40_000, 8)
+    held = ranking.admitted(docs, ["source"], [F.col("created_at"), F.col("doc_id"), F.col("n_chars")], "doc_id", "n_chars", 40_000, 8)
+    return held.select("source", F.array_join(F.transform("admitted", lambda k: k.cast("string")), ",").alias("admitted"), "used")
 
 
 HASH100 = "CAST(('0x' || substr(sha256({c}), 1, 8)) AS BIGINT) % 100"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import geometry as G
 from tracemill.functions import hashing as H
 from tracemill.functions import text as X
-from tracemill.operators import matching, resolve, sequence, spatial
+from tracemill.operators import matching, resolve, roles, sequence, spatial
 from tracemill.plans.drawings import CELL, EDGES, GAP, NODES, PAGE, _side, edges, label_key, nodes
 from tracemill.session import materialise, table
 
@@ -206,39 +206,34 @@ def shared_vertices(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("fixture", "x", "y").agg(F.count(F.lit(1)).alias("ends"), F.min("edge_id").alias("first_edge")).filter("ends > 1")
 
 
-ROLE = "CASE WHEN {t}.kind = 'instrument' THEN 'instrument' WHEN {t}.label LIKE '%V-%' THEN 'actuator_valve' ELSE 'equipment' END"
+SAID = "coalesce(json_extract_string(CASE WHEN json_valid({t}.attributes) THEN {t}.attributes END, '$.{f}'), '')"
+ROLE_TEXT = "lower(concat_ws(' ', {t}.label, {t}.source_quote, " + ", ".join(SAID.replace("{f}", f) for f in ("equipment_class", "valve_type", "instrument_function", "structural_description")) + "))"
+ROLE = (
+    "CASE WHEN {t}.kind = 'opc' THEN 'opc' WHEN " + SAID.replace("{f}", "instrument_function") + " = 'valve_actuator' OR " + SAID.replace("{f}", "valve_type") + " IN ('control', 'control_valve') OR " + SAID.replace("{f}", "actuation_type") + " <> '' OR regexp_matches(" + ROLE_TEXT + ", '" + roles.ACTUATOR_TEXT + "')"
+    " THEN 'actuator_valve' WHEN {t}.kind = 'instrument' THEN 'instrument' WHEN regexp_matches(" + ROLE_TEXT + ", '" + roles.MOTOR_TEXT + "') THEN 'motor' WHEN regexp_matches(" + ROLE_TEXT + ", '" + roles.POWER_TEXT + "') THEN 'power_source' ELSE 'equipment' END"
+)
 
 
-@query(f"""WITH {NODES}, x AS (SELECT DISTINCT edge_id, from_node, to_node, line_type, len(polyline_global) >= 2 AS drawn FROM graph_edges WHERE edge_id IS NOT NULL AND coalesce(from_node, '') <> '' AND coalesce(to_node, '') <> ''),
-r AS (SELECT x.*, CASE WHEN s.node_id IS NULL THEN NULL ELSE {ROLE.replace('{t}', 's')} END AS a, CASE WHEN t.node_id IS NULL THEN NULL ELSE {ROLE.replace('{t}', 't')} END AS b FROM x LEFT JOIN n s ON s.node_id = x.from_node LEFT JOIN n t ON t.node_id = x.to_node),
-c AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'invalid' WHEN line_type = 'process' THEN CASE WHEN a = 'instrument' AND b = 'instrument' THEN 'invalid' WHEN a = 'instrument' OR b = 'instrument' THEN 'uncertain' ELSE 'valid' END
- WHEN line_type IN ('signal_electric', 'signal_pneumatic') THEN CASE WHEN a = 'instrument' AND b = 'instrument' THEN 'valid' WHEN (a = 'instrument' AND b = 'actuator_valve') OR (b = 'instrument' AND a = 'actuator_valve') THEN 'valid' ELSE 'invalid' END
- WHEN line_type = 'instrument_capillary' THEN CASE WHEN a <> 'instrument' AND b <> 'instrument' THEN 'invalid' WHEN a <> 'instrument' OR b <> 'instrument' THEN 'valid' ELSE 'uncertain' END
- WHEN line_type = 'electrical_power' THEN 'invalid' ELSE 'uncertain' END AS fit FROM r),
-s AS (SELECT edge_id, fit, CAST(round(greatest(0.05, least(0.98, 0.5 + CASE WHEN drawn THEN 0.06 ELSE -0.14 END + CASE fit WHEN 'valid' THEN 0.10 WHEN 'uncertain' THEN -0.08 ELSE -0.35 END)), 3) AS DOUBLE) AS score FROM c)
+@query(f"""WITH {NODES}, x AS (SELECT DISTINCT edge_id, from_node, to_node, line_type, confidence, coalesce(len(polyline_global) >= 2, false) AS drawn FROM graph_edges WHERE edge_id IS NOT NULL AND coalesce(from_node, '') <> '' AND coalesce(to_node, '') <> ''),
+q AS (SELECT n.node_id, {ROLE.replace('{t}', 'n')} AS role FROM n),
+r AS (SELECT x.*, s.role AS a, t.role AS b, [s.role, t.role] AS ab FROM x LEFT JOIN q s ON s.node_id = x.from_node LEFT JOIN q t ON t.node_id = x.to_node),
+c AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'invalid'
+  WHEN line_type = 'process' THEN CASE WHEN NOT list_contains(ab, 'instrument') THEN 'valid' WHEN a = b THEN 'invalid' ELSE 'uncertain' END
+  WHEN line_type IN ('signal_electric', 'signal_pneumatic') THEN CASE WHEN list_sort(ab) IN (['instrument', 'instrument'], ['actuator_valve', 'instrument']) THEN 'valid' ELSE 'invalid' END
+  WHEN line_type = 'instrument_capillary' THEN CASE WHEN NOT list_contains(ab, 'instrument') THEN 'invalid' WHEN list_has_any(ab, ['equipment', 'actuator_valve']) THEN 'valid' ELSE 'uncertain' END
+  WHEN line_type = 'electrical_power' THEN CASE WHEN list_sort(ab) IN (['equipment', 'motor'], ['motor', 'power_source']) THEN 'valid' ELSE 'invalid' END ELSE 'uncertain' END AS fit FROM r),
+s AS (SELECT edge_id, fit, CAST(round(greatest(0.05, least(0.98, 0.5 + CASE WHEN drawn THEN 0.06 ELSE -0.14 END + CASE fit WHEN 'valid' THEN 0.10 WHEN 'uncertain' THEN -0.08 ELSE -0.35 END + CASE confidence WHEN 'high' THEN 0.06 WHEN 'low' THEN -0.08 ELSE 0 END)), 3) AS DOUBLE) AS score FROM c)
 SELECT DISTINCT edge_id, fit, score, CASE WHEN score >= 0.80 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def edge_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Edges scored by their geometry and by what their type may join."""
-    n = nodes(spark, d)
-    role = F.when(F.col("kind") == "instrument", "instrument").when(F.col("label").like("%V-%"), "actuator_valve").otherwise("equipment")
-    of = lambda end, c: n.select(F.col("node_id").alias(end), role.alias(c))
-    x = table(spark, d, "graph_edges").filter("edge_id is not null and coalesce(from_node, '') <> '' and coalesce(to_node, '') <> ''").select("edge_id", "from_node", "to_node", "line_type", F.coalesce(F.size("polyline_global") >= 2, F.lit(False)).alias("drawn")).distinct()
-    r = x.join(of("from_node", "a"), "from_node", "left").join(of("to_node", "b"), "to_node", "left")
-    both = (F.col("a") == "instrument") & (F.col("b") == "instrument")
-    either = (F.col("a") == "instrument") | (F.col("b") == "instrument")
-    valve = (F.col("a") == "actuator_valve") | (F.col("b") == "actuator_valve")
-    kind = F.col("line_type")
-    fit = (
-        F.when(F.col("a").isNull() | F.col("b").isNull(), "invalid")
-        .when(kind == "process", F.when(both, "invalid").when(either, "uncertain").otherwise("valid"))
-        .when(kind.isin("signal_electric", "signal_pneumatic"), F.when(both | (either & valve), "valid").otherwise("invalid"))
-        .when(kind == "instrument_capillary", F.when(~either, "invalid").when(~both, "valid").otherwise("uncertain"))
-        .when(kind == "electrical_power", "invalid")
-        .otherwise("uncertain")
-    )
-    score = 0.5 + F.when(F.col("drawn"), 0.06).otherwise(-0.14) + F.when(F.col("fit") == "valid", 0.10).when(F.col("fit") == "uncertain", -0.08).otherwise(-0.35)
-    s = r.withColumn("fit", fit).withColumn("score", F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), score)), 3))
-    return s.select("edge_id", "fit", "score", F.when(F.col("score") >= 0.80, "high").when(F.col("score") >= 0.55, "medium").otherwise("low").alias("level")).distinct()
+    """Edges scored by their geometry, by what their type may join and by how sure the decision for them was."""
+    role = roles.role_of(F.col("kind"), F.col("attributes"), [F.col("label"), F.col("source_quote")])
+    held = nodes(spark, d).select("node_id", role.alias("role"))
+    of = lambda end, c: held.select(F.col("node_id").alias(end), F.col("role").alias(c))
+    x = table(spark, d, "graph_edges").filter("edge_id is not null and coalesce(from_node, '') <> '' and coalesce(to_node, '') <> ''")
+    x = x.select("edge_id", "from_node", "to_node", "line_type", "confidence", F.coalesce(F.size("polyline_global") >= 2, F.lit(False)).alias("drawn")).distinct()
+    r = roles.with_fit(x.join(of("from_node", "a"), "from_node", "left").join(of("to_node", "b"), "to_node", "left"), "line_type", "a", "b")
+    score = roles.evidence_score(F.col("drawn"), F.col("fit"), F.lit(False), F.col("confidence"), F.lit(False))
+    return r.select("edge_id", "fit", score.alias("score")).withColumn("level", roles.score_level(F.col("score"))).distinct()
 
 
 @query("""WITH g AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 - lag(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6 AS gap FROM events),
@@ -255,14 +250,24 @@ def run_shapes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", "n", F.round("m", 3).alias("mean_gap"), F.round(F.col("sd") / m, 6).alias("cv"), F.round("med", 3).alias("median_gap"), style.alias("style"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, datediff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))::DOUBLE AS s, CAST(o_totalprice / 1000 AS DOUBLE) AS e FROM orders WHERE o_custkey IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey) AS k FROM o WHERE s IS NOT NULL AND e IS NOT NULL),
+c(o_custkey, o_orderkey, k, kept, held) AS (SELECT o_custkey, o_orderkey, k, true, [{'s': s, 'e': e}] FROM r WHERE k = 1
+  UNION ALL SELECT o_custkey, o_orderkey, k, f, CASE WHEN f THEN list_append(held, {'s': s, 'e': e})[-4:] ELSE held END
+  FROM (SELECT r.o_custkey, r.o_orderkey, r.k, r.s, r.e, c.held, len(list_filter(c.held, lambda x: abs(x.s - r.s) <= 30 AND abs(x.e - r.e) <= 30)) = 0 AS f FROM c JOIN r ON r.o_custkey = c.o_custkey AND r.k = c.k + 1))
+SELECT o_custkey, o_orderkey, kept FROM c""")
 def look_back_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer kept unless one of the last four kept is near in day and price."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("double").alias("s"), (F.col("o_totalprice") / 1000).cast("double").alias("e"))
     return resolve.look_back_dedup(o, "o_custkey", "o_orderkey", "s", "e", 4, 30.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES}, p AS (SELECT a.node_id AS b, b.node_id AS w FROM n a JOIN n b ON a.fixture = b.fixture AND a.page_index = b.page_index AND a.kind = b.kind AND a.node_id <> b.node_id WHERE b.bbox_global.w::BIGINT * b.bbox_global.h > 0 AND b.bbox_global.w::BIGINT * b.bbox_global.h < 0.8 * (a.bbox_global.w::BIGINT * a.bbox_global.h) AND coalesce(a.system_confidence, 0.5) >= greatest(0.25, 0.5 * coalesce(b.system_confidence, 0.5)) AND ({INTER}) / (b.bbox_global.w::BIGINT * b.bbox_global.h)::DOUBLE >= 0.9),
+c(b, w, free) AS (SELECT b, w, b NOT IN (SELECT w FROM p) FROM p
+  UNION ALL SELECT b, w, b NOT IN (SELECT y.w FROM c y WHERE y.w NOT IN (SELECT z.w FROM c z WHERE z.free) AND y.b NOT IN (SELECT z.w FROM c z WHERE z.free) AND NOT y.free)
+  FROM c WHERE NOT free AND w NOT IN (SELECT z.w FROM c z WHERE z.free) AND b NOT IN (SELECT z.w FROM c z WHERE z.free)),
+gone AS (SELECT DISTINCT w FROM c WHERE free)
+SELECT node_id, node_id NOT IN (SELECT w FROM gone) AS kept FROM n WHERE bbox_global IS NOT NULL AND fixture IS NOT NULL AND page_index IS NOT NULL""")
 def containment_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of one page and kind that lie nine tenths within a kept one, a quarter larger and not much less sure, are fragments."""
     n = nodes(spark, d).withColumn("sure", F.coalesce("system_confidence", F.lit(0.5)))

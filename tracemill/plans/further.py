@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import geometry as G
 from tracemill.functions import text as X
 from tracemill.operators import graph, metrics, sequence, similarity, spatial
-from tracemill.plans.drawings import CELL, NODES, PAGE, SQL as DRAWING_SQL, _side, edges, label_key, nodes, tile_generator
+from tracemill.plans.drawings import CELL, EDGES, NODES, PAGE, SQL as DRAWING_SQL, _side, edges, label_key, nodes, tile_generator
 from tracemill.session import table
 
 QUERIES: dict = {}
@@ -36,7 +36,10 @@ def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
     return graph.spanning_forest(_weighted(spark, d), "w", "edge_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, k AS (SELECT from_node AS s, to_node AS t, CASE WHEN line_type = 'process' THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM e WHERE edge_id IS NOT NULL), q AS (SELECT s, t, min(w) AS w FROM (SELECT * FROM k UNION ALL SELECT t, s, w FROM k) GROUP BY ALL),
+r(node, distance) USING KEY (node) AS (SELECT DISTINCT node_id, 0.0::DOUBLE FROM n WHERE kind = 'opc'
+  UNION SELECT f.node, f.d FROM (SELECT q.t AS node, min(r.distance + q.w) AS d FROM r JOIN q ON q.s = r.node GROUP BY q.t) f LEFT JOIN recurring.r o ON o.node = f.node WHERE o.node IS NULL OR f.d < o.distance)
+SELECT node, distance, (SELECT min(q.s) FROM q JOIN r x ON x.node = q.s WHERE q.t = r.node AND q.s <> q.t AND r.distance > 0 AND abs(x.distance + q.w - r.distance) < 1e-9) AS via FROM r""")
 def shortest_path_tree(spark: SparkSession, d: str) -> DataFrame:
     """Least cost from any off-page connector, with the neighbour that the path comes from."""
     sources = nodes(spark, d).filter("kind = 'opc'").select(F.lit("opc").alias("source"), F.col("node_id").alias("node"))
