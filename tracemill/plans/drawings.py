@@ -126,7 +126,7 @@ ITEMS = f"""list_filter([regexp_replace(regexp_replace(regexp_replace(trim(p), '
 def parse_answers(spark: SparkSession, d: str) -> DataFrame:
     """Items of each text read as a list answer, and the last line that is an integer alone."""
     t = F.col("text")
-    lone = F.filter(F.transform(F.split(t, r"\r?\n"), F.trim), lambda s: s.rlike("^-?[0-9]+$"))
+    lone = F.filter(F.transform(F.split(t, r"\r?\n"), lambda s: F.trim(s)), lambda s: s.rlike("^-?[0-9]+$"))
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(X.list_items(t)).cast("bigint").alias("items"), F.try_element_at(lone, F.lit(-1)).try_cast("bigint").alias("lone"))
 
 
