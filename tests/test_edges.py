@@ -3,9 +3,9 @@
 import pytest
 from edges import write_edge_tables
 
-from tracemill.plans import checks, drawings, evaluation, evidence, further, records, training
+from tracemill.plans import checks, drawings, evaluation, evidence, further, lines, records, training
 
-QUERIES = {n: f for part in (training, evaluation, drawings, evidence, records, further, checks) for n, f in part.queries().items()}
+QUERIES = {n: f for part in (training, evaluation, drawings, evidence, records, further, checks, lines) for n, f in part.queries().items()}
 
 
 @pytest.fixture(scope="module", params=["empty", "nulls"])

@@ -144,3 +144,57 @@ def to_page(b: Column, origin_x: Column, origin_y: Column, scale: Column) -> Col
     at = lambda v, o: F.floor(v * scale + o + F.lit(0.5)).cast("int")
     size = lambda v: F.floor(v * scale + F.lit(0.5)).cast("int")
     return F.struct(at(b["x"], origin_x).alias("x"), at(b["y"], origin_y).alias("y"), size(b["w"]).alias("w"), size(b["h"]).alias("h"))
+
+
+def collinear_overlap(p: tuple[Column, ...], q: tuple[Column, ...], tolerance: float = 1.0) -> Column:
+    """Whether two segments (ax, ay, bx, by) run along each other for more than `tolerance`; a crossing or a touch doesn't count."""
+    ax, ay, bx, by = p
+    n = F.hypot((bx - ax).cast("double"), (by - ay).cast("double"))
+    ux, uy = (bx - ax) / n, (by - ay) / n
+    off = lambda x, y: F.abs((x - ax) * uy - (y - ay) * ux)
+    along = lambda x, y: (x - ax) * ux + (y - ay) * uy
+    s, t = along(q[0], q[1]), along(q[2], q[3])
+    shared = F.least(n, F.greatest(s, t)) - F.greatest(F.lit(0.0), F.least(s, t))
+    return F.coalesce((n > tolerance) & (off(q[0], q[1]) <= tolerance) & (off(q[2], q[3]) <= tolerance) & (shared > tolerance), F.lit(False))
+
+
+def clip_places(ax: Column, ay: Column, bx: Column, by: Column, polygon: Column) -> Column:
+    """Places, from 0 to 1 along a segment, where it meets the sides of a polygon (array of struct(x, y)), sorted, each once; parallel sides give none."""
+    turned = F.concat(F.slice(polygon, F.lit(2), F.size(polygon)), F.slice(polygon, F.lit(1), F.lit(1)))
+    dx, dy = (bx - ax).cast("double"), (by - ay).cast("double")
+
+    def place(c: Column, d: Column) -> Column:
+        ex, ey = (d["x"] - c["x"]).cast("double"), (d["y"] - c["y"]).cast("double")
+        det = dx * ey - dy * ex
+        along = F.try_divide((c["x"] - ax) * ey - (c["y"] - ay) * ex, det)
+        across = F.try_divide((c["x"] - ax) * dy - (c["y"] - ay) * dx, det)
+        return F.when((F.abs(det) >= 1e-9) & along.between(-1e-7, 1 + 1e-7) & across.between(-1e-7, 1 + 1e-7), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), 8))
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.zip_with(polygon, turned, place))))
+
+
+def box_polygon(b: Column) -> Column:
+    """The corners of a box in order."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(corner(b["x"], b["y"]), corner(right(b), b["y"]), corner(right(b), bottom(b)), corner(b["x"], bottom(b)))
+
+
+def ray_exit(b: Column, x: Column, y: Column) -> Column:
+    """struct(x, y) where the ray from a box's centre to a point leaves the box, rounded to even halves; the centre if the point is there."""
+    cx, cy = centre_x(b), centre_y(b)
+    dx, dy = x - cx, y - cy
+    tx, ty = F.try_divide(b["w"] / 2, F.abs(dx)), F.try_divide(b["h"] / 2, F.abs(dy))
+    # infinitely far away along an axis without movement
+    t = F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(F.least(F.coalesce(tx, F.lit(float("inf"))), F.coalesce(ty, F.lit(float("inf")))))
+    return F.struct(F.bround(cx + t * dx).cast("int").alias("x"), F.bround(cy + t * dy).cast("int").alias("y"))
+
+
+def learning_rate(step: Column, total: int, initial: float, warm: int = 100, last: float = 0.0001) -> Column:
+    """Rate of a training step: linear over the first `warm` steps, then along a cosine down to `last`."""
+    progress = F.least(F.lit(1.0), (step - warm) / F.lit(float(max(1, total - warm))))
+    return F.when(step <= warm, F.lit(initial) * step / warm).otherwise(F.lit(last) + F.lit(initial - last) * (1 + F.cos(F.lit(3.141592653589793) * progress)) / 2)
+
+
+def overridden(value: Column, path: str, to: Column) -> Column:
+    """A struct with the field at a dotted path set."""
+    return value.withField(path, to)
