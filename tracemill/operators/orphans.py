@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import hot_slices, slice_of
+from tracemill.operators.skew import hot_cuts, with_slice
 from tracemill.session import parallelism
 
 _OPEN = 9223372036854775807
@@ -48,21 +48,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows: int | None = No
     none = F.lit(None).cast(asked.schema["ref"].dataType)
     both = spans.select("key", "at", "end", none.alias("ref")).unionByName(asked.select("key", "at", F.lit(None).cast("bigint").alias("end"), "ref"))
     bare = refs.select("key", "at").unionByName(parents.select("key", F.col("begin").alias("at")))
-    cuts = hot_slices(bare, F.col("key"), F.col("at"), rows, max(8, parallelism(refs.sparkSession)))
-    both = both.withColumn("slice", slice_of(F.col("key"), F.col("at"), cuts))
+    cuts = hot_cuts(bare, F.col("key"), F.col("at"), rows, max(8, parallelism(refs.sparkSession)))
+    both = with_slice(both, F.col("key"), F.col("at"), cuts)
     seen = W.partitionBy("key", "slice").orderBy("at", F.col("ref").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     merged = both.withColumn("until", F.max("end").over(seen)).withColumn(
         "known", F.max(F.when(F.col("ref").isNull(), 1)).over(W.partitionBy("key", "slice"))
     )
     if cuts:
-        # bounded: one row per hot key and slice
-        per = (
-            spans.filter(F.col("key").isin(list(cuts)))
-            .withColumn("slice", slice_of(F.col("key"), F.col("at"), cuts))
-            .groupBy("key", "slice")
-            .agg(F.max("end").alias("end"))
-        )
-        grid = refs.sparkSession.createDataFrame([(k, i) for k, v in cuts.items() for i in range(len(v) + 1)], "key string, slice int")
+        # one row per hot key and slice
+        hot = cuts.rows(refs)
+        held = spans.join(hot.select(F.col("k").alias("key")), "key", "left_semi")
+        per = with_slice(held, F.col("key"), F.col("at"), cuts).groupBy("key", "slice").agg(F.max("end").alias("end"))
+        grid = hot.select(F.col("k").alias("key"), F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("slice"))
         before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
         carried = (
             grid.join(per, ["key", "slice"], "left")
@@ -71,7 +68,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows: int | None = No
             .select("key", "slice", "carried", "ever")
         )
         merged = (
-            merged.join(F.broadcast(carried), ["key", "slice"], "left")
+            merged.join(carried, ["key", "slice"], "left")
             .withColumn("until", F.greatest("until", "carried"))
             .withColumn("known", F.coalesce(F.nullif(F.col("ever"), F.lit(0)), F.col("known")))
         )

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import hot_slices, slice_of
+from tracemill.operators.skew import hot_cuts, with_slice
 from tracemill.session import parallelism
 
 #: Scaled KS distance beyond which chance is no explanation (asymptotic p about 3e-6).
 KS_LIMIT = 2.6
 #: Standard errors by which a rate (nulls, outlying values, integral values) must depart, and by how much at least.
-RATE_LIMIT, RATE_STEP = 6.5, 0.12
+RATE_LIMIT, RATE_STEP = 6.5, 0.05
 #: Rows by which a rate must depart at least; below, the normal error of a rate means little.
 RATE_ROWS = 8
 #: Share of the rest of the feed beyond each end that counts as outlying.
@@ -66,8 +66,8 @@ def load_profiles(values: DataFrame, rows: int) -> DataFrame:
         .withColumn("rest_integral", F.sum("integral").over(all_) - F.col("integral"))
     )
     key = F.concat_ws("\x1f", *KEYS)
-    cuts = hot_slices(values, key, F.col("value"), rows, max(8, parallelism(values.sparkSession)))
-    sliced = counted.filter("value is not null").withColumn("slice", slice_of(key, F.col("value"), cuts))
+    cuts = hot_cuts(values, key, F.col("value"), rows, max(8, parallelism(values.sparkSession)))
+    sliced = with_slice(counted.filter("value is not null"), key, F.col("value"), cuts)
     below = sliced.groupBy(*KEYS, "slice", "load_id").agg(F.sum("c").alias("n"))
     up_to = [W.unboundedPreceding, -1]
     totals = below.groupBy(*KEYS, "slice").agg(F.sum("n").alias("n")).select(

@@ -64,7 +64,7 @@ t AS (SELECT g.*, i.whole, k.ks, coalesce(k.tail, 0) AS tail, rows - nulls AS fi
   FROM g JOIN i USING (feed, phase, column_name, load_id) LEFT JOIN k USING (feed, phase, column_name, load_id) WINDOW w AS (PARTITION BY feed, phase, column_name)),
 u AS (SELECT load_id, column_name, ks, unnest([{'x': tail, 'n': filled, 'rx': 0.05 * (rr - rn), 'rn': rr - rn}, {'x': nulls, 'n': rows, 'rx': rn, 'rn': rr}, {'x': whole, 'n': filled, 'rx': rw, 'rn': rr - rn}]) AS q FROM t),
 y AS (SELECT *, (q.rx + 1) / (q.rn + 2)::DOUBLE AS p FROM u)
-SELECT DISTINCT load_id, column_name FROM y WHERE ks > 2.6 OR (q.rn > 0 AND q.n > 0 AND abs(q.x / q.n::DOUBLE - p) > 0.12 AND abs(q.x / q.n::DOUBLE - p) * q.n > 8
+SELECT DISTINCT load_id, column_name FROM y WHERE ks > 2.6 OR (q.rn > 0 AND q.n > 0 AND abs(q.x / q.n::DOUBLE - p) > 0.05 AND abs(q.x / q.n::DOUBLE - p) * q.n > 8
   AND abs(q.x / q.n::DOUBLE - p) > 6.5 * sqrt(p * (1 - p) * (1 / q.n::DOUBLE + 1 / q.rn::DOUBLE)))
 """
 
