@@ -8,7 +8,7 @@ from itertools import count as numbers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import materialise
+from tracemill.session import discard, materialise
 
 
 def rounds(most: int | None, first: int = 0) -> Iterator[int]:
@@ -23,7 +23,7 @@ def undirected(edges: DataFrame, a: str = "from_node", b: str = "to_node") -> Da
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
     """node, component (the least node of it), by alternating star contractions.
 
     Large stars link every larger neighbour to the least one around a node,
@@ -41,7 +41,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
         large = both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst").distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("least"))
         small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionByName(low.toDF("src", "dst")).filter("src <> dst").distinct()
-        held = materialise(small, "links")
+        last, held = held, materialise(small, "links")
+        discard(last)
         mark = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break
@@ -67,20 +68,24 @@ def reachable(edges: DataFrame, sources: DataFrame, most_rounds: int | None = No
     visited = frontier
     for hop in rounds(most_rounds, 1):
         step = frontier.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
-        frontier = materialise(step.join(visited, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
+        last, frontier = frontier, materialise(step.join(visited, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
+        discard(last)
         if frontier.isEmpty():
             return visited
-        visited = materialise(visited.unionByName(frontier), "visited")
+        last, visited = visited, materialise(visited.unionByName(frontier), "visited")
+        discard(last)
 
 
 def k_core(edges: DataFrame, k: int = 2, most_rounds: int | None = None) -> DataFrame:
     """node, degree within the k-core: nodes of a degree below k are dropped until none is left."""
-    links = materialise(undirected(edges), "links")
+    before = links = materialise(undirected(edges), "links")
     count = links.count()
     for _ in rounds(most_rounds):
         keep = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("src")
         links = links.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
-        links = materialise(links, "core")
+        last, links = before, materialise(links, "core")
+        discard(last)
+        before = links
         now = links.count()
         if now == count:
             break
@@ -113,12 +118,14 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str, stops:
             blocked = stops.select(F.col("node").alias("b"))
             go = go.join(blocked, (F.col("node") == F.col("b")), "left").filter(F.col("b").isNull() | (F.col("distance") == 0)).drop("b")
         step = go.join(both, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("d")).groupBy("source", "node").agg(F.min("d").alias("d"))
-        fallen = materialise(
+        last, fallen = fallen, materialise(
             step.join(known, ["source", "node"], "left").filter(F.col("distance").isNull() | (F.col("d") < F.col("distance") - 1e-12)).select("source", "node", F.col("d").alias("distance")), "fallen"
         )
+        discard(last)
         if fallen.isEmpty():
             return known
-        known = materialise(known.unionByName(fallen).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
+        last, known = known, materialise(known.unionByName(fallen).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
+        discard(last)
 
 
 def topological_levels(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -133,13 +140,15 @@ def topological_levels(edges: DataFrame, most_rounds: int | None = None) -> Data
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
+        last = open_, rest
         open_ = materialise(open_.join(ready.select("node"), "node", "left_anti"), "open")
         rest = materialise(rest.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "rest")
+        discard(*last)
     left = open_.withColumn("level", F.lit(None).cast("int"))
     return left if done is None else done.unionByName(left)
 
 
-def spanning_forest(edges: DataFrame, weight: str, name: str, most_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame, weight: str, name: str, most_rounds: int | None = None) -> DataFrame:
     """Rows of edges (from_node, to_node, name, weight) that make a least spanning forest; ties by name.
 
     Each round every tree takes its cheapest edge to another tree, and the trees

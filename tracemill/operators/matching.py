@@ -120,7 +120,7 @@ def kept_of_pairs(boxes: DataFrame, pairs: DataFrame, keys: list[str], most_roun
     the boxes in order of preference, but with no group ever in one task.
     """
     from tracemill.operators.graph import rounds
-    from tracemill.session import materialise
+    from tracemill.session import discard, materialise
 
     open_ = materialise(boxes.select(*keys, "id").distinct(), "open")
     left = materialise(pairs.select(*keys, "better", "worse").distinct(), "pairs")
@@ -134,8 +134,10 @@ def kept_of_pairs(boxes: DataFrame, pairs: DataFrame, keys: list[str], most_roun
         part = keep.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False)))
         done = part if done is None else done.unionByName(part)
         decided = part.select(*keys, "id")
+        last = open_, left
         open_ = materialise(open_.join(decided, [*keys, "id"], "left_anti"), "open")
         left = materialise(
             left.join(decided.withColumnRenamed("id", "worse"), [*keys, "worse"], "left_anti").join(gone.withColumnRenamed("id", "better"), [*keys, "better"], "left_anti"), "pairs"
         )
+        discard(*last)
     return done if done is not None else boxes.select(*keys, "id").distinct().withColumn("kept", F.lit(True))

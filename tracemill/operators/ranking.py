@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.session import materialise
+from tracemill.session import discard, materialise
 
 
 def words(text: Column) -> Column:
@@ -89,7 +89,9 @@ def admitted(df: DataFrame, group: list[str], order: list[Column], key: str, cos
             break
         joined = state.join(found, on(state, found), "left").select(*[state[g] for g in group], "last", "keys", "used", "at")
         took = F.col("at").isNotNull()
+        last = state, found
         state = materialise(
             joined.select(*group, F.coalesce("at", "last").alias("last"), F.when(took, F.array_append("keys", F.col("at.key"))).otherwise(F.col("keys")).alias("keys"), F.when(took, F.col("used") + F.col("at.cost")).otherwise(F.col("used")).alias("used")), "admitted"
         )
+        discard(*last)
     return state.select(*group, F.col("keys").alias("admitted"), "used")

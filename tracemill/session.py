@@ -57,8 +57,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set.
 
-    Where it is unset, our own is set: beside the warehouse on a cluster, which
-    its executors share, else (all on one machine, as in tests) a new folder.
+    Where it is unset, our own is set: on one machine, as in tests, a new
+    folder; on a cluster one beside the warehouse if that is no machine's own
+    disk, else an error, since there is no folder that all executors share.
     """
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if held:
@@ -66,19 +67,26 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         own = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
     else:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tracemill"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.split(":", 1)[0] == "file" or ":/" not in warehouse:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = f"{warehouse}/_tracemill"
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def _remove_written() -> None:
     session = SparkSession.getActiveSession()
     for path in _WRITTEN:
         try:
             if session is not None:
-                hadoop = session._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(session._jsc.hadoopConfiguration()).delete(hadoop, True)
+                _delete(session, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
 
@@ -90,13 +98,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     Cuts the lineage so that a lost executor costs no recomputation of what
-    came before, and lets several branches read one result.
+    came before, and lets several branches read one result. Tables are removed
+    at the end of the application, or by `discard` before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing will read again, as those of a loop's last round; anything else is left alone."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:
