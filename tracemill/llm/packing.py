@@ -13,11 +13,13 @@ range of lengths.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.session import materialise, parallelism, tokenizer_dir
@@ -42,12 +44,28 @@ def _encoding(folder: str, name: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ship_vocabulary(spark: SparkSession, folder: str, vocabulary: str) -> None:
+    """Sends the vocabulary's file to the executors, if the driver has it, so that they needn't have the folder."""
+    if os.path.exists(f"{folder}/{vocabulary}"):
+        spark.sparkContext.addFile(f"{folder}/{vocabulary}")
+
+
+def _folder_of(folder: str, vocabulary: str) -> str:
+    """Where a worker finds the vocabulary: what was sent along, else the folder itself."""
+    try:
+        sent = SparkFiles.get(vocabulary)
+    except Exception:  # noqa: BLE001 - outside of a Spark worker
+        return folder
+    return os.path.dirname(sent) if os.path.exists(sent) else folder
+
+
 def token_counts(documents: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens of every text by a public tokenizer; null and empty texts have 0. Repeated rows and rows without doc_id stay."""
     place = folder or tokenizer_dir()
+    ship_vocabulary(documents.sparkSession, place, vocabulary)
 
     def run(batches):
-        encode = _encoding(place, vocabulary).encode_ordinary
+        encode = _encoding(_folder_of(place, vocabulary), vocabulary).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b["text"]]
             yield pd.DataFrame({"key": b["key"], "n_tokens": pd.Series(n, dtype="int32")})
