@@ -91,6 +91,24 @@ def window_hashes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of words; those of no item are classified once, as many as MOST_WORDS are remembered."""
+
+    MOST_WORDS = 1_000_000
+    paired = False
+
+    def __missing__(self, w: bytes) -> int:
+        if w[0] < 58:
+            n = 1
+        elif self.paired:
+            n = 2 if len(w) < 5 else 0
+        else:
+            n = 2 if _DIGIT.search(w) else 0
+        if len(self) < self.MOST_WORDS:
+            self[w] = n
+        return n
+
+
 class Reading:
     """One way to read words, with the template windows of all items in it.
 
@@ -102,6 +120,7 @@ class Reading:
     def __init__(self, words: list[list[bytes]], kind: Callable[[bytes], int], paired: bool):
         self.ids: dict[bytes, int] = {}
         self.paired = paired
+        self.memo: _Numbers | None = None  # made where texts are read
         template = [0, NUMBER, 0 if paired else NAME]
         for w in [w for held in words for w in held]:
             if w not in self.ids:
@@ -121,10 +140,10 @@ class Reading:
         self.places = np.concatenate([*(np.arange(len(w)) for w in windows), np.zeros(0, dtype=np.int64)])[order].astype(np.int64)
 
     def numbers(self, words: list[bytes]) -> list[int]:
-        get = self.ids.get
-        if self.paired:
-            return [get(w) or (1 if w[0] < 58 else 2 if len(w) < 5 else 0) for w in words]
-        return [get(w) or (1 if w[0] < 58 else 2 if w[-1] < 58 or _DIGIT.search(w) else 0) for w in words]
+        if self.memo is None:
+            self.memo = _Numbers(self.ids)
+            self.memo.paired = self.paired
+        return list(map(self.memo.__getitem__, words))
 
     def shape(self, numbers: np.ndarray) -> np.ndarray:
         """Template tokens of numbered words; 0 where a word is of no item and no slot."""
