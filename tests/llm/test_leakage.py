@@ -150,6 +150,13 @@ def test_operator_edges(spark):
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
 
 
+def test_large_keys_beside_nulls(spark):
+    big = 2**62 + 1
+    d = spark.createDataFrame([(big, ITEM), (None, ITEM)], "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    assert sorted(r["doc_id"] or 0 for r in L.leaks(d, i).collect()) == [0, big]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK_BYTES", 10)
     d = spark.createDataFrame([(1, ITEM + " " + OTHER)], "doc_id bigint, text string")

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracemill.session import materialise
 
@@ -334,7 +335,9 @@ def _leaks_of(documents: DataFrame, block: list[tuple[int, str]], least: int) ->
                         held, size = [], 0
             yield pd.DataFrame(scan_texts(index, held, least), columns=_COLUMNS)
 
-    return documents.select("doc_id", "text").filter("text is not null").mapInPandas(scan, LEAKS)
+    # keys as text, since a null would turn a batch's keys into floats
+    keyed = documents.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return keyed.mapInPandas(scan, LEAKS.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _verbatim(item: np.ndarray, place: np.ndarray, at: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
